@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import OP4_SQL, op4_decontaminate
+from tessera.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from tessera.llm.packing import op10_best_fit_packing
 from tessera.llm.token_counts import op7_token_counts
 from tessera.llm.token_shards import op2_token_shards
 
 QUERIES = {
     "op2_token_shards": op2_token_shards,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_decontaminate": OP4_SQL, "op5_jaccard_join": OP5_SQL}

@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from tessera.llm.decontaminate import OP4_SQL, op4_decontaminate
 from tessera.llm.jaccard_join import OP5_SQL, op5_jaccard_join
+from tessera.llm.line_dedup import OP3_SQL, op3_line_dedup
 from tessera.llm.packing import op10_best_fit_packing
 from tessera.llm.quality import OP1_SQL, op1_quality_rules
+from tessera.llm.sharding import OP6_SQL, op6_size_tiered_sharding
 from tessera.llm.token_counts import op7_token_counts
 from tessera.llm.token_shards import op2_token_shards
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_shards": op2_token_shards,
+    "op3_line_dedup": op3_line_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_size_tiered_sharding": op6_size_tiered_sharding,
     "op7_token_counts": op7_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE = {"op1_quality_rules": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_jaccard_join": OP5_SQL}
+ORACLE = {
+    "op1_quality_rules": OP1_SQL,
+    "op3_line_dedup": OP3_SQL,
+    "op4_decontaminate": OP4_SQL,
+    "op5_jaccard_join": OP5_SQL,
+    "op6_size_tiered_sharding": OP6_SQL,
+}

@@ -10,6 +10,7 @@ from tessera.llm.quality import OP1_SQL, op1_quality_rules
 from tessera.llm.sharding import OP6_SQL, op6_size_tiered_sharding
 from tessera.llm.token_counts import op7_token_counts
 from tessera.llm.token_shards import op2_token_shards
+from tessera.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_size_tiered_sharding": op6_size_tiered_sharding,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import OP4_SQL, op4_decontaminate
+from tessera.llm.html_text import op9_html_text
 from tessera.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from tessera.llm.line_dedup import OP3_SQL, op3_line_dedup
 from tessera.llm.packing import op10_best_fit_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_size_tiered_sharding": op6_size_tiered_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
+    "op9_html_text": op9_html_text,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

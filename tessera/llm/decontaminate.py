@@ -104,7 +104,7 @@ def _same_words(a: str, b: str) -> Column:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, log_bloom_bits: int = 24) -> DataFrame:
     """Words of each document inside occurrences of benchmark windows, and the items they come from.
 
-    Returns (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each
+    Returns (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key), a row for each
     row of ``docs``. Null and empty texts have no words and no hit; items without words
     never occur; items with equal ids count once; without benchmark rows nothing is hit.
     Other columns are ignored. The Bloom filter of the benchmark's fingerprints has a
@@ -139,12 +139,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, log_bloom_bits: in
             if counts:
                 n = len(marks)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.arange(row_id, row_id + n)), pa.array(np.concatenate(counts)), pa.array(marks, pa.list_(_MARK))],
-                    names=["doc_id", "row_id", "n_words", "marks"],
+                    [batch.column(0), batch.column(2), pa.array(np.arange(row_id, row_id + n)), pa.array(np.concatenate(counts)), pa.array(marks, pa.list_(_MARK))],
+                    names=["doc_id", "text_key", "row_id", "n_words", "marks"],
                 )
                 row_id += n
 
-    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, f"doc_id long, row_id long, n_words long, marks {_MARKS}")
+    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(scan, f"doc_id long, text_key long, row_id long, n_words long, marks {_MARKS}")
     seen = scratch.table(seen, "documents")
     marks = seen.where(F.col("marks").isNotNull()).select("row_id", F.explode("marks").alias("m"))
     marks = marks.select("row_id", F.col("m.fp").alias("fp"), F.col("m.size").alias("size"), F.col("m.pos").alias("pos"), F.col("m.left").alias("dl"), F.col("m.right").alias("dr"))
@@ -166,17 +166,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, log_bloom_bits: in
         lambda acc: acc["n"],
     )
     by_row = by_row.select("row_id", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("names"))
-    out = seen.select("doc_id", "row_id", "n_words").join(by_row, "row_id", "left")
+    out = seen.select("doc_id", "text_key", "row_id", "n_words").join(by_row, "row_id", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "text_key"
     )
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find words of ``documents`` that lie in passages of ``benchmark``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    return find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")).drop("text_key")
 
 
 OP4_SQL = r"""

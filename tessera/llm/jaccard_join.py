@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm._dense import SCHEMA, dense_rows, merge_dense
 from tessera.llm._text import NON_SPACE, Words, as_long, blocks, mix
+from tessera.llm._rows import KEYS, keyed, row_keys, side
 from tessera.llm.components import connected_components
 from tessera.session import Scratch
 
 SHINGLE = 5
 NUM, DEN = 3, 4  # similarity 0.75 as a fraction
 SKETCH_BITS = 20
-BROADCAST_ROWS = 500_000
 
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
@@ -82,11 +82,6 @@ def _classes(docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     return scratch.table(named.mapInArrow(name, "doc_id long, text_key long, n_shingles long, class long"), "classes")
 
 
-def restrict(texts: DataFrame, keys: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
-    """Semi or anti join of texts by keys, which are broadcast up to ``BROADCAST_ROWS`` rows only."""
-    return texts.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys.hint("merge"), on, how)
-
-
 def _bounds_hold(a: str, b: str) -> Column:
     """Size and position bounds of a pair whose first common shingle stands at these places."""
     na, nb, pa_, pb = (F.col(f"{x}.{y}") for y in ("n", "pos") for x in (a, b))
@@ -122,7 +117,10 @@ class _Verifier:
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, n_shingles, component_id): components of documents linked at Jaccard 0.75.
+    """(doc_id, text_key, n_shingles, component_id, first): components of documents linked at Jaccard 0.75.
+
+    ``text_key`` is xxhash64 of the text; ``first`` marks the rows of one (id, text) of
+    each component, the smallest.
 
     A row for each row of ``docs`` (doc_id, text). A text without words, or null, has no
     shingle and is its own component; one of fewer than ``k`` words has its sequence as
@@ -135,12 +133,16 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, sketch_bits: int = SKE
     classes = _classes(docs, k, scratch)
     full = classes.where(F.col("class").isNotNull())
     component = _class_components(docs, full, k, sketch_bits, scratch)  # (class, component) where linked
-    by_class = full.groupBy("class").agg(F.min("doc_id").alias("least"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    by_class = full.groupBy("class").agg(F.min(own).alias("least"))
     named = by_class.join(component, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
-    roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(roots, "component").select("class", "component_id")
+    roots = named.groupBy("component").agg(F.min("least").alias("root"))
+    named = named.join(roots, "component").select("class", "root")
     out = classes.join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = F.col("root").isNull()
+    return out.select(
+        "doc_id", "text_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("root.doc_id")).alias("component_id"), (alone | F.col("root").eqNullSafe(own)).alias("first")
+    )
 
 
 def _class_components(docs: DataFrame, full: DataFrame, k: int, bits: int, scratch: Scratch) -> DataFrame:
@@ -148,9 +150,9 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, bits: int, scrat
     sketch = spark.sparkContext.broadcast(_sketch(docs, k, bits))  # 2 ** bits counters
     reps = full.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"))
     extra = full.join(reps, "class").where(~F.struct("doc_id", "text_key").eqNullSafe(F.col("rep")))
-    extra = scratch.table(extra.select(F.coalesce("doc_id", F.lit(-1)).alias("id_key"), "text_key").distinct(), "copies")
-    keyed = docs.withColumn("text_key", F.xxhash64("text")).withColumn("id_key", F.coalesce("doc_id", F.lit(-1)))
-    unique = restrict(keyed, extra, ["id_key", "text_key"], "left_anti", extra.count())
+    extra = scratch.table(row_keys(extra).distinct(), "copies")
+    texts = keyed(docs)
+    unique = texts.join(side(extra), list(KEYS), "left_anti")
     shift = np.uint64(64 - bits)
 
     def prefixes(batches):
@@ -181,7 +183,7 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, bits: int, scrat
                 offs = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in firsts])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(groups, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offs, flat)], names=["row_id", "class", "grp", "n", "prefix"])
 
-    held = unique.select("doc_id", "text_key", "text").mapInArrow(prefixes, "row_id long, class long, grp long, n long, prefix array<long>")
+    held = unique.select(*KEYS, "text").mapInArrow(prefixes, "row_id long, class long, grp long, n long, prefix array<long>")
     held = scratch.table(held, "prefixes")
     posts = held.select("row_id", "n", F.posexplode("prefix").alias("pos", "shingle"))
     posts = posts.select("shingle", "row_id", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
@@ -196,10 +198,9 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, bits: int, scrat
     shared_groups = members.withColumn("many", F.min("class").over(Window.partitionBy("grp")) != F.max("class").over(Window.partitionBy("grp")))
     together = scratch.table(shared_groups.where("many").select(F.col("grp").alias("shingle"), "class", "n", F.lit(0).cast("long").alias("pos")), "groups")
     posts = posts.unionByName(together)
-    wanted = scratch.table(posts.select("class").distinct().join(reps, "class").select("class", F.coalesce("rep.doc_id", F.lit(-1)).alias("id_key"), F.col("rep.text_key").alias("text_key")), "wanted")
-    texts = keyed.select("id_key", "text_key", "text")
-    n_wanted = wanted.count()
-    texts = texts.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted.hint("merge"), ["id_key", "text_key"])
+    wanted = posts.select("class").distinct().join(reps, "class").select("class", "rep.doc_id", "rep.text_key")
+    wanted = scratch.table(row_keys(wanted, "class"), "wanted")
+    texts = texts.select(*KEYS, "text").join(side(wanted), list(KEYS))
     texts = scratch.table(texts.groupBy("class").agg(F.first("text").alias("text")), "texts")
     scratch.drop(held)
     verifier = _Verifier(texts, k, scratch)
@@ -249,7 +250,8 @@ def _mixed(posts: DataFrame, component: DataFrame) -> DataFrame:
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents``."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
 OP5_SQL = r"""

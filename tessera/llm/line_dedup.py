@@ -164,7 +164,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Adds ``n_lines`` and ``n_removed``; every row stays, with an empty text when all its
     lines go. Null text stays null (no lines). Equal rows: the first keeps its lines, and
-    which is first is fixed when the rows are first written. Other columns pass through.
+    which is first is fixed when the rows are first written. Other columns pass through;
+    columns already named ``n_lines`` or ``n_removed`` are replaced.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows, spans = find_repeated_lines(docs, scratch)
@@ -178,7 +179,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n("__lines"))
     n_kept = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n("__kept"))
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return out.select(*[F.col(f"`{c}`") for c in names], text.alias("text"), n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"))
 
 

@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm._text import ALNUM, Words, as_long, blocks
 from tessera.session import Scratch
@@ -142,16 +143,20 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray) -> list[tuple[int,
 SEGMENTS = "array<struct<lo:int,hi:int,score:double>>"
 
 
-def score_segments(docs: DataFrame, model: TokenScores) -> DataFrame:
-    """(doc_id, n_words, segments, best) of every document: its toxic passages by word places."""
+ADDED = {"__n_words": "long", "__segments": SEGMENTS, "__best": "double"}
+
+
+def annotate(docs: DataFrame, model: TokenScores) -> DataFrame:
+    """``docs`` with the number of words, the toxic passages by word places, and the best passage's score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("score", pa.float64())]))
+    at_text = docs.columns.index("text")
 
     def scan(batches):
         model = held.value
         for batch in batches:
             ns, found, best = [], [], []
-            for _, data, offs in blocks(batch.column(1)):
+            for _, data, offs in blocks(batch.column(at_text)):
                 words = Words(data, offs, ALNUM, True)
                 scores = model.of(as_long(words.hash))
                 scores[1:][words.hash[1:] == words.hash[:-1]] = 0.0
@@ -163,10 +168,10 @@ def score_segments(docs: DataFrame, model: TokenScores) -> DataFrame:
                     found.append([{"lo": a, "hi": b, "score": s} for a, b, s in segments])
                     best.append(max((s for _, _, s in segments), default=0.0))
                 ns.extend(words.counts.tolist())
-            if ns:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(found, kind), pa.array(best, pa.float64())], names=["doc_id", "n_words", "segments", "best"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ns, pa.int64()), pa.array(found, kind), pa.array(best, pa.float64())], names=[*batch.schema.names, *ADDED])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, f"doc_id long, n_words long, segments {SEGMENTS}, best double")
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in ADDED.items())).fields])
+    return docs.mapInArrow(scan, schema)
 
 
 def held_out() -> Column:
@@ -174,43 +179,57 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None) -> DataFrame:
+class ToxicityModel:
+    """Token scores with their calibration: the law of clean segment scores and the logistic curve."""
+
+    def __init__(self, tokens: TokenScores, k: float, curve: tuple[float, float]):
+        self.tokens, self.k, self.curve = tokens, k, curve
+
+    @classmethod
+    def fit(cls, docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+        """Learn from the labelled documents that are not held out."""
+        scratch = Scratch(docs.sparkSession, "toxicity")
+        labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
+        labels = scratch.table(labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")), "labels")
+        few = labels.count() <= BROADCAST_ROWS
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        labelled = texts.join(F.broadcast(labels) if few else labels.hint("merge"), "doc_id")
+        tokens = TokenScores.train(labelled, scratch)
+        seen = scratch.table(annotate(labelled, tokens).select("__n_words", "__best", "toxic"), "training")
+        clean = seen.where("toxic = 0").agg(
+            F.sum((F.col("__best") > WORD_COST).cast("double")).alias("hits"), F.sum(F.col("__n_words") * math.exp(-tokens.rate * WORD_COST)).alias("room")
+        )
+        clean = clean.first()
+        k = ((clean["hits"] or 0.0) + 0.5) / ((clean["room"] or 0.0) + 1.0)
+        x = F.least(F.greatest(_normalised(tokens.rate, k), F.lit(-40.0)), F.lit(60.0))
+        bins = seen.groupBy(F.floor(x / BIN).alias("bin"), "toxic").agg(F.count("*").alias("n")).collect()  # at most 802 rows
+        return cls(tokens, k, _logistic([((r["bin"] + 0.5) * BIN, r["toxic"], r["n"]) for r in bins]))
+
+    def apply(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with the columns of ``annotate``, __score, __predicted and __e_value."""
+        x = _normalised(self.tokens.rate, self.k)
+        a, b = self.curve
+        score = F.lit(1.0) / (1.0 + F.exp(-(F.lit(a) + F.lit(b) * F.least(F.greatest(x, F.lit(-40.0)), F.lit(60.0)))))
+        return annotate(docs, self.tokens).withColumn("__score", score).withColumn("__predicted", (F.col("__score") >= PREDICT_AT).cast("int")).withColumn("__e_value", F.exp(-x))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, segments, best_e_value) for each row of ``docs``.
 
-    Labels are learnt from rows that are not held out, on the texts of ``training``
-    (``docs`` by default). Null and empty texts have no passage and the lowest score of
-    their length; labels that are null are not learnt from; a label repeated for an id
-    counts as toxic if any is. Without both classes every score is the share of toxic
-    labels, or 0. Other columns are ignored.
+    Labels are learnt from rows that are not held out. Null and empty texts have no
+    passage and the lowest evidence there is; labels that are null are not learnt from; a label
+    repeated for an id counts as toxic if any is. Without both classes every score is
+    the share of toxic labels, or 0. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
-    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    labels = scratch.table(labels, "labels")
-    few = labels.count() <= BROADCAST_ROWS
-    side = F.broadcast(labels) if few else labels.hint("merge")
-    train_docs = (training if training is not None else docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = TokenScores.train(train_docs.join(side, "doc_id"), scratch)
-
-    scanned = scratch.table(score_segments(docs, model), "segments")
-    own = scanned if training is None else score_segments(train_docs.join(side.select("doc_id"), "doc_id", "left_semi"), model)
-    seen = own.join(side, "doc_id").select("n_words", "best", "toxic")
-    if training is not None:
-        seen = scratch.table(seen, "training")
-    rate = model.rate
-    some = WORD_COST
-    clean = seen.where("toxic = 0").agg(F.sum((F.col("best") > some).cast("double")).alias("hits"), F.sum(F.col("n_words") * math.exp(-rate * some)).alias("room")).first()
-    k = ((clean["hits"] or 0.0) + 0.5) / ((clean["room"] or 0.0) + 1.0)
-    x = _normalised(rate, k)
-    bins = seen.groupBy(F.floor(F.least(F.greatest(x, F.lit(-40.0)), F.lit(60.0)) / BIN).alias("bin"), "toxic").agg(F.count("*").alias("n")).collect()  # at most 802 rows
-    a, b = _logistic([((r["bin"] + 0.5) * BIN, r["toxic"], r["n"]) for r in bins])
-    score = F.lit(1.0) / (1.0 + F.exp(-(F.lit(a) + F.lit(b) * F.least(F.greatest(x, F.lit(-40.0)), F.lit(60.0)))))
-    return scanned.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= PREDICT_AT).cast("int").alias("predicted"), "segments", F.exp(-x).alias("best_e_value"))
+    out = ToxicityModel.fit(docs, labels).apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return out.select(
+        "doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"), F.col("__segments").alias("segments"), F.col("__e_value").alias("best_e_value")
+    )
 
 
 def _normalised(rate: float, k: float) -> Column:
     """Extreme-value normalised score: minus the logarithm of the expected number of such segments by chance."""
-    return F.lit(rate) * F.col("best") - F.log(F.lit(k) * F.greatest(F.col("n_words"), F.lit(1)))
+    return F.lit(rate) * F.col("__best") - F.log(F.lit(k) * F.greatest(F.col("__n_words"), F.lit(1)))
 
 
 def _logistic(points: list[tuple[float, int, int]], ridge: float = 1e-3) -> tuple[float, float]:

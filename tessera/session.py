@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +40,20 @@ def shared_root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once for each context; their own path may not have it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    where = os.path.join(tempfile.mkdtemp(prefix="tessera-zip-"), "tessera_package.zip")
+    with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(home.rglob("*.py")):
+            z.write(path, path.relative_to(home.parent))
+    sc.addPyFile(where)
+    sc._tessera_shipped = True
+
+
 class Scratch:
     """Intermediate tables of one run, written to the shared folder.
 
@@ -45,6 +62,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0

@@ -29,6 +29,9 @@ from tessera.session import Scratch
 SHINGLE = 5
 NUM, DEN = 3, 4  # similarity 0.75 as a fraction
 SKETCH_BITS = 20
+ROUNDS, NEIGHBOURS = 2, 4  # rounds and neighbours in a posting that are tried before all pairs are
+LARGE = 32  # postings of so many members try neighbours whatever their places
+SIZE_STEP = 1.34  # sets of similarity 0.75 lie in the same or neighbouring powers of this size
 
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
@@ -82,11 +85,17 @@ def _classes(docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     return scratch.table(named.mapInArrow(name, "doc_id long, text_key long, n_shingles long, class long"), "classes")
 
 
-def _bounds_hold(a: str, b: str) -> Column:
-    """Size and position bounds of a pair whose first common shingle stands at these places."""
-    na, nb, pa_, pb = (F.col(f"{x}.{y}") for y in ("n", "pos") for x in (a, b))
+def _sizes_hold(a: str, b: str) -> Column:
+    """Whether sets of these sizes can be similar."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (DEN * na >= NUM * nb) & (DEN * nb >= NUM * na)
+
+
+def _places_hold(a: str, b: str) -> Column:
+    """Whether the sets can be similar if their first common shingle stands at these places."""
+    na, nb, at_a, at_b = (F.col(f"{x}.{y}") for y in ("n", "pos") for x in (a, b))
     least = F.ceil((F.lit(NUM) * (na + nb)) / F.lit(NUM + DEN))
-    return (DEN * na >= NUM * nb) & (DEN * nb >= NUM * na) & (1 + F.least(na - pa_ - 1, nb - pb - 1) >= least)
+    return 1 + F.least(na - at_a - 1, nb - at_b - 1) >= least
 
 
 class _Verifier:
@@ -212,31 +221,38 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, bits: int, scrat
     links = verifier.links(done)
     component = connected_components(links, scratch)
 
-    # round 2: neighbours of a posting that lie in two components
-    mixed = scratch.table(_mixed(posts, component), "mixed")
-    by = Window.partitionBy("shingle").orderBy("spread", "class")
-    near = mixed.withColumn("spread", F.xxhash64("class", "shingle")).withColumn("b", F.struct("class", "n", "pos", "component")).withColumn("a", F.lag("b").over(by))
-    near = near.where("a.component <> b.component").select("a", "b")
-    new = scratch.table(_pairs(near).join(done, ["src", "dst"], "left_anti"), "pairs")
-    links = links.unionByName(verifier.links(new))
-    done = done.unionByName(new)
-    component = connected_components(links, scratch)
-
-    # last round: all pairs that lie in two components, one component of a posting against another
-    mixed = scratch.table(_mixed(mixed.select("shingle", "class", "n", "pos"), component), "mixed")
-    parts = mixed.select("shingle", "component").distinct()
-    twos = parts.alias("x").join(parts.alias("y"), "shingle").where("x.component < y.component").select("shingle", F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
-    entry = mixed.select("shingle", "component", F.struct("class", "n", "pos").alias("e"))
-    left = twos.join(entry.select("shingle", F.col("component").alias("ca"), F.col("e").alias("a")), ["shingle", "ca"])
-    rest = left.join(entry.select("shingle", F.col("component").alias("cb"), F.col("e").alias("b")), ["shingle", "cb"])
+    # middle rounds: neighbours of a posting that lie in two components, in a new order each time
+    mixed = posts
+    for turn in range(ROUNDS):
+        mixed = scratch.table(_mixed(mixed, component), "mixed")
+        by = Window.partitionBy("shingle").orderBy("spread", "class")
+        near = mixed.withColumn("spread", F.xxhash64("class", "shingle", F.lit(turn))).withColumn("b", F.struct("class", "n", "pos", "component"))
+        near = near.withColumn("before", F.array(*[F.lag("b", i).over(by) for i in range(1, NEIGHBOURS + 1)])).withColumn("many", F.count("*").over(Window.partitionBy("shingle")))
+        near = near.select("b", "many", F.explode("before").alias("a")).where("a.component <> b.component")
+        new = scratch.table(_pairs(near, F.col("many") >= LARGE).join(done, ["src", "dst"], "left_anti"), "pairs")
+        links = links.unionByName(verifier.links(new))
+        done = done.unionByName(new)
+        component = connected_components(links, scratch)
+        mixed = mixed.select("shingle", "class", "n", "pos")
+
+    # last round: all pairs that lie in two components; one of them is outside the posting's largest
+    mixed = scratch.table(_mixed(mixed, component), "mixed")
+    parts = mixed.groupBy("shingle", "component").agg(F.count("*").alias("many"))
+    largest = parts.groupBy("shingle").agg(F.max(F.struct("many", "component")).alias("top")).select("shingle", F.col("top.component").alias("top"))
+    bucket = F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")
+    entry = F.struct("class", "n", "pos", "component")
+    minor = mixed.join(largest, "shingle").where("component <> top").select("shingle", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), entry.alias("a"))
+    whole = mixed.select("shingle", bucket.alias("bucket"), entry.alias("b"))
+    rest = minor.join(whole, ["shingle", "bucket"]).where("a.component <> b.component")
     rest = scratch.table(_pairs(rest).join(done, ["src", "dst"], "left_anti"), "pairs")
     links = links.unionByName(verifier.links(rest))
     return connected_components(links, scratch).select(F.col("node").alias("class"), F.col("root").alias("component"))
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Distinct class pairs (src < dst) of rows (a, b) that pass the bounds."""
-    met = met.where((F.col("a.class") != F.col("b.class")) & _bounds_hold("a", "b"))
+def _pairs(met: DataFrame, anywhere: Column | None = None) -> DataFrame:
+    """Distinct class pairs (src < dst) of rows (a, b) that pass the bounds; ``anywhere``: sizes alone must fit."""
+    placed = _places_hold("a", "b") if anywhere is None else _places_hold("a", "b") | anywhere
+    met = met.where((F.col("a.class") != F.col("b.class")) & _sizes_hold("a", "b") & placed)
     return met.select(F.least("a.class", "b.class").alias("src"), F.greatest("a.class", "b.class").alias("dst")).distinct()
 
 

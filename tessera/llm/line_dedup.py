@@ -102,7 +102,7 @@ def _windows(hashes: np.ndarray, words: np.ndarray, hits: list[int]) -> set[tupl
 
 
 def find_repeated_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): docs with ``__row``, as written, and (__row, spans array<struct<lo,hi>>) to delete."""
+    """(rows, spans): docs with ``__row``, as written, and (__row, __spans array<struct<lo,hi>>) to delete."""
 
     def number(batches):
         row = TaskContext.get().partitionId() << 40
@@ -155,7 +155,7 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "lo", "hi")
     first = windows.groupBy("run").agg(F.min(place).alias("first"))
     later = windows.join(first, "run").where((F.col("__row") != F.col("first.__row")) | (F.col("lo") >= F.col("first.hi")))
-    spans = later.groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    spans = later.groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("__spans"))
     return rows, scratch.table(spans, "spans")
 
 
@@ -172,10 +172,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     few = spans.count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(spans) if few else spans.hint("merge"), "__row", "left")
     lines = F.split("text", "\n", -1)
-    gone = lambda i: F.exists("spans", lambda s: (s["lo"] <= i) & (i < s["hi"]))
+    gone = lambda i: F.exists("__spans", lambda s: (s["lo"] <= i) & (i < s["hi"]))
     kept = F.filter("__lines", lambda _, i: ~gone(i))
-    out = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("spans").isNull(), F.col("__lines")).otherwise(kept))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
+    out = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__spans").isNull(), F.col("__lines")).otherwise(kept))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n("__lines"))
     n_kept = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n("__kept"))

@@ -29,7 +29,7 @@ from tessera.session import Scratch
 SHINGLE = 5
 NUM, DEN = 3, 4  # similarity 0.75 as a fraction
 SKETCH_BITS = 20
-ROUNDS, NEIGHBOURS = 2, 4  # rounds and neighbours in a posting that are tried before all pairs are
+ROUNDS, NEIGHBOURS = 1, 4  # rounds and neighbours in a posting that are tried before all pairs are
 LARGE = 32  # postings of so many members try neighbours whatever their places
 SIZE_STEP = 1.34  # sets of similarity 0.75 lie in the same or neighbouring powers of this size
 

@@ -202,6 +202,7 @@ PAGES = [
     (1, "http://h/1", "<html><head><title>T</title></head><body><nav><a href='x'>Menu</a></nav><article><header><h1>Head &amp; line</h1></header><p>One  two<br>three<p>Four&nbsp;five</p><div class='share'>Share</div></article><footer>F</footer></body></html>", "Head & line\nOne two three\nFour five"),
     (2, "http://h/2", "<div id='sidebar'>S</div><div class='post-content'><p>Body <b>x</b>y</p><script>var a='</p>';</script></div><div class='comments'><p>c</p></div>", "Body xy"),
     (3, None, None, ""),
+    (6, "http://h/6", "<div class='wrap has-sidebar' data-id='menu'><div class=main-nav>M</div><div ID=content>Text &#x41;&eacute;<div class='content-ad'>buy</div></div></div>", "Text Aé"),
     (4, "http://h/4", "", ""),
     (5, "http://h/5", "plain &lt;text&gt; only", "plain <text> only"),
 ]

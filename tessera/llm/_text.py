@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+LONG_BYTES = 8 << 20
 
 _code = np.arange(256)
 #: Bytes of words ``[^\x20\x09-\x0D]+``.
@@ -85,9 +86,18 @@ def runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte span; equal spans have equal hashes wherever they stand."""
+    """Hash of each byte span; equal spans have equal hashes wherever they stand.
+
+    Spans are in order and don't overlap. A long text is hashed in runs of spans, so that
+    the tables of eight bytes a byte stay small.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) > LONG_BYTES and len(starts) > 1:
+        cuts = np.searchsorted(starts, np.arange(starts[0] + LONG_BYTES // 2, starts[-1] + 1, LONG_BYTES // 2))
+        cuts = np.unique(np.concatenate([[0], cuts, [len(starts)]]))
+        parts = [(starts[a:b], ends[a:b], int(starts[a]), int(ends[b - 1])) for a, b in zip(cuts[:-1], cuts[1:])]
+        return np.concatenate([span_hash(data[lo:hi], s - lo, e - lo) for s, e, lo, hi in parts])
     up, down = _power_tables(len(data))
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0

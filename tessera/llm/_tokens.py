@@ -184,10 +184,36 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def pieces(data: np.ndarray) -> list[np.ndarray]:
+    """A long text in pieces of at most BLOCK bytes that start at white space, where there is any."""
+    cuts = [0]
+    while len(data) - cuts[-1] > BLOCK:
+        space = np.flatnonzero(~NON_SPACE[data[cuts[-1] + BLOCK // 2 : cuts[-1] + BLOCK]])
+        if not len(space):
+            break
+        cuts.append(cuts[-1] + BLOCK // 2 + int(space[-1]))
+    return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)])]
+
+
+def count_column(column: pa.Array | pa.ChunkedArray, path: str) -> np.ndarray:
+    """Number of ids of each row, the end id included."""
+    enc, out = encoder(path), [np.zeros(0, np.int64)]
+    for _, data, offs in blocks(column, BLOCK):
+        if len(offs) == 2 and len(data) > 2 * BLOCK:
+            out.append(np.array([sum(int(enc.block(p, np.array([0, len(p)]), ids=False)[1][-1]) for p in pieces(data))]))
+        else:
+            out.append(np.diff(enc.block(data, offs, ids=False)[1]))
+    return np.concatenate(out) + 1
+
+
 def encode_column(column: pa.Array | pa.ChunkedArray, path: str):
     """Yield (row, ids with the end id) for each row, in order."""
     enc = encoder(path)
     for lo, data, offs in blocks(column, BLOCK):
+        if len(offs) == 2 and len(data) > 2 * BLOCK:
+            parts = [enc.block(piece, np.array([0, len(piece)]))[0] for piece in pieces(data)]
+            yield lo, np.append(np.concatenate(parts), np.uint16(END_ID))
+            continue
         ids, bounds = enc.block(data, offs)
         for i in range(len(offs) - 1):
             one = ids[bounds[i] : bounds[i + 1]]

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._text import blocks
-from tessera.llm._tokens import BLOCK, encoder, vocabulary_path
+from tessera.llm._tokens import count_column, vocabulary_path
 from tessera.session import Scratch
 
 BLOCK_LENGTHS = 256
@@ -19,11 +17,8 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or vocabulary_path()
 
     def count(batches):
-        enc = encoder(path)
         for batch in batches:
-            lens = [np.diff(enc.block(data, offs, ids=False)[1]) + 1 for _, data, offs in blocks(batch.column(0), BLOCK)]
-            if lens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lens))], names=["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(count_column(batch.column(0), path))], names=["n_tokens"])
 
     return docs.select("text").mapInArrow(count, "n_tokens long")
 

@@ -49,6 +49,19 @@ def test_ids_equal_the_library(texts):
         assert ids.tolist() == whole.encode(texts[row], add_special_tokens=False).ids + [1]
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    text = " ".join("".join(rng.choice(list("abcé'1."), rng.integers(1, 9))) for _ in range(3000))
+    data, offs = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    whole = _text.Words(data, offs, _text.NON_SPACE, False).hash
+    want = [ids.tolist() for _, ids in _tokens.encode_column(pa.array([text]), _tokens.vocabulary_path())]
+    monkeypatch.setattr(_text, "LONG_BYTES", 512)
+    monkeypatch.setattr(_tokens, "BLOCK", 600)
+    assert (_text.Words(data, offs, _text.NON_SPACE, False).hash == whole).all()
+    assert [ids.tolist() for _, ids in _tokens.encode_column(pa.array([text]), _tokens.vocabulary_path())] == want == [library_ids(text)]
+    assert _tokens.count_column(pa.array([text]), _tokens.vocabulary_path()).tolist() == [len(want[0])]
+
+
 def library_ids(text):
     return _tokens.encoder(_tokens.vocabulary_path()).whole.encode(text or "", add_special_tokens=False).ids + [1]
 

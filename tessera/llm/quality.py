@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.session import Scratch
 
 WINDOW = 8
-ROUNDS = 25
+ROUNDS = 10
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 THRESHOLD = 0.5

@@ -88,16 +88,27 @@ def runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each byte span; equal spans have equal hashes wherever they stand.
 
-    Spans are in order and don't overlap. A long text is hashed in runs of spans, so that
-    the tables of eight bytes a byte stay small.
+    Spans are in order and don't overlap. A long text is hashed in runs of spans, and a
+    span of half LONG_BYTES by itself, so that the tables of eight bytes a byte stay small.
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    if len(data) > LONG_BYTES and len(starts) > 1:
-        cuts = np.searchsorted(starts, np.arange(starts[0] + LONG_BYTES // 2, starts[-1] + 1, LONG_BYTES // 2))
-        cuts = np.unique(np.concatenate([[0], cuts, [len(starts)]]))
-        parts = [(starts[a:b], ends[a:b], int(starts[a]), int(ends[b - 1])) for a, b in zip(cuts[:-1], cuts[1:])]
-        return np.concatenate([span_hash(data[lo:hi], s - lo, e - lo) for s, e, lo, hi in parts])
+    if len(data) <= LONG_BYTES:
+        return _spans(data, starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    long = ends - starts > LONG_BYTES // 2
+    for i in np.flatnonzero(long):
+        out[i] = _long_span(data[starts[i] : ends[i]])
+    short = np.flatnonzero(~long)
+    if len(short):
+        cell = starts[short] // (LONG_BYTES // 2)  # spans that start in one cell cover at most LONG_BYTES
+        for run in np.split(short, np.flatnonzero(np.diff(cell)) + 1):
+            lo, hi = starts[run[0]], ends[run[-1]]
+            out[run] = _spans(data[lo:hi], starts[run] - lo, ends[run] - lo)
+    return out
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _power_tables(len(data))
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
@@ -105,6 +116,17 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def _long_span(data: np.ndarray) -> np.uint64:
+    """Hash of one span in chunks, with a running sum and the power carried on."""
+    total, carry = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for at in range(0, len(data), BLOCK_BYTES):
+        chunk = data[at : at + BLOCK_BYTES]
+        up, _ = _power_tables(len(chunk))
+        total += carry * np.sum(_BYTE[chunk] * up[: len(chunk)], dtype=np.uint64)
+        carry *= up[len(chunk)]
+    return mix(total)[0]
+
+
 class Words:
     """Words of the rows of a block: byte spans, hashes, and each row's range of words."""
 

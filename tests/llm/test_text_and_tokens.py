@@ -62,6 +62,25 @@ def test_long_texts_in_pieces(monkeypatch):
     assert _tokens.count_column(pa.array([text]), _tokens.vocabulary_path()).tolist() == [len(want[0])]
 
 
+@pytest.mark.parametrize("space", [" ", "\n"])
+def test_short_span_before_a_very_long_one(space):
+    raw = f"title{space}{'abcdefghij' * 950_000}{space}title".encode()
+    data, ends = np.frombuffer(raw, np.uint8), np.array([5, len(raw) - 6, len(raw)])
+    starts = np.array([0, 6, len(raw) - 5])
+    got = _text.span_hash(data, starts, ends)
+    assert (got == _text.Words(data, np.array([0, len(raw)]), _text.NON_SPACE, False).hash).all()
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_text._BYTE[data] * _text._power_tables(len(data))[0][: len(data)])])
+    assert (got == _text.mix((total[ends] - total[starts]) * _text._power_tables(len(data))[1][starts])).all()
+
+
+def test_ids_of_a_short_word_before_a_very_long_one():
+    text = "word " + "abcdefghij" * 950_000
+    path = _tokens.vocabulary_path()
+    (_, ids), *rest = _tokens.encode_column(pa.array([text]), path)
+    assert not rest and ids.tolist() == library_ids(text)
+    assert _tokens.count_column(pa.array([text]), path).tolist() == [len(ids)]
+
+
 def library_ids(text):
     return _tokens.encoder(_tokens.vocabulary_path()).whole.encode(text or "", add_special_tokens=False).ids + [1]
 

@@ -159,7 +159,10 @@ def annotate(docs: DataFrame, model: TokenScores) -> DataFrame:
             for _, data, offs in blocks(batch.column(at_text)):
                 words = Words(data, offs, ALNUM, True)
                 scores = model.of(as_long(words.hash))
-                scores[1:][words.hash[1:] == words.hash[:-1]] = 0.0
+                again = np.zeros(len(scores), bool)
+                again[1:] = words.hash[1:] == words.hash[:-1]
+                again[words.bounds[:-1][words.counts > 0]] = False  # a row's first word repeats none
+                scores[again] = 0.0
                 at = np.flatnonzero(scores)
                 bounds = np.searchsorted(at, words.bounds)
                 for i in range(len(words)):

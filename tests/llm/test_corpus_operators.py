@@ -4,13 +4,14 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, html_text, jaccard_join, line_dedup, quality, queries, sharding, toxicity
+from tessera.llm import _text, decontaminate, html_text, jaccard_join, line_dedup, quality, queries, sharding, toxicity
 from tessera.session import Scratch
 
 
@@ -198,6 +199,17 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.score_toxicity(odd.where("false"), labels).count() == 0
 
 
+def test_toxicity_of_neighbouring_copies(spark):
+    texts = ["vile", "vile", "", "vile", "vile vile", "good vile", "vile good"]
+    _, data, offs = next(_text.blocks(pa.array(["vile"])))
+    token = _text.as_long(_text.Words(data, offs, _text.ALNUM, True).hash)
+    model = toxicity.TokenScores(token, np.array([2.0]), 1.0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    best = {r.doc_id: r["__best"] for r in toxicity.annotate(docs, model).collect()}
+    one = 2.0 - toxicity.WORD_COST
+    assert [best[i] for i in range(7)] == pytest.approx([one, one, 0, one, one, one, one])
+
+
 PAGES = [
     (1, "http://h/1", "<html><head><title>T</title></head><body><nav><a href='x'>Menu</a></nav><article><header><h1>Head &amp; line</h1></header><p>One  two<br>three<p>Four&nbsp;five</p><div class='share'>Share</div></article><footer>F</footer></body></html>", "Head & line\nOne two three\nFour five"),
     (2, "http://h/2", "<div id='sidebar'>S</div><div class='post-content'><p>Body <b>x</b>y</p><script>var a='</p>';</script></div><div class='comments'><p>c</p></div>", "Body xy"),

@@ -236,6 +236,32 @@ def test_pages_by_host_suffixes(spark):
     assert out[50] == "Welcome to the very best site on earth"
 
 
+def test_pages_of_a_large_host(spark):
+    """A passage on two of very many pages goes, even where a date in it differs."""
+    own = lambda i: " ".join(f"u{i}w{j}" for j in range(30))
+    twins = {10 * k + day: " ".join(f"s{k}w{j}" for j in range(20)) + f" on day {day}" for k in range(20) for day in (0, 7)}
+    texts = [(i, f"<div>{own(i)}</div>" + (f"<div>{twins[i]}</div>" if i in twins else "")) for i in range(768)]
+    frame = spark.createDataFrame([(i, f"https://big.org/{i}", t) for i, t in texts] + [(10_000, "https://other.org/", f"<div>{twins[0]}</div>")], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_text.extract_main_text(frame).collect()}
+    assert len(out) == len(texts) + 1 and out[10_000] == twins[0]
+    assert all(out[i] == own(i) for i, _ in texts)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="ab ", min_size=1, max_size=12), max_size=3), min_size=1, max_size=4))
+def test_counted_strings_cover_as_the_suffix_array(pages):
+    pages = [[" ".join(b.split()) for b in one if b.split()] for one in pages]
+    n, column = len(pages), pa.array(pages, pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array([5] * n, pa.int64()), pa.array(range(n), pa.int64()), column], names=["h", "row", "open"])
+    keys = next(html_text.string_keys([batch])).to_pandas()
+    twice = keys.groupby("key").row.nunique().loc[lambda c: c > 1].index
+    repeated = [keys[(keys.row == i) & keys.key.isin(twice)].key.tolist() or None for i in range(n)]
+    nothing = pa.nulls(n)
+    batch = pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, column, nothing, pa.array([5] * n, pa.int64()), pa.array(repeated, pa.list_(pa.int64()))], names=list("abcdefgh"))
+    got = next(html_text.cover_by_keys([batch])).column(6).to_pylist()
+    assert got == [(s >= html_text.COVERED).tolist() for s in html_text.covered_blocks(pages)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.text(alphabet="ab ", min_size=1, max_size=12), max_size=3), min_size=1, max_size=4))
 def test_suffix_cover_brute_force(pages):

@@ -27,7 +27,7 @@ from tessera.session import Scratch
 
 PRIOR_COUNTS, PRIOR_SHARE = 5000.0, 0.01  # the prior's pseudo-counts: a constant and a share of all counts
 SURE = 2.0  # standard errors taken off a log-odds
-MODEL_TOKENS = 1 << 16  # bound of the model: tokens of largest score
+MODEL_TOKENS = 1 << 16  # bound of what is broadcast; beyond it, scores of rarer tokens are joined to the texts
 WORD_COST = 0.05
 PREDICT_AT = 0.7
 BROADCAST_ROWS = 500_000
@@ -65,11 +65,15 @@ def _token_counts(labelled: DataFrame) -> DataFrame:
 
 
 class TokenScores:
-    """The bounded table of scoring tokens and the clean score distribution's rate."""
+    """The scoring tokens and the clean score distribution's rate.
 
-    def __init__(self, tokens: np.ndarray, scores: np.ndarray, rate: float):
+    ``tokens`` and ``scores`` are held in memory. ``rest`` is a table (token, score) of
+    the scoring tokens beyond them, or None; no token is in both.
+    """
+
+    def __init__(self, tokens: np.ndarray, scores: np.ndarray, rate: float, rest: DataFrame | None = None):
         order = np.argsort(tokens)
-        self.tokens, self.scores, self.rate = tokens[order], scores[order], rate
+        self.tokens, self.scores, self.rate, self.rest = tokens[order], scores[order], rate, rest
 
     @classmethod
     def train(cls, labelled: DataFrame, scratch: Scratch) -> TokenScores:
@@ -83,13 +87,24 @@ class TokenScores:
         y1, y0 = F.col("toxic") + F.col("a"), F.col("clean") + F.col("a")
         odds = F.log(y1 / (n1 + a0 - y1)) - F.log(y0 / (n0 + a0 - y0))
         sure = F.greatest(F.abs(odds) - SURE * F.sqrt(1 / y1 + 1 / y0), F.lit(0.0))
-        scored = scored.withColumn("score", F.signum(odds) * sure).where("score <> 0")
-        rows = scored.orderBy(F.desc(F.abs("score")), "token").limit(MODEL_TOKENS).select("token", "score", "clean").collect()
+        scored = scored.withColumn("score", F.signum(odds) * sure)
+        rows = scored.where("score <> 0").orderBy(F.desc(F.abs("score")), "token").limit(MODEL_TOKENS + 1).select("token", "score", "clean").collect()
+        if len(rows) > MODEL_TOKENS:
+            return cls._of_table(scratch.table(scored.select("token", "score", "clean", (F.col("toxic") + F.col("clean")).alias("n")), "scores"), n0, scratch)
         tokens = np.array([r["token"] for r in rows], np.int64)
         scores = np.array([r["score"] for r in rows], float)
         share = np.array([r["clean"] + 0.5 for r in rows], float) / (n0 + 0.5 * len(rows) + 1)
         return cls(tokens, scores, _rate(scores - WORD_COST, share))
 
+    @classmethod
+    def _of_table(cls, scored: DataFrame, n0: float, scratch: Scratch) -> TokenScores:
+        """Most frequent tokens in memory, with or without a score, so that none of many places is shuffled; all others in a table."""
+        top = scored.orderBy(F.desc("n"), "token").limit(MODEL_TOKENS).select("token", "score", "n").collect()
+        n, token = top[-1]["n"], top[-1]["token"]
+        scored = scored.where("score <> 0")
+        rest = scratch.table(scored.where((F.col("n") < n) | (F.col("n") == n) & (F.col("token") > token)).select("token", "score"), "rest")
+        return cls(np.array([r["token"] for r in top], np.int64), np.array([r["score"] for r in top], float), _rate_of_table(scored, n0), rest)
+
     def of(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.tokens):
             return np.zeros(len(tokens))
@@ -112,6 +127,32 @@ def _rate(scores: np.ndarray, share: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
+def _rate_of_table(scored: DataFrame, n0: float) -> float:
+    """``_rate`` over a table of scoring tokens; each aggregate tries 31 rates at once."""
+    m, most = scored.agg(F.count("*"), F.max("score")).first()
+    share = (F.col("clean") + 0.5) / (n0 + 0.5 * m + 1)
+    rest = max(0.0, 1 - scored.agg(F.sum(share)).first()[0])
+
+    def below(rates: np.ndarray) -> int:
+        """How many of the rising rates lie below the root."""
+        terms = [F.sum(share * F.exp(F.least(F.lit(float(r)) * (F.col("score") - WORD_COST), F.lit(600.0)))).alias(f"r{i}") for i, r in enumerate(rates)]
+        values = np.array(scored.agg(*terms).first()) + rest * np.exp(-rates * WORD_COST) - 1
+        return int(np.argmax(np.append(values, 0.0) >= 0))
+
+    if most <= WORD_COST:
+        return 1.0
+    grid = 1e-3 * 2.0 ** np.arange(17)
+    k = below(grid)
+    if k == 0:
+        return float(grid[0])
+    lo, hi = grid[0], grid[min(k, len(grid) - 1)]
+    for _ in range(10):
+        grid = np.linspace(lo, hi, 33)
+        k = below(grid[1:-1])
+        lo, hi = grid[k], grid[k + 1]
+    return float((lo + hi) / 2)
+
+
 def maximal_segments(places: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal segments of positive total, as (first place, end place, score), in one pass.
 
@@ -148,17 +189,20 @@ ADDED = {"__n_words": "long", "__segments": SEGMENTS, "__best": "double"}
 
 def annotate(docs: DataFrame, model: TokenScores) -> DataFrame:
     """``docs`` with the number of words, the toxic passages by word places, and the best passage's score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(TokenScores(model.tokens, model.scores, model.rate))
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("score", pa.float64())]))
-    at_text = docs.columns.index("text")
+    at_text, width = docs.columns.index("text"), len(docs.columns)
 
     def scan(batches):
         model = held.value
         for batch in batches:
+            met = _met(batch.column(width)) if batch.num_columns > width else None
             ns, found, best = [], [], []
             for _, data, offs in blocks(batch.column(at_text)):
                 words = Words(data, offs, ALNUM, True)
                 scores = model.of(as_long(words.hash))
+                if met:
+                    scores += met.of(as_long(words.hash))
                 again = np.zeros(len(scores), bool)
                 again[1:] = words.hash[1:] == words.hash[:-1]
                 again[words.bounds[:-1][words.counts > 0]] = False  # a row's first word repeats none
@@ -171,10 +215,41 @@ def annotate(docs: DataFrame, model: TokenScores) -> DataFrame:
                     found.append([{"lo": a, "hi": b, "score": s} for a, b, s in segments])
                     best.append(max((s for _, _, s in segments), default=0.0))
                 ns.extend(words.counts.tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ns, pa.int64()), pa.array(found, kind), pa.array(best, pa.float64())], names=[*batch.schema.names, *ADDED])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(ns, pa.int64()), pa.array(found, kind), pa.array(best, pa.float64())], names=[*batch.schema.names[:width], *ADDED])
 
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in ADDED.items())).fields])
-    return docs.mapInArrow(scan, schema)
+    return (docs if model.rest is None else _with_rest(docs, model, held)).mapInArrow(scan, schema)
+
+
+def _with_rest(docs: DataFrame, model: TokenScores, held) -> DataFrame:
+    """``docs`` with one more column: the scores that lie in the model's table of each text's tokens.
+
+    Texts are named by a hash; two that share it get each other's scores too, which
+    changes nothing, as a token's score is the same in every text.
+    """
+
+    def tokens(batches):
+        known = held.value.tokens
+        for batch in batches:
+            for lo, data, offs in blocks(batch.column(1)):
+                words = Words(data, offs, ALNUM, True)
+                at = np.minimum(np.searchsorted(known, as_long(words.hash)), len(known) - 1)
+                new = np.flatnonzero(known[at] != as_long(words.hash))
+                row = np.repeat(np.arange(len(words)), words.counts)[new]
+                pairs = pd.DataFrame({"__key": batch.column(0).to_numpy()[lo + row], "token": as_long(words.hash)[new]}).drop_duplicates()
+                yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
+
+    named = docs.withColumn("__key", F.xxhash64("text"))
+    pairs = named.select("__key", "text").mapInArrow(tokens, "__key long, token long")
+    met = pairs.join(model.rest, "token").groupBy("__key").agg(F.collect_set(F.struct("token", "score")).alias("__met"))
+    return named.join(met, "__key", "left").select(*docs.columns, "__met")
+
+
+def _met(column: pa.ListArray) -> TokenScores | None:
+    """The scores that any text of a batch has from the table."""
+    rows = column.flatten()
+    tokens, first = np.unique(rows.field(0).to_numpy(zero_copy_only=False), return_index=True)
+    return TokenScores(tokens, rows.field(1).to_numpy(zero_copy_only=False)[first], 1.0) if len(tokens) else None
 
 
 def held_out() -> Column:

@@ -210,6 +210,17 @@ def test_toxicity_of_neighbouring_copies(spark):
     assert [best[i] for i in range(7)] == pytest.approx([one, one, 0, one, one, one, one])
 
 
+def test_toxicity_beyond_the_broadcast_bound(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    docs = docs.unionByName(docs.limit(20)).unionByName(spark.createDataFrame([(-1, None), (-2, "")], docs.schema))
+    rows = lambda: sorted(((r.doc_id, r.score, [(x.lo, x.hi) for x in r.segments]) for r in toxicity.score_toxicity(docs, labels).collect()), key=repr)
+    whole = rows()
+    monkeypatch.setattr(toxicity, "MODEL_TOKENS", 8)
+    for (i, score, segments), (j, other, found) in zip(whole, rows(), strict=True):
+        assert i == j and other == pytest.approx(score, abs=1e-6) and found == segments
+
+
 PAGES = [
     (1, "http://h/1", "<html><head><title>T</title></head><body><nav><a href='x'>Menu</a></nav><article><header><h1>Head &amp; line</h1></header><p>One  two<br>three<p>Four&nbsp;five</p><div class='share'>Share</div></article><footer>F</footer></body></html>", "Head & line\nOne two three\nFour five"),
     (2, "http://h/2", "<div id='sidebar'>S</div><div class='post-content'><p>Body <b>x</b>y</p><script>var a='</p>';</script></div><div class='comments'><p>c</p></div>", "Body xy"),

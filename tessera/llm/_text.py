@@ -7,11 +7,13 @@ the bytes, with no Python step per word. All hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
-LONG_BYTES = 8 << 20
 
 _code = np.arange(256)
 #: Bytes of words ``[^\x20\x09-\x0D]+``.
@@ -21,21 +23,12 @@ ALNUM = (_code >= 128) | ((_code >= 48) & (_code <= 57)) | ((_code >= 65) & (_co
 LOWER = _code.astype(np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _M = np.uint64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n + 1:
-        size = max(n + 1, BLOCK_BYTES + (1 << 17))
-        up, down = np.full(size, _P, np.uint64), np.full(size, _P_INV, np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers[0], _powers[1]
+_LANE = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xA0761D6478BD642F)
+#: What is kept of eight bytes when only so many belong to the span.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LANES_AT_ONCE = 1 << 17
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -85,46 +78,40 @@ def runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Yield (spans, places, lanes): the eight-byte lanes of byte spans, in runs of bounded size.
+
+    ``spans`` names the span of each lane and ``places`` its number within the span; bytes
+    past a span's end are zero. Spans are in order; a long one is spread over several runs.
+    """
+    size = ends - starts
+    upto = np.cumsum((size + 7) >> 3)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    for lo in range(0, int(upto[-1]) if len(upto) else 0, LANES_AT_ONCE):
+        hi = min(lo + LANES_AT_ONCE, int(upto[-1]))
+        first, last = np.searchsorted(upto, [lo, hi - 1], "right")
+        many = np.diff(np.clip(upto[first : last + 1], lo, hi), prepend=lo)
+        spans = np.repeat(np.arange(first, last + 1), many)
+        places = np.arange(lo, hi) - (upto[spans] - ((size[spans] + 7) >> 3))
+        at = starts[spans] + 8 * places
+        yield spans, places, wide[at] & _KEEP[np.minimum(ends[spans] - at, 8)]
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hash of each byte span; equal spans have equal hashes wherever they stand.
 
-    Spans are in order and don't overlap. A long text is hashed in runs of spans, and a
-    span of half LONG_BYTES by itself, so that the tables of eight bytes a byte stay small.
+    Every lane of eight bytes is mixed with its place in the span by a non-linear function
+    and the lanes' values are added up, so patterns of bytes don't cancel each other out.
+    ``seed`` chooses another function of the same kind.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    if len(data) <= LONG_BYTES:
-        return _spans(data, starts, ends)
-    out = np.empty(len(starts), np.uint64)
-    long = ends - starts > LONG_BYTES // 2
-    for i in np.flatnonzero(long):
-        out[i] = _long_span(data[starts[i] : ends[i]])
-    short = np.flatnonzero(~long)
-    if len(short):
-        cell = starts[short] // (LONG_BYTES // 2)  # spans that start in one cell cover at most LONG_BYTES
-        for run in np.split(short, np.flatnonzero(np.diff(cell)) + 1):
-            lo, hi = starts[run[0]], ends[run[-1]]
-            out[run] = _spans(data[lo:hi], starts[run] - lo, ends[run] - lo)
-    return out
-
-
-def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _power_tables(len(data))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
-
-
-def _long_span(data: np.ndarray) -> np.uint64:
-    """Hash of one span in chunks, with a running sum and the power carried on."""
-    total, carry = np.zeros(1, np.uint64), np.ones(1, np.uint64)
-    for at in range(0, len(data), BLOCK_BYTES):
-        chunk = data[at : at + BLOCK_BYTES]
-        up, _ = _power_tables(len(chunk))
-        total += carry * np.sum(_BYTE[chunk] * up[: len(chunk)], dtype=np.uint64)
-        carry *= up[len(chunk)]
-    return mix(total)[0]
+    total = np.zeros(len(starts), np.uint64)
+    salt = mix(np.array([seed], np.uint64))[0] if seed else np.uint64(0)
+    for spans, places, lanes in span_lanes(data, starts, ends):
+        value = mix(lanes ^ mix((places + 1).astype(np.uint64) * _LANE + salt))
+        first = np.flatnonzero(np.diff(spans, prepend=-1))
+        total[spans[first]] += np.add.reduceat(value, first)
+    return mix(total + (ends - starts).astype(np.uint64) * _LENGTH + salt)
 
 
 class Words:
@@ -174,3 +161,24 @@ class Words:
 
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def tidy(function, tokens: bool = False):
+    """``function`` over a task's batches, giving memory back when the task ends.
+
+    Python workers are used again by later tasks; what one leaves behind would add to the
+    peak of the next. ``tokens``: keep the encoders, which the next task may use.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            held = sys.modules.get("tessera.llm._tokens")
+            if held is not None and not tokens:
+                held._encoders.clear()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run

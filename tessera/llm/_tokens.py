@@ -5,11 +5,13 @@ plain word (ASCII or Latin-1 letters) into runs of letters, single digits and ru
 of other signs. So a block of texts is cut into such pieces with numpy, only pieces
 that this worker has not met go through the tokenizers library, and ids are gathered
 from the store. A word with an apostrophe, an opening ``<|`` or any other character
-goes through the whole tokenizer as it stands.
+goes through the whole tokenizer as it stands, and so does every text if the vocabulary
+file has other text rules than these.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -17,16 +19,29 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from tessera.llm._text import LOWER, NON_SPACE, _code, blocks, runs, span_hash
+from tessera.llm._text import LOWER, NON_SPACE, blocks, runs, span_hash, span_lanes
 
 END_ID = 1
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _PLAIN = np.where(~NON_SPACE, 0, 3).astype(np.uint8)
 _PLAIN[65:91] = _PLAIN[97:123] = 1
 _PLAIN[48:58] = 2
 _COMPLEX_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
+#: The text rules under which a text may be cut into pieces as below.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def _byte_characters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -41,9 +56,14 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of the pieces met so far, in two indexes: a large one and a recent one."""
+    """Ids of the pieces met so far, in two indexes: a large one and a recent one.
 
-    MOST = 2_000_000
+    A hit counts only if the stored bytes are those of the piece. Once the store holds over
+    ``MOST_BYTES`` its later half goes (frequent pieces come early), so a worker's memory
+    doesn't grow with its input.
+    """
+
+    MOST_BYTES = 48 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,13 +79,31 @@ class Encoder:
         for token, i in self.whole.get_vocab().items():
             self.last[i] = token.endswith("</w>")
         self.table = _byte_characters()
+        rules = json.loads(self.whole.to_str())
+        self.known = rules["normalizer"] == KNOWN["normalizer"] and rules["pre_tokenizer"] == KNOWN["pre_tokenizer"]
+        self.known &= all(t["content"].startswith("<|") for t in rules["added_tokens"])
         self.clear()
 
     def clear(self) -> None:
         self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
         self.index = [pd.Index(k) for k in self.keys]
-        self.lens, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.lens, self.begin = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.store, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.size, self.lane_at = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.lanes, self.lanes_used = np.zeros(1 << 15, np.uint64), 0
+
+    def held_bytes(self) -> int:
+        """What the store takes: ids, lanes and, for each piece, its entry, key and place in an index."""
+        return self.store.nbytes + self.lanes.nbytes + len(self.lens) * (16 + 8 + 40)
+
+    def shrink(self) -> None:
+        """Keep the first half of the entries."""
+        half = len(self.lens) // 2
+        self.used, self.lanes_used = int(self.begin[half]), int(self.lane_at[half])
+        self.store, self.lanes = self.store[: self.used].copy(), self.lanes[: self.lanes_used].copy()
+        self.lens, self.begin, self.size, self.lane_at = (a[:half].copy() for a in (self.lens, self.begin, self.size, self.lane_at))
+        self.keys = [np.concatenate(self.keys)[:half], np.zeros(0, np.uint64)]
+        self.index = [pd.Index(k) for k in self.keys]
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         at = self.index[0].get_indexer(h)
@@ -75,19 +113,37 @@ class Encoder:
             at[miss] = np.where(found < 0, -1, found + len(self.keys[0]))
         return at
 
-    def _add(self, keys: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
+    def _add(self, keys: np.ndarray, flat: np.ndarray, lens: np.ndarray, size: np.ndarray, lanes: np.ndarray) -> None:
         while self.used + len(flat) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint16)])
+            self.store = np.concatenate([self.store, np.zeros(max(len(self.store), 1 << 12), np.uint16)])
+        while self.lanes_used + len(lanes) > len(self.lanes):
+            self.lanes = np.concatenate([self.lanes, np.zeros(max(len(self.lanes), 1 << 12), np.uint64)])
         self.store[self.used : self.used + len(flat)] = flat
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
+        self.lanes[self.lanes_used : self.lanes_used + len(lanes)] = lanes
+        many = ((size >> 1) + 7) >> 3
+        grow = lambda held, new: np.concatenate([held, new.astype(np.int32)])
+        self.begin, self.lens = grow(self.begin, self.used + np.cumsum(lens) - lens), grow(self.lens, lens)
+        self.lane_at, self.size = grow(self.lane_at, self.lanes_used + np.cumsum(many) - many), grow(self.size, size)
         self.used += len(flat)
+        self.lanes_used += len(lanes)
         self.keys[1] = np.concatenate([self.keys[1], keys])
         if len(self.keys[1]) > max(50_000, len(self.keys[0]) // 4):
             self.keys = [np.concatenate(self.keys), np.zeros(0, np.uint64)]
             self.index[0] = pd.Index(self.keys[0])
         self.index[1] = pd.Index(self.keys[1])
 
+    def _differ(self, source: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_odd: np.ndarray, at: np.ndarray) -> bool:
+        """Whether any piece is not the entry that its hash has found, by kind and bytes."""
+        if (self.size[at] != 2 * (ends - starts) + is_odd).any():
+            return True
+        return any((self.lanes[self.lane_at[at[spans]] + places] != lanes).any() for spans, places, lanes in span_lanes(source, starts, ends))
+
+    def _whole(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) by the library alone, text by text."""
+        raw = data.tobytes()
+        flat, lens = _end_to_end(self.whole.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], add_special_tokens=False))
+        return flat, np.concatenate([[0], np.cumsum(lens)])
+
     def _plain_ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces without white space, end to end, and how many each has."""
         texts = [p.decode("ascii") if p.isalnum() else p.decode("latin1").translate(self.table) for p in pieces]
@@ -102,6 +158,8 @@ class Encoder:
         """(ids of all rows, bounds of each row), without end ids; the bounds alone are cheaper."""
         if not len(data):
             return np.zeros(0, np.uint16), np.zeros(len(offs), np.int64)
+        if not self.known:
+            return self._whole(data, offs)
         kind, low = _PLAIN[data], LOWER[data]
         odd = data == 39
         high = data >= 128
@@ -142,8 +200,8 @@ class Encoder:
             source = low
         h = span_hash(source, starts, ends)
         h[is_odd] ^= _COMPLEX_SALT
-        if len(self.lens) > self.MOST:
-            self.clear()
+        if self.held_bytes() > self.MOST_BYTES:
+            self.shrink() if len(self.lens) > 1000 else self.clear()
         at = self._find(h)
         miss = np.flatnonzero(at < 0)
         if len(miss):
@@ -155,12 +213,16 @@ class Encoder:
             odd_first = is_odd[first]
             if not odd_first.all():
                 plain = first[~odd_first]
-                self._add(keys[~odd_first], *self._plain_ids([raw[s:e] for s, e in zip(starts[plain].tolist(), ends[plain].tolist())]))
+                flat, lens = self._plain_ids([raw[s:e] for s, e in zip(starts[plain].tolist(), ends[plain].tolist())])
+                self._add(keys[~odd_first], flat, lens, *_bytes_of(source, starts[plain], ends[plain], 0))
             if odd_first.any():
                 words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[odd_first]].tolist(), ends[first[odd_first]].tolist())]
-                self._add(keys[odd_first], *_end_to_end(self.whole.encode_batch_fast(words, add_special_tokens=False)))
+                flat, lens = _end_to_end(self.whole.encode_batch_fast(words, add_special_tokens=False))
+                self._add(keys[odd_first], flat, lens, *_bytes_of(source, starts[first[odd_first]], ends[first[odd_first]], 1))
             at = self._find(h)
-        lens, begin = self.lens[at], self.begin[at]
+        if self._differ(source, starts, ends, is_odd, at):
+            return self._whole(data, offs)
+        lens, begin = self.lens[at].astype(np.int64), self.begin[at].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(lens)])
         bounds = total[np.searchsorted(starts, offs)]
         if not ids:
@@ -174,6 +236,12 @@ def _end_to_end(encodings: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for one in ids for i in one], np.uint16), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
+def _bytes_of(source: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: int) -> tuple[np.ndarray, np.ndarray]:
+    """(twice the size of each span and whether it is odd, lanes of all spans end to end)."""
+    lanes = [lanes for _, _, lanes in span_lanes(source, starts, ends)]
+    return 2 * (ends - starts) + odd, np.concatenate([np.zeros(0, np.uint64), *lanes])
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm._text import tidy
 from tessera.llm._tokens import crc_of, encode_column, vocabulary_path
 from tessera.session import Scratch
 
@@ -94,7 +95,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long"
+        tidy(cut, tokens=True), "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long"
     )
 
 

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm._text import tidy
 from tessera.llm._tokens import crc_of, encode_column, vocabulary_path
 from tessera.session import Scratch
 
@@ -167,7 +168,7 @@ def write_token_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", tex
     tie = F.xxhash64(text_col)
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = dealt.repartitionByRange("doc_id", tie.alias("tie")).sortWithinPartitions("doc_id", tie, "text")
-    rows = dealt.mapInArrow(write, "part long, path string, n_docs long, n_tokens long").collect()  # one row a file
+    rows = dealt.mapInArrow(tidy(write, tokens=True), "part long, path string, n_docs long, n_tokens long").collect()  # one row a file
     files, start = [], 0
     for r in sorted(rows, key=lambda r: r["part"]):
         files.append({"path": r["path"], "n_docs": r["n_docs"], "n_tokens": r["n_tokens"], "start": start})
@@ -216,7 +217,7 @@ def read_token_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return manifest.select("path", "start").mapInArrow(read, schema)
+    return manifest.select("path", "start").mapInArrow(tidy(read), schema)
 
 
 def fetch_documents(path: str, doc_ids: list[int]) -> pd.DataFrame:

@@ -2,32 +2,35 @@
 
 A gram is the shortest run of lines from a line on with at least 25 words, a window the
 same with 50. Each window's smallest gram hash is a fingerprint, so any run of 50 words
-that stands in two places has a fingerprint in common. Places that share a fingerprint
-are joined, and each hit is extended both ways to all windows around it; a window whose
-lines stood earlier is deleted. Earlier means a smaller document id (null last), then
-the order of rows, then the line.
+that stands in two places has a fingerprint in common. Positions of shared fingerprints
+are joined to their texts, and each is extended both ways over the lines around it to every
+window that can hold it; windows are joined to the first place of the same lines (by two 64-bit
+hashes), and a window whose lines stood earlier is deleted. Earlier means a
+smaller document id (null last), then the order of rows, then the line. Joining each
+place to the first one, not to all others, keeps a line of many copies from being squared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._text import NON_SPACE, blocks, runs, span_hash
+from tessera.llm._skew import join_counted
+from tessera.llm._text import NON_SPACE, as_long, blocks, mix, runs, span_hash, tidy
 from tessera.session import Scratch
 
 GRAM_WORDS = 25
 RUN_WORDS = 50
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 8 << 20
 
-_M = np.uint64(0xD6E8FEB86659FD93)
+#: Primes below 2 ** 31 and the bases of the hashes of line runs.
+_RINGS = ((2147483647, 1103515245), (2147483629, 1664525), (2147483587, 214013), (2147483579, 69069))
 
 
 def _lines(data: np.ndarray, offs: np.ndarray):
-    """(hash, words, bounds) of the \\n-split lines of each row; an empty row has one empty line."""
+    """(two hashes, words, bounds) of the \n-split lines of each row; an empty row has one empty line."""
     n = len(data)
     breaks = np.flatnonzero(data == 10)
     inner = np.searchsorted(breaks, offs)
@@ -39,122 +42,153 @@ def _lines(data: np.ndarray, offs: np.ndarray):
     ends[at], starts[at + 1] = breaks, breaks + 1
     first, _ = runs(NON_SPACE[data], offs) if n else (np.zeros(0, np.int64), None)
     words = np.searchsorted(first, ends) - np.searchsorted(first, starts)
-    return span_hash(data, starts, ends), words, bounds
+    return np.stack([span_hash(data, starts, ends), span_hash(data, starts, ends, 1)]), words, bounds
 
 
-def _reach(words: np.ndarray, least: int) -> np.ndarray:
-    """For each line the end (exclusive) of the shortest run from it with ``least`` words; 0 if none."""
-    total = np.concatenate([[0], np.cumsum(words)])
-    end = np.searchsorted(total, total[:-1] + least)
-    end[end > len(words)] = 0
-    return np.where(end > 0, np.maximum(end, np.arange(len(words)) + 1), 0)
-
+def _reach(total: np.ndarray, until: np.ndarray, least: int) -> np.ndarray:
+    """For each line the end (exclusive) of the shortest run from it with ``least`` words; 0 if it would pass ``until``.
 
-def _run_hash(hashes: np.ndarray, lo: int, hi: int) -> np.uint64:
-    acc = np.uint64(hi - lo)
-    with np.errstate(over="ignore"):
-        for h in hashes[lo:hi]:
-            acc = (acc ^ h) * _M
-            acc ^= acc >> np.uint64(29)
-    return acc
+    ``total`` counts the words before each line.
+    """
+    end = np.maximum(np.searchsorted(total, total[:-1] + least), np.arange(1, len(total)))
+    return np.where(end <= until, end, 0)
 
 
-def _fingerprints(hashes: np.ndarray, words: np.ndarray) -> dict[int, int]:
-    """Line: hash of its gram, for the grams that windows select."""
-    if words.sum() < RUN_WORDS:
-        return {}
-    gram_end, window_end = _reach(words, GRAM_WORDS), _reach(words, RUN_WORDS)
-    gram = {i: _run_hash(hashes, i, int(e)) for i, e in enumerate(gram_end) if e}
-    chosen = {}
-    for i, end in enumerate(window_end):
-        if end:
-            inside = [(gram[j], -j) for j in range(i, int(end)) if j in gram and gram_end[j] <= end]
-            best, place = min(inside)
-            chosen[-place] = best
-    return chosen
+class _Runs:
+    """Hashes of runs of lines in constant time each, from prefix sums over line hashes.
 
+    A run is a polynomial in a fixed base modulo a prime, for four primes of 31 bits.
+    """
 
-def _signed(h) -> int:
-    return int(np.uint64(h).astype(np.int64))
+    def __init__(self, hashes: np.ndarray, rings: int = len(_RINGS)):
+        n = hashes.shape[1]
+        self.rings = []
+        for k, (prime, base) in enumerate(_RINGS[:rings]):
+            half = (hashes[k // 2] >> np.uint64(32 * (k % 2))) & np.uint64(0xFFFFFFFF)
+            value = half % np.uint64(prime) + np.uint64(1)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(value * _powers(base, prime, n) % np.uint64(prime), out=total[1:])
+            self.rings.append((prime, total % np.uint64(prime), _powers(pow(base, -1, prime), prime, n)))
+
+    def keys(self, lo: np.ndarray, hi: np.ndarray, which: int) -> np.ndarray:
+        """64-bit hash of each run [lo, hi); ``which`` (0 or 1) chooses one of two."""
+        parts = []
+        for prime, total, down in self.rings[2 * which : 2 * which + 2]:
+            parts.append((total[hi] + np.uint64(prime) - total[lo]) % np.uint64(prime) * down[lo] % np.uint64(prime))
+        return mix((parts[0] << np.uint64(32)) + parts[1] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo a prime."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out[: n - len(out)] * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+    return out[:n]
+
+
+def _least_in(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Place of the smallest value in each range [lo, hi), the last on ties, by doubling ranges."""
+    out = np.empty(len(lo), np.int64)
+    level = np.floor(np.log2(np.maximum(hi - lo, 1))).astype(np.int64)
+    best, step = np.arange(len(values)), 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        a, b = best[lo[at]], best[hi[at] - step]
+        out[at] = np.where(values[b] <= values[a], b, a)
+        a, b = best[:-step], best[step:]
+        best = np.where(values[b] <= values[a], b, a)
+        step *= 2
+    return out
 
 
-def _windows(hashes: np.ndarray, words: np.ndarray, hits: list[int]) -> set[tuple[int, int]]:
-    """Shortest runs of 50 words, from their first or their last line on, that hold a hit's gram."""
+def _fingerprints(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, gram hashes) of the lines that windows select, over all rows of a block."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    until = np.repeat(bounds[1:], np.diff(bounds))
+    gram_end, window_end = _reach(total, until, GRAM_WORDS), _reach(total, until, RUN_WORDS)
+    start = np.flatnonzero(window_end)
+    if not len(start):
+        return start, np.zeros(0, np.uint64)
+    gram = np.full(len(words), np.uint64(2**64 - 1))
+    has = np.flatnonzero(gram_end)
+    gram[has] = _Runs(hashes, 2).keys(has, gram_end[has], 0)
+    edge = np.where(gram_end > 0, gram_end, until + 1)  # a line near its row's end has no gram
+    place = np.unique(_least_in(gram, start, np.searchsorted(np.maximum.accumulate(edge), window_end[start], "right")))
+    return place, gram[place]
+
+
+def _windows(hashes: np.ndarray, words: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lo, hi, two hashes) of the shortest runs of 50 words, from their first or to their last line, around hits."""
     n = len(words)
-    ahead = _reach(words, RUN_WORDS)
-    back = n - _reach(words[::-1], RUN_WORDS)[::-1]  # start of the shortest run that ends with the line; n if none
-    out: set[tuple[int, int]] = set()
-    around = set()
-    for hit in hits:
-        lo = hit
-        while lo > 0 and words[lo:hit].sum() < RUN_WORDS:
-            lo -= 1
-        hi = hit + 1
-        while hi < n and words[hit + 1 : hi].sum() < RUN_WORDS:
-            hi += 1
-        around.update(range(lo, hi))
-    for i in around:
-        if ahead[i]:
-            out.add((i, int(ahead[i])))
-        if back[i] < n:
-            out.add((int(back[i]), i + 1))
-    return out
+    total = np.concatenate([[0], np.cumsum(words)])
+    lo = np.maximum(np.searchsorted(total, total[hits] - RUN_WORDS, "right") - 1, 0)
+    hi = np.minimum(np.searchsorted(total, total[hits + 1] + RUN_WORDS), n)
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, hi, -1)
+    near = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    ahead = _reach(total, np.full(n, n), RUN_WORDS)[near]
+    back = np.searchsorted(total, total[near + 1] - RUN_WORDS, "right") - 1
+    back = np.minimum(back, near)
+    spans = np.concatenate([np.stack([near, ahead], 1)[ahead > 0], np.stack([back, near + 1], 1)[back >= 0]])
+    lo, hi = np.unique(spans, axis=0).T
+    held = _Runs(hashes)
+    return lo, hi, held.keys(lo, hi, 0), held.keys(lo, hi, 1)
+
+
+def _mark(batches):
+    """Rows with fingerprints: their line hashes, words, fingerprints and places."""
+    for batch in batches:
+        names, ids = batch.column(0), batch.column(1)
+        for first, data, offs in blocks(batch.column(2)):
+            hashes, words, bounds = _lines(data, offs)
+            place, gram = _fingerprints(hashes, words, bounds)
+            row, where = np.unique(np.searchsorted(bounds, place, "right") - 1, return_index=True)
+            offsets = pa.array(np.append(where, len(place)), pa.int32())
+            spans = [(bounds[r], bounds[r + 1]) for r in row]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    names.take(pa.array(first + row)),
+                    ids.take(pa.array(first + row)),
+                    pa.array([hashes[:, a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([words[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary()),
+                    pa.ListArray.from_arrays(offsets, pa.array(as_long(gram))),
+                    pa.ListArray.from_arrays(offsets, pa.array((place - bounds[np.searchsorted(bounds, place, "right") - 1]).astype(np.int32))),
+                ],
+                names=["__row", "doc_id", "hashes", "words", "fps", "places"],
+            )
+
+
+def _extend(batches):
+    """Windows around the hits of each row."""
+    for batch in batches:
+        out = [[np.zeros(0, np.int64)] for _ in range(5)]
+        for i in range(batch.num_rows):
+            words = np.frombuffer(batch.column(3)[i].as_buffer(), np.int32)
+            hashes = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64).reshape(2, -1)
+            lo, hi, a, b = _windows(hashes, words, batch.column(4)[i].values.to_numpy().astype(np.int64))
+            for column, value in zip(out, (np.full(len(lo), i), lo, hi, as_long(a), as_long(b))):
+                column.append(value)
+        at, lo, hi, a, b = (np.concatenate(column) for column in out)
+        at = pa.array(at)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(a), pa.array(b)], names=["__row", "doc_id", "lo", "hi", "run", "again"]
+        )
 
 
 def find_repeated_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): docs with ``__row``, as written, and (__row, __spans array<struct<lo,hi>>) to delete."""
-
-    def number(batches):
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            at = batch.schema.get_field_index("__row")
-            ids = pa.array(np.arange(row, row + batch.num_rows))
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([ids if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
-
-    keyed = docs.withColumn("__row", F.lit(0).cast("long"))
-    rows = scratch.table(keyed.mapInArrow(number, keyed.schema), "rows")
-
-    def mark(batches):
-        for batch in batches:
-            out: dict[str, list] = {"__row": [], "doc_id": [], "hashes": [], "words": [], "fps": [], "places": []}
-            names, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, data, offs in blocks(batch.column(2)):
-                hashes, words, bounds = _lines(data, offs)
-                for i in range(len(bounds) - 1):
-                    h, w = hashes[bounds[i] : bounds[i + 1]], words[bounds[i] : bounds[i + 1]]
-                    found = _fingerprints(h, w)
-                    if found:
-                        out["__row"].append(names[lo + i])
-                        out["doc_id"].append(ids[lo + i])
-                        out["hashes"].append(h.tobytes())
-                        out["words"].append(w.astype(np.int32).tobytes())
-                        out["places"].append(list(found))
-                        out["fps"].append([_signed(x) for x in found.values()])
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
-
-    lines = rows.select("__row", F.col("doc_id").cast("long"), "text").mapInArrow(mark, "__row long, doc_id long, hashes binary, words binary, fps array<long>, places array<int>")
+    rows = scratch.table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    lines = rows.select("__row", F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_mark), "__row long, doc_id long, hashes binary, words binary, fps array<long>, places array<int>")
     lines = scratch.table(lines, "lines")
     marks = lines.select("__row", F.explode(F.arrays_zip("fps", "places")).alias("m")).select("__row", F.col("m.fps").alias("fp"), F.col("m.places").alias("place"))
-    shared = marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    hits = marks.join(shared, "fp").groupBy("__row").agg(F.collect_list("place").alias("hits"))
-
-    def extend(batches):
-        for batch in batches:
-            rows_out = []
-            for row, doc_id, raw, count, hit in zip(*(c.to_pylist() for c in batch.columns)):
-                h, w = np.frombuffer(raw, np.uint64), np.frombuffer(count, np.int32)
-                rows_out += [(row, doc_id, lo, hi, _signed(_run_hash(h, lo, hi))) for lo, hi in _windows(h, w, hit)]
-            cols = zip(*rows_out) if rows_out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["__row", "doc_id", "lo", "hi", "run"])
-
-    windows = lines.join(hits, "__row").select("__row", "doc_id", "hashes", "words", "hits").mapInArrow(extend, "__row long, doc_id long, lo int, hi int, run long")
+    shared = scratch.table(marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    hits = join_counted(marks, shared, ["fp"], "n").groupBy("__row").agg(F.collect_list("place").alias("hits"))  # of one text, so bounded by it
+    windows = lines.join(hits, "__row").select("__row", "doc_id", "hashes", "words", "hits").mapInArrow(tidy(_extend), "__row long, doc_id long, lo int, hi int, run long, again long")
     windows = scratch.table(windows, "windows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "lo", "hi")
-    first = windows.groupBy("run").agg(F.min(place).alias("first"))
-    later = windows.join(first, "run").where((F.col("__row") != F.col("first.__row")) | (F.col("lo") >= F.col("first.hi")))
+    first = scratch.table(windows.groupBy("run", "again").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    later = join_counted(windows, first, ["run", "again"], "n").where((F.col("__row") != F.col("first.__row")) | (F.col("lo") >= F.col("first.hi")))
     spans = later.groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("__spans"))
     return rows, scratch.table(spans, "spans")
 
@@ -169,7 +203,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows, spans = find_repeated_lines(docs, scratch)
-    few = spans.count() <= BROADCAST_ROWS
+    few = (spans.agg(F.sum(64 + 16 * F.size("__spans"))).first()[0] or 0) <= BROADCAST_BYTES
     joined = rows.join(F.broadcast(spans) if few else spans.hint("merge"), "__row", "left")
     lines = F.split("text", "\n", -1)
     gone = lambda i: F.exists("__spans", lambda s: (s["lo"] <= i) & (i < s["hi"]))

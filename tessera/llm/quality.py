@@ -1,10 +1,12 @@
 """Weak supervision of text quality: rules vote or abstain, EM weighs them.
 
-Every rule votes good (1), bad (-1) or abstains (0) on counts of the whole text.
-Expectation-maximisation over the histogram of vote patterns (at most 3 ** rules rows)
-estimates how often each rule votes which way on good and on bad texts, starting from
-all-must-pass and from the belief that bad votes are mostly right; the posterior
-probability of a good text decides. Only DataFrame and SQL functions are used.
+Every rule votes good (1), bad (-1) or abstains (0) on counts of the whole text. Each has
+two unknown accuracies, that of its votes on good and that of its votes on bad texts; an
+abstention says nothing. Expectation-maximisation over the histogram of vote patterns
+(at most 3 ** rules rows) estimates them and the share of good texts, until no pattern's
+posterior moves; weak pseudo-counts only keep the rates off 0 and 1 and tell the two classes
+apart. The posterior probability of a good text decides, so a bad vote that the
+other rules' votes contradict can be overruled. Only DataFrame and SQL functions are used.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 from tessera.session import Scratch
 
 WINDOW = 8
-ROUNDS = 10
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 THRESHOLD = 0.5
@@ -31,19 +32,20 @@ FUNCTION_WORDS = (
 FUNCTION_WORDS = tuple(dict.fromkeys(FUNCTION_WORDS))
 
 #: Rule name: (SQL condition of a bad vote, SQL condition of a good vote) over the counts, in integers.
-#: A fault's absence is no merit, so most rules vote bad or abstain.
 RULES = {
-    "symbols": ("20 * n_symbols > n_words", "FALSE"),
-    "repeats": ("100 * n_repeat_words > 30 * n_words", "FALSE"),
-    "duplicate_lines": ("100 * n_dup_lines > 40 * n_lines", "FALSE"),
-    "stutter": ("100 * n_stutter > 15 * n_words", "FALSE"),
-    "capitals": ("100 * n_upper > 50 * word_chars", "FALSE"),
-    "exclamations": ("5 * n_bangs > n_words", "FALSE"),
-    "word_length": ("word_chars > 40 * n_words OR word_chars < 2 * n_words", "word_chars BETWEEN 3 * n_words AND 12 * n_words"),
-    "function_words": ("FALSE", "100 * n_function >= 8 * n_words"),
+    "symbols": ("20 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    "repeats": ("100 * n_repeat_words > 15 * n_words", "n_repeat_words = 0"),
+    "duplicate_lines": ("100 * n_dup_lines > 25 * n_lines", "n_lines > 1 AND n_dup_lines = 0"),
+    "stutter": ("100 * n_stutter > 10 * n_words", "100 * n_stutter <= n_words"),
+    "capitals": ("100 * n_upper > 40 * word_chars", "100 * n_upper <= 10 * word_chars"),
+    "exclamations": ("5 * n_bangs > n_words", "50 * n_bangs <= n_words"),
+    "word_length": ("word_chars > 15 * n_words OR word_chars < 2 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
+    "function_words": ("100 * n_function < 3 * n_words", "100 * n_function >= 8 * n_words"),
 }
-#: Before any data a bad vote is held wrong in 5 of 100 cases; that belief weighs four times the data.
-WRONG, BELIEF = 0.05, 0.8
+RIGHT, WRONG = 4, 1  # pseudo-counts of right and wrong votes of each rule on each class
+FIRST = 0.9  # first posterior of a pattern without a bad vote; 1 less this with one
+SETTLED = 1e-9  # EM ends when no posterior moves by more
+ROUNDS_IN_JOB = 500
 
 
 def _let(value: Column, body) -> Column:
@@ -97,44 +99,69 @@ def _vote_sql(rule: str) -> str:
     return f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v_{rule}"
 
 
-def _posterior_sql(p: str = "") -> str:
-    """Probability of a good text from its votes and one row of rates; an abstention says nothing."""
-    odds = " + ".join(f"CASE v_{r} WHEN 1 THEN ln({p}g1_{r} / {p}b1_{r}) WHEN -1 THEN ln({p}g2_{r} / {p}b2_{r}) ELSE 0.0 END" for r in RULES)
-    return f"1 / (1 + exp(-(ln({p}prior / (1 - {p}prior)) + {odds})))"
+def _log_odds(votes: list[Column], state: Column) -> Column:
+    """Log-odds of a good text given its votes; an abstention adds nothing."""
+    out = F.log(state["prior"] / (1 - state["prior"]))
+    for i, vote in enumerate(votes):
+        out = out + F.when(vote == 1, state["up"][i]).when(vote == -1, state["down"][i]).otherwise(0.0)
+    return out
 
 
-def _first_sql() -> str:
-    """The first guess of a pattern, near all-must-pass: low with any bad vote, else high."""
-    bad = " OR ".join(f"v_{r} = -1" for r in RULES)
-    return f"CASE WHEN {bad} THEN 0.01 ELSE 0.99 END"
+def _maximise(patterns: Column, rules: int) -> Column:
+    """Share of good texts and what each rule's votes add to the log-odds, from patterns (v, n) with posteriors (w)."""
+    names = ["good_all", "good_right", "bad_all", "bad_right"]
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("w"), *[F.array_repeat(F.lit(0.0), rules).alias(x) for x in names])
 
+    def add(acc: Column, x: Column) -> Column:
+        good, bad = x["n"] * x["w"], x["n"] * (1 - x["w"])
+        count = lambda name, mass, counts: F.zip_with(acc[name], x["v"], lambda a, v: a + F.when(counts(v), mass).otherwise(0.0)).alias(name)
+        terms = [(good, lambda v: v != 0), (good, lambda v: v == 1), (bad, lambda v: v != 0), (bad, lambda v: v == -1)]
+        sums = [count(name, mass, counts) for name, (mass, counts) in zip(names, terms)]
+        return F.struct((acc["n"] + x["n"]).alias("n"), (acc["w"] + good).alias("w"), *sums)
 
-def _rates_sql(weight: str) -> str:
-    """Maximisation: one row of smoothed rates from patterns, their counts n and weights."""
-    out = [f"(1 + sum(n * ({weight}))) / (2 + sum(n)) AS prior"]
-    blend = f"({1 - BELIEF:.2f} * ({weight}) + {BELIEF * WRONG:.2f})"
-    for r in RULES:
-        for k, vote, w in ((1, 1, f"({weight})"), (2, -1, blend)):
-            for side, own, all_own in (("g", w, f"({weight})"), ("b", f"(1 - {w})", f"(1 - ({weight}))")):
-                out.append(f"(1 + sum(CASE WHEN v_{r} = {vote} THEN n * {own} ELSE 0.0 END)) / (3 + sum(n * {all_own})) AS {side}{k}_{r}")
-    return ", ".join(out)
+    def rates(acc: Column) -> Column:
+        held = lambda right, every: F.zip_with(acc[right], acc[every], lambda r, a: (r + RIGHT) / (a + RIGHT + WRONG))
+        on_good, on_bad = held("good_right", "good_all"), held("bad_right", "bad_all")
+        return F.struct(
+            ((acc["w"] + 1) / (acc["n"] + 2)).alias("prior"),
+            F.zip_with(on_good, on_bad, lambda g, b: F.log(g / (1 - b))).alias("up"),
+            F.zip_with(on_good, on_bad, lambda g, b: F.log((1 - g) / b)).alias("down"),
+        )
 
+    return F.aggregate(patterns, zero, add, rates)
 
-def estimate_rates(patterns: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
-    """EM over the pattern histogram; every round is one aggregate that returns one row of rates."""
-    patterns = patterns.withColumn("n", F.col("n").cast("double"))
-    rates = patterns.selectExpr(f"{_first_sql()} AS w", "*").selectExpr(*_split(_rates_sql("w"))).first()
-    for _ in range(rounds):
-        held = patterns.withColumns({k: F.lit(float(v)) for k, v in rates.asDict().items()})
-        rates = held.selectExpr(f"{_posterior_sql()} AS w", "n", *[f"v_{r}" for r in RULES]).selectExpr(*_split(_rates_sql("w"))).first()
-    return rates.asDict()
 
+def estimate_rates(patterns: DataFrame, rules: list[str]) -> dict:
+    """EM over the pattern histogram (v_<rule> columns and n): (prior, up, down, rounds) once it has settled.
 
-def _split(select: str) -> list[str]:
-    return select.split(", (1 + ")[:1] + ["(1 + " + x for x in select.split(", (1 + ")[1:]]
-
-
-def judge_quality(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    ``up`` and ``down`` are what a good and a bad vote of each rule add to the log-odds.
+    All rounds run as higher-order functions over one row that holds the histogram.
+    """
+    held = F.struct(F.array(*[F.col(f"v_{r}").cast("int") for r in rules]).alias("v"), F.col("n").cast("double").alias("n"))
+    first = lambda x: F.when(F.exists(x["v"], lambda v: v == -1), 1 - FIRST).otherwise(FIRST)
+    start = F.struct(F.lit(0).alias("rounds"), F.lit(1.0).alias("moved"), F.transform("patterns", lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), first(x).alias("w"))).alias("x"))
+
+    def step(s: Column) -> Column:
+        def expect(rates: Column) -> Column:
+            posterior = lambda x: 1 / (1 + F.exp(-_log_odds([x["v"][i] for i in range(len(rules))], rates)))
+            new = F.transform(s["x"], lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), posterior(x).alias("w")))
+            return _let(new, lambda y: F.struct((s["rounds"] + 1).alias("rounds"), F.array_max(F.zip_with(s["x"], y, lambda a, b: F.abs(a["w"] - b["w"]))).alias("moved"), y.alias("x")))
+
+        return _let(_maximise(s["x"], len(rules)), expect)
+
+    state = patterns.agg(F.array_sort(F.collect_list(held)).alias("patterns")).select(start.alias("s"))  # at most 3 ** rules patterns
+    kind = state.schema["s"].dataType
+    while True:
+        settled = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS_IN_JOB)), F.col("s"), lambda s, _: F.when(s["moved"] < SETTLED, s).otherwise(step(s)))
+        row = state.select(settled.cast(kind).alias("s")).first()["s"]
+        if row["moved"] < SETTLED:
+            break
+        state = patterns.sparkSession.createDataFrame([(row,)], state.schema)
+    final = patterns.sparkSession.createDataFrame([(row,)], state.schema).select(_maximise(F.col("s.x"), len(rules)).alias("r")).first()["r"]
+    return {"prior": final["prior"], "up": list(final["up"]), "down": list(final["down"]), "rounds": row["rounds"]}
+
+
+def judge_quality(docs: DataFrame) -> DataFrame:
     """Counts, base verdict, votes' posterior and whether to keep, for each row of ``docs``.
 
     Null and empty texts have no words and fail the base; repeated rows are judged each;
@@ -146,13 +173,12 @@ def judge_quality(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     votes = [f"v_{r}" for r in RULES]
     passed = voted.where(~_base_failed())
     patterns = scratch.table(passed.groupBy(*votes).agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    rates = estimate_rates(patterns, rounds) if patterns.head(1) else {}
     posterior = F.lit(0.5)
-    if rates:
-        held = voted.withColumns({k: F.lit(float(v)) for k, v in rates.items()})
-        posterior = F.round(F.expr(_posterior_sql()), 4)
-    else:
-        held = voted
+    if patterns.head(1):
+        rates = estimate_rates(patterns, list(RULES))
+        state = {"prior": F.lit(rates["prior"]), "up": [F.lit(x) for x in rates["up"]], "down": [F.lit(x) for x in rates["down"]]}
+        posterior = F.round(1 / (1 + F.exp(-_log_odds([F.col(v) for v in votes], state))), 4)
+    held = voted
     out = held.withColumn("posterior", posterior).withColumn("base_failed", _base_failed())
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior") >= THRESHOLD)).alias("kept"), "posterior"
@@ -168,24 +194,34 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def _oracle() -> str:
-    inlist = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
-    votes = ", ".join(f"v_{r}" for r in RULES)
-    steps = [f"p0 AS MATERIALIZED (SELECT {_rates_sql(_first_sql())} FROM patterns)"]
-    for i in range(ROUNDS):
-        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT {_rates_sql('w')} FROM (SELECT patterns.*, {_posterior_sql('p.')} AS w FROM patterns CROSS JOIN p{i} p))")
-    return rf"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 windows AS (SELECT r, i, array_to_string(words[i : i + 7], ' ') AS g FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM d)),
 twice AS (SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1),
 repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM windows JOIN twice USING (r, g)) GROUP BY r),
-counts AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutter, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_upper, length(text) - length(translate(text, '!', '')) AS n_bangs, len(list_filter(words, lambda x: x IN ({inlist}))) AS n_function FROM d LEFT JOIN repeats USING (r)),
-voted AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed, {", ".join(map(_vote_sql, RULES))} FROM counts),
-patterns AS MATERIALIZED (SELECT {votes}, CAST(count(*) AS DOUBLE) AS n FROM voted WHERE NOT base_failed GROUP BY {votes}),
-{", ".join(steps)},
-scored AS (SELECT voted.*, round({_posterior_sql("p.")}, 4) AS posterior FROM voted CROSS JOIN p{ROUNDS} p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND posterior >= {THRESHOLD}) AS kept, posterior FROM scored
-"""
-
-
-OP1_SQL = _oracle()
+counts AS MATERIALIZED (SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutter, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]', '', 'g')) AS n_bangs, len(list_filter(words, lambda x: x IN (@WORDS@))) AS n_function FROM d LEFT JOIN repeats USING (r)),
+base AS MATERIALIZED (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM counts),
+votes AS MATERIALIZED (
+SELECT r, 'symbols' AS rule, CASE WHEN n_symbols * 20 > n_words THEN -1 WHEN n_symbols * 100 <= n_words THEN 1 ELSE 0 END AS v FROM base
+UNION ALL SELECT r, 'repeats', CASE WHEN n_repeat_words * 100 > n_words * 15 THEN -1 WHEN n_repeat_words = 0 THEN 1 ELSE 0 END FROM base
+UNION ALL SELECT r, 'lines', CASE WHEN n_dup_lines * 100 > n_lines * 25 THEN -1 WHEN n_lines >= 2 AND n_dup_lines = 0 THEN 1 ELSE 0 END FROM base
+UNION ALL SELECT r, 'stutter', CASE WHEN n_stutter * 100 > n_words * 10 THEN -1 WHEN n_stutter * 100 <= n_words THEN 1 ELSE 0 END FROM base
+UNION ALL SELECT r, 'capitals', CASE WHEN n_upper * 100 > word_chars * 40 THEN -1 WHEN n_upper * 100 <= word_chars * 10 THEN 1 ELSE 0 END FROM base
+UNION ALL SELECT r, 'bangs', CASE WHEN n_bangs * 5 > n_words THEN -1 WHEN n_bangs * 50 <= n_words THEN 1 ELSE 0 END FROM base
+UNION ALL SELECT r, 'length', CASE WHEN word_chars > n_words * 15 OR word_chars < n_words * 2 THEN -1 WHEN word_chars >= n_words * 3 AND word_chars <= n_words * 10 THEN 1 ELSE 0 END FROM base
+UNION ALL SELECT r, 'function', CASE WHEN n_function * 100 < n_words * 3 THEN -1 WHEN n_function * 100 >= n_words * 8 THEN 1 ELSE 0 END FROM base),
+ballots AS MATERIALIZED (SELECT r, string_agg(CAST(v AS VARCHAR), ',' ORDER BY rule) AS p FROM votes GROUP BY r),
+tally AS MATERIALIZED (SELECT p, CAST(count(*) FILTER (WHERE NOT base_failed) AS DOUBLE) AS n, min(r) AS r FROM ballots JOIN base USING (r) GROUP BY p),
+cast_votes AS MATERIALIZED (SELECT p, n, rule, v FROM tally JOIN votes USING (r) WHERE v <> 0),
+em(i, p, w, moved) AS (
+SELECT 0, p, CASE WHEN coalesce(min(v), 1) = -1 THEN CAST(0.1 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END, CAST(1 AS DOUBLE) FROM tally LEFT JOIN cast_votes USING (p) GROUP BY p
+UNION ALL
+SELECT i, p, w_new, max(CASE WHEN n > 0 THEN abs(w_new - w) ELSE 0 END) OVER () FROM (
+SELECT any_value(e.i) + 1 AS i, p, any_value(t.n) AS n, any_value(e.w) AS w, 1 / (1 + exp(-any_value(ln(prior / (1 - prior))) - coalesce(sum(CASE WHEN c.v = 1 THEN ln(g / (1 - b)) WHEN c.v = -1 THEN ln((1 - g) / b) END), 0))) AS w_new
+FROM em e JOIN tally t USING (p) CROSS JOIN (SELECT (1 + sum(n * w)) / (2 + sum(n)) AS prior FROM em JOIN tally USING (p))
+LEFT JOIN cast_votes c USING (p)
+LEFT JOIN (SELECT rule, (4 + sum(CASE WHEN v = 1 THEN n * w ELSE 0 END)) / (5 + sum(n * w)) AS g, (4 + sum(CASE WHEN v = -1 THEN n * (1 - w) ELSE 0 END)) / (5 + sum(n * (1 - w))) AS b FROM em JOIN cast_votes USING (p) GROUP BY rule) m ON m.rule = c.rule
+WHERE e.moved >= 1e-9 GROUP BY p)),
+last AS (SELECT p, w FROM em WHERE i = (SELECT max(i) FROM em))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND round(w, 4) >= 0.5) AS kept, round(w, 4) AS posterior FROM base JOIN ballots USING (r) JOIN last USING (p)
+""".replace("@WORDS@", ", ".join(f"'{w}'" for w in FUNCTION_WORDS))

@@ -7,8 +7,10 @@ nothing. A text is then a sequence of scores with a small cost per word (a word
 repeats the one before it scores once), and one linear scan finds all maximal segments
 of positive score. Segment scores follow an extreme-value law on clean texts;
 its rate solves sum p exp(rate * score) = 1 over clean tokens and its constant is read
-from clean documents. The best segment's normalised score goes through a logistic
-curve fitted on the training documents.
+from clean documents. A passage is significant if fewer than one in twenty such passages
+are expected in a clean text of that length; a text's evidence is the sum statistic of
+its best passages that are beyond chance, for the number of them that says most, and goes through a
+logistic curve fitted on the training documents.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm._text import ALNUM, Words, as_long, blocks
+from tessera.llm._text import ALNUM, Words, as_long, blocks, tidy
 from tessera.session import Scratch
 
 PRIOR_COUNTS, PRIOR_SHARE = 5000.0, 0.01  # the prior's pseudo-counts: a constant and a share of all counts
@@ -30,6 +32,7 @@ SURE = 2.0  # standard errors taken off a log-odds
 MODEL_TOKENS = 1 << 16  # bound of what is broadcast; beyond it, scores of rarer tokens are joined to the texts
 WORD_COST = 0.05
 PREDICT_AT = 0.7
+SIGNIFICANT = 0.05  # expected number of such passages in a clean text of the same length
 BROADCAST_ROWS = 500_000
 BIN = 0.25
 
@@ -60,7 +63,7 @@ def _token_counts(labelled: DataFrame) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_pandas(fold(parts), preserve_index=False)
 
-    counts = labelled.select("text", "toxic").mapInArrow(count, "token long, toxic long, clean long")
+    counts = labelled.select("text", "toxic").mapInArrow(tidy(count), "token long, toxic long, clean long")
     return counts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -157,28 +160,34 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray) -> list[tuple[int,
     """All maximal segments of positive total, as (first place, end place, score), in one pass.
 
     ``scores`` are those of scoring words at ``places``; every word costs WORD_COST.
-    Segments on the stack keep the totals before them and up to their end; a new word
-    joins the nearest segment whose total before is lower, if the joint one ends higher.
+    Segments on the stack keep the totals before them and up to their end, and a link to
+    the nearest segment below with a lower total before it. A new word joins that segment
+    if the joint one ends higher; links keep the scan linear however totals fall.
     """
-    out: list[list[float]] = []  # first, end, total before, total at the end
+    first: list[int] = []
+    end: list[int] = []
+    before: list[float] = []
+    after: list[float] = []
+    lower: list[int] = []
     total, last = 0.0, 0
     for place, score in zip(places.tolist(), scores.tolist()):
         total -= WORD_COST * (place - last)
         last = place + 1
         gain = score - WORD_COST
         if gain > 0:
-            new = [place, place + 1, total, total + gain]
-            while True:
-                j = len(out) - 1
-                while j >= 0 and out[j][2] >= new[2]:
-                    j -= 1
-                if j < 0 or out[j][3] >= new[3]:
-                    out.append(new)
-                    break
-                new = [out[j][0], new[1], out[j][2], new[3]]
-                del out[j:]
+            start, low, high = place, total, total + gain
+            j = len(first) - 1
+            while j >= 0 and before[j] >= low:
+                j = lower[j]
+            while j >= 0 and after[j] < high:
+                start, low, below = first[j], before[j], lower[j]
+                for column in (first, end, before, after, lower):
+                    del column[j:]
+                j = below
+            for column, value in zip((first, end, before, after, lower), (start, last, low, high, j)):
+                column.append(value)
         total += gain
-    return [(int(a), int(b), hi - lo) for a, b, lo, hi in out]
+    return [(a, b, hi - lo) for a, b, lo, hi in zip(first, end, before, after)]
 
 
 SEGMENTS = "array<struct<lo:int,hi:int,score:double>>"
@@ -218,7 +227,7 @@ def annotate(docs: DataFrame, model: TokenScores) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(ns, pa.int64()), pa.array(found, kind), pa.array(best, pa.float64())], names=[*batch.schema.names[:width], *ADDED])
 
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in ADDED.items())).fields])
-    return (docs if model.rest is None else _with_rest(docs, model, held)).mapInArrow(scan, schema)
+    return (docs if model.rest is None else _with_rest(docs, model, held)).mapInArrow(tidy(scan), schema)
 
 
 def _with_rest(docs: DataFrame, model: TokenScores, held) -> DataFrame:
@@ -240,7 +249,7 @@ def _with_rest(docs: DataFrame, model: TokenScores, held) -> DataFrame:
                 yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
 
     named = docs.withColumn("__key", F.xxhash64("text"))
-    pairs = named.select("__key", "text").mapInArrow(tokens, "__key long, token long")
+    pairs = named.select("__key", "text").mapInArrow(tidy(tokens), "__key long, token long")
     met = pairs.join(model.rest, "token").groupBy("__key").agg(F.collect_set(F.struct("token", "score")).alias("__met"))
     return named.join(met, "__key", "left").select(*docs.columns, "__met")
 
@@ -273,22 +282,27 @@ class ToxicityModel:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         labelled = texts.join(F.broadcast(labels) if few else labels.hint("merge"), "doc_id")
         tokens = TokenScores.train(labelled, scratch)
-        seen = scratch.table(annotate(labelled, tokens).select("__n_words", "__best", "toxic"), "training")
+        seen = scratch.table(annotate(labelled, tokens).select("__n_words", "__best", "__segments.score", "toxic"), "training")
         clean = seen.where("toxic = 0").agg(
             F.sum((F.col("__best") > WORD_COST).cast("double")).alias("hits"), F.sum(F.col("__n_words") * math.exp(-tokens.rate * WORD_COST)).alias("room")
         )
         clean = clean.first()
         k = ((clean["hits"] or 0.0) + 0.5) / ((clean["room"] or 0.0) + 1.0)
-        x = F.least(F.greatest(_normalised(tokens.rate, k), F.lit(-40.0)), F.lit(60.0))
+        x = F.least(F.greatest(_evidence(F.col("score"), tokens.rate, k), F.lit(-40.0)), F.lit(60.0))
         bins = seen.groupBy(F.floor(x / BIN).alias("bin"), "toxic").agg(F.count("*").alias("n")).collect()  # at most 802 rows
         return cls(tokens, k, _logistic([((r["bin"] + 0.5) * BIN, r["toxic"], r["n"]) for r in bins]))
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with the columns of ``annotate``, __score, __predicted and __e_value."""
-        x = _normalised(self.tokens.rate, self.k)
+        """``docs`` with the columns of ``annotate``, __score, __predicted and __e_value, the least of a passage.
+
+        Of the segments, those that are significant stay.
+        """
+        best = _normalised(F.col("__best"), self.tokens.rate, self.k)
+        x = _evidence(F.col("__segments.score"), self.tokens.rate, self.k)
         a, b = self.curve
         score = F.lit(1.0) / (1.0 + F.exp(-(F.lit(a) + F.lit(b) * F.least(F.greatest(x, F.lit(-40.0)), F.lit(60.0)))))
-        return annotate(docs, self.tokens).withColumn("__score", score).withColumn("__predicted", (F.col("__score") >= PREDICT_AT).cast("int")).withColumn("__e_value", F.exp(-x))
+        found = annotate(docs, self.tokens).withColumn("__score", score).withColumn("__predicted", (F.col("__score") >= PREDICT_AT).cast("int")).withColumn("__e_value", F.exp(-best))
+        return found.withColumn("__segments", F.filter("__segments", lambda s: _normalised(s["score"], self.tokens.rate, self.k) >= -math.log(SIGNIFICANT)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -297,7 +311,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Labels are learnt from rows that are not held out. Null and empty texts have no
     passage and the lowest evidence there is; labels that are null are not learnt from; a label
     repeated for an id counts as toxic if any is. Without both classes every score is
-    the share of toxic labels, or 0. Other columns are ignored.
+    the share of toxic labels, or 0. Repeated rows and equal texts get equal scores; a
+    score of exactly PREDICT_AT counts as toxic. Other columns are ignored.
     """
     out = ToxicityModel.fit(docs, labels).apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return out.select(
@@ -305,9 +320,30 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _normalised(rate: float, k: float) -> Column:
+def _normalised(score: Column, rate: float, k: float) -> Column:
     """Extreme-value normalised score: minus the logarithm of the expected number of such segments by chance."""
-    return F.lit(rate) * F.col("__best") - F.log(F.lit(k) * F.greatest(F.col("__n_words"), F.lit(1)))
+    return F.lit(rate) * score - F.log(F.lit(k) * F.greatest(F.col("__n_words"), F.lit(1)))
+
+
+def _evidence(scores: Column, rate: float, k: float) -> Column:
+    """Minus the logarithm of the chance of a clean text's best r passages, for the r that says most.
+
+    The sum T of r normalised scores has a tail of about exp(-T) T^(r-1) / (r! (r-1)!);
+    each further r costs a factor of two, as r is chosen. Passages that are no
+    rarer than chance are left out beyond the first; a text without a passage has the lowest evidence of its length.
+    """
+    normal = F.array_sort(F.transform(scores, lambda s: -_normalised(s, rate, k)))
+    one = F.coalesce(-F.get(normal, F.lit(0)), _normalised(F.lit(0.0), rate, k))
+    more = F.filter(F.slice(normal, 2, 2**31 - 1), lambda x: x < 0)
+    zero = F.struct(one.alias("total"), F.lit(1.0).alias("r"), F.lit(0.0).alias("lnr"), one.alias("best"))
+
+    def add(acc: Column, x: Column) -> Column:
+        total, r = acc["total"] - x, acc["r"] + 1
+        lnr = acc["lnr"] + F.log(r) + F.log(acc["r"])  # ln r! + ln (r - 1)!
+        value = total - (r - 1) * F.log(F.greatest(total, F.lit(1.0))) + lnr - (r - 1) * math.log(2)
+        return F.struct(total.alias("total"), r.alias("r"), lnr.alias("lnr"), F.greatest(acc["best"], value).alias("best"))
+
+    return F.aggregate(more, zero, add, lambda acc: acc["best"])
 
 
 def _logistic(points: list[tuple[float, int, int]], ridge: float = 1e-3) -> tuple[float, float]:

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._dense import SCHEMA, Bloom, dense_rows, merge_dense
-from tessera.llm._text import ALNUM, Words, as_long, blocks
+from tessera.llm._skew import join_salted
+from tessera.llm._text import ALNUM, Words, as_long, blocks, tidy
 from tessera.session import Scratch
 
 WINDOW = 10
@@ -89,7 +90,7 @@ def _benchmark_marks(benchmark: DataFrame) -> DataFrame:
                     marks.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(marks, pa.list_(_MARK))], names=["item_id", "marks"])
 
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(mark, f"item_id string, marks {_MARKS}")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(tidy(mark), f"item_id string, marks {_MARKS}")
     return rows.select("item_id", F.explode("marks").alias("m")).select("item_id", "m.*")
 
 
@@ -144,12 +145,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, log_bloom_bits: in
                 )
                 row_id += n
 
-    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(scan, f"doc_id long, text_key long, row_id long, n_words long, marks {_MARKS}")
+    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(tidy(scan), f"doc_id long, text_key long, row_id long, n_words long, marks {_MARKS}")
     seen = scratch.table(seen, "documents")
     marks = seen.where(F.col("marks").isNotNull()).select("row_id", F.explode("marks").alias("m"))
     marks = marks.select("row_id", F.col("m.fp").alias("fp"), F.col("m.size").alias("size"), F.col("m.pos").alias("pos"), F.col("m.left").alias("dl"), F.col("m.right").alias("dr"))
     theirs = items.select("item_id", "fp", "size", F.col("left").alias("bl"), F.col("right").alias("br"))
-    hits = marks.join(theirs, ["fp", "size"])
+    counts = scratch.table(marks.groupBy("fp", "size").agg(F.count("*").alias("n")), "counts")
+    hits = join_salted(marks, theirs, ["fp", "size"], "row_id", counts)
     whole = F.col("size") < WINDOW
     hits = hits.select(
         "row_id",

@@ -2,15 +2,23 @@
 
 Arrivals become small runs that are never changed. Runs of similar size form a tier;
 when a tier has ``fanout`` runs they are merged into files of about the target size.
-Every change is one new manifest version, made visible by an atomic rename that fails
-if another writer committed the same version first. Old versions stay readable until
-``vacuum``. Only DataFrame reads and writes touch the data.
+Every change is one new manifest version, published under its final name by one step that
+fails if another writer was first: a hard link on local disks, a rename on stores whose
+rename is atomic and refuses an existing target (HDFS). Object stores without such a
+rename need a commit service of their own. Old versions stay readable until ``vacuum``,
+which only runs when called. Only DataFrame reads and writes touch the data.
+
+Rows are stored as they come: nulls, empty texts, ties and repeated rows all stay, in any
+columns, as long as every arrival has the same ones.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
+import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,12 +68,24 @@ class ShardStore:
         stream = self._fs.create(temp, False)
         stream.write(bytearray(json.dumps(new).encode()))
         stream.close()
-        final = self._path(f"{self.root}/manifest/v{new['version']:08d}.json")
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
+        try:
+            published = self._publish(temp, self._path(f"{self.root}/manifest/v{new['version']:08d}.json"))
+        finally:
             self._fs.delete(temp, False)
+        if not published:
             raise CommitConflict(f"version {new['version']} exists")
         return new
 
+    def _publish(self, temp, final) -> bool:
+        """Give the written manifest its final name; False if the name is taken."""
+        if self._fs.getScheme() == "file":
+            try:
+                os.link(temp.toUri().getPath(), final.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        return not self._fs.exists(final) and self._fs.rename(temp, final)
+
     # runs
 
     def _run(self, folder: str) -> dict | None:
@@ -92,46 +112,55 @@ class ShardStore:
             raise ValueError("the arrival has other columns than the table")
         return self._commit(base, base["runs"] + ([run] if run else []), schema)
 
-    def append_arrivals(self, df: DataFrame, arrival: str, compact: bool = True) -> dict:
+    def append_arrivals(self, df: DataFrame, arrival: str, compact: bool = True, keep_versions: int | None = None) -> dict:
         """Write many arrivals in one job, then commit them one after another in their order.
 
-        ``arrival`` is a SQL expression; null is an arrival of its own.
+        ``arrival`` is a SQL expression; null is an arrival of its own. ``keep_versions``:
+        delete what older versions alone name after each compaction.
         """
         folder = f"{self.root}/data/arrivals-{uuid.uuid4().hex[:12]}"
         df.withColumn(self.ARRIVAL, F.expr(arrival)).write.partitionBy(self.ARRIVAL).parquet(folder)
         found = [s.getPath().toString() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()]
         for one in sorted(found, key=lambda f: (len(f), f)):
             self._register(one, df.schema.json())
-            if compact:
-                self.compact()
+            if compact and self.compact() and keep_versions:
+                self.vacuum(keep_versions)
         return self.manifest()
 
-    def compact(self) -> dict:
-        """Merge tiers that are full, smallest first, until none is."""
-        while True:
+    def compact(self) -> int:
+        """Merge tiers that are full, smallest first, until none is; the number of merges."""
+        for merges in itertools.count():
             base = self.manifest()
             tiers: dict[int, list[dict]] = {}
             for run in base["runs"]:
                 tiers.setdefault(self.tier(run), []).append(run)
             full = [t for t in sorted(tiers) if len(tiers[t]) >= self.fanout]
             if not full:
-                return base
+                return merges
             merged = tiers[full[0]][: self.fanout]
             old = {r["run"] for r in merged}
             folder = f"{self.root}/data/run-{uuid.uuid4().hex[:12]}"
             files = max(1, round(sum(r["bytes"] for r in merged) / self.target_bytes))
             self._frame(base["schema"], merged).coalesce(files).write.parquet(folder)
             self._commit(base, [r for r in base["runs"] if r["run"] not in old] + [self._run(folder)], base["schema"])
-            self.vacuum()
 
-    def vacuum(self, keep_versions: int = 1) -> None:
-        """Delete runs that the last ``keep_versions`` versions do not name."""
+    def vacuum(self, keep_versions: int = 1, orphans_after_s: float = 86_400) -> None:
+        """Delete runs and versions before the last ``keep_versions`` that those do not name.
+
+        Folders that no version names, left by writers that failed, go once they are
+        ``orphans_after_s`` old.
+        """
         known = self.versions()
         kept = known[-keep_versions:]
         live = {r["run"] for v in kept for r in self.manifest(v)["runs"]}
         pending = {r["run"] for v in known[:-keep_versions] for r in self.manifest(v)["runs"]} - live
         for run in pending:
             self._fs.delete(self._path(f"{self.root}/{run}"), True)
+        named = {r["run"] for v in known for r in self.manifest(v)["runs"]}
+        for status in self._fs.listStatus(self._path(f"{self.root}/data")) if self._fs.exists(self._path(f"{self.root}/data")) else []:
+            inside = f"data/{status.getPath().getName()}"
+            if time.time() - status.getModificationTime() / 1000 > orphans_after_s and not any(n == inside or n.startswith(inside + "/") for n in named):
+                self._fs.delete(status.getPath(), True)
         for v in known[:-keep_versions]:
             self._fs.delete(self._path(f"{self.root}/manifest/v{v:08d}.json"), False)
 
@@ -156,7 +185,7 @@ ARRIVALS = 24
 def op6_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append ``documents`` as 24 arrivals, compact, and read the table back through its manifest."""
     store = ShardStore(spark, Scratch(spark, "shards").path, target_bytes=32 << 20)
-    store.append_arrivals(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"pmod(xxhash64(doc_id), {ARRIVALS})")
+    store.append_arrivals(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"pmod(xxhash64(doc_id), {ARRIVALS})", keep_versions=1)
     return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 

@@ -4,12 +4,14 @@
 2. A count sketch over all texts orders shingles from rare to frequent (ties by hash).
    Any order is correct; this one keeps passages that many texts share out of prefixes.
 3. Two sets of Jaccard 0.75 or more share a shingle among the first n - ceil(0.75 n) + 1
-   of each. Classes with the same prefix and size are one group; groups meet on prefix
-   shingles and must pass the size and position bounds.
-4. Group pairs are expanded to member classes and verified on their whole texts. Rounds
-   link each posting's members to its first one, then to neighbours outside their own
-   component; the last round verifies every pair that lies in two components still, so
-   no link between components is missed and no group is squared.
+   of each. Classes with the same prefix and size are one group with one leading class;
+   postings hold groups only, and pairs of groups that meet on a prefix shingle must pass
+   the size and position bounds.
+4. Group pairs that are left are expanded to member classes and verified on their whole
+   texts. First the leading classes of each posting's first group and of neighbours are
+   linked, and each group's members to its leading class; the last round expands every
+   group pair whose members lie in two components still, so no link between components
+   is missed and no group is squared.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._dense import SCHEMA, dense_rows, merge_dense
-from tessera.llm._text import NON_SPACE, Words, as_long, blocks, mix
+from tessera.llm._text import NON_SPACE, Words, as_long, blocks, mix, tidy
 from tessera.llm._rows import KEYS, keyed, row_keys, side
+from tessera.llm._skew import join_counted
 from tessera.llm.components import connected_components
 from tessera.session import Scratch
 
@@ -66,7 +69,7 @@ def _sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
         for part in pa.Table.from_pandas(dense_rows(np.minimum(own, 2**31 - 1).astype(np.uint32), TaskContext.get().partitionId()), preserve_index=False).to_batches():
             yield part.cast(pa.schema([("chunk", pa.int32()), ("lane", pa.int32()), ("data", pa.binary())]))
 
-    return merge_dense(docs.select("text").mapInArrow(count, SCHEMA), 1 << bits, "uint32", "sum")
+    return merge_dense(docs.select("text").mapInArrow(tidy(count), SCHEMA), 1 << bits, "uint32", "sum")
 
 
 def _classes(docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -82,7 +85,7 @@ def _classes(docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "text_key", "n_shingles", "class"])
 
     named = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return scratch.table(named.mapInArrow(name, "doc_id long, text_key long, n_shingles long, class long"), "classes")
+    return scratch.table(named.mapInArrow(tidy(name), "doc_id long, text_key long, n_shingles long, class long"), "classes")
 
 
 def _sizes_hold(a: str, b: str) -> Column:
@@ -122,7 +125,7 @@ class _Verifier:
         b = self.texts.select(F.col("class").alias("dst"), F.col("text").alias("text_b"))
         a = self.texts.select(F.col("class").alias("src"), F.col("text").alias("text_a"))
         both = pairs.join(b, "dst").join(a, "src").select("src", "dst", "text_a", "text_b")
-        return self.scratch.table(both.mapInArrow(check, "src long, dst long"), "links")
+        return self.scratch.table(both.mapInArrow(tidy(check), "src long, dst long"), "links")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -192,76 +195,96 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, bits: int, scrat
                 offs = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in firsts])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(groups, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offs, flat)], names=["row_id", "class", "grp", "n", "prefix"])
 
-    held = unique.select(*KEYS, "text").mapInArrow(prefixes, "row_id long, class long, grp long, n long, prefix array<long>")
+    held = unique.select(*KEYS, "text").mapInArrow(tidy(prefixes), "row_id long, class long, grp long, n long, prefix array<long>")
     held = scratch.table(held, "prefixes")
-    posts = held.select("row_id", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    named = held.select("row_id", "grp", "class", "n")
+    lead = named.groupBy("grp").agg(F.min(F.struct("class", "row_id")).alias("lead"), F.count("*").alias("many"))
+    members = named.join(lead, "grp").select(F.col("lead.class").alias("gid"), "class", "n", "row_id", (F.col("lead.row_id") == F.col("row_id")).alias("leads"), "many")
+    members = scratch.table(members, "members")
+    others = members.where("NOT leads").select("row_id")
+    posts = held.join(side(others), "row_id", "left_anti").select("row_id", "n", F.posexplode("prefix").alias("pos", "shingle"))
     posts = posts.select("shingle", "row_id", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
     posts = posts.repartition("shingle")  # one exchange for the count and the join below
     shared = posts.groupBy("shingle").agg(F.min("row_id").alias("a"), F.max("row_id").alias("b")).where("a <> b").select("shingle")
-    posts = posts.join(shared.hint("shuffle_hash"), "shingle")
-    group_of = held.select("row_id", "grp", "class", "n")
-    posts = posts.join(group_of.select("row_id", "grp"), "row_id")
-    posts = posts.select("shingle", "grp", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("pos")).distinct()
-    members = group_of.select("grp", "class", "n").distinct()
-    posts = scratch.table(posts.join(members.select("grp", "class"), "grp").select("shingle", "class", "n", "pos"), "postings")
-    shared_groups = members.withColumn("many", F.min("class").over(Window.partitionBy("grp")) != F.max("class").over(Window.partitionBy("grp")))
-    together = scratch.table(shared_groups.where("many").select(F.col("grp").alias("shingle"), "class", "n", F.lit(0).cast("long").alias("pos")), "groups")
-    posts = posts.unionByName(together)
-    wanted = posts.select("class").distinct().join(reps, "class").select("class", "rep.doc_id", "rep.text_key")
-    wanted = scratch.table(row_keys(wanted, "class"), "wanted")
+    posts = posts.join(shared.hint("shuffle_hash"), "shingle").join(members.where("leads").select("row_id", "gid"), "row_id")
+    posts = scratch.table(posts.select("shingle", "gid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("pos")), "postings")
+    sizes = scratch.table(posts.groupBy("gid").agg(F.count("*").alias("posts")), "met")
+    # classes of groups that meet another group, or that have several members
+    of_group = members.select("gid", "class", "many").distinct()
+    of_group = scratch.table(of_group.join(sizes, "gid", "left").where("many > 1 OR posts IS NOT NULL").select("gid", "class"), "classes")
+    wanted = scratch.table(row_keys(of_group.join(reps, "class").select("class", "rep.doc_id", "rep.text_key"), "class"), "wanted")
     texts = texts.select(*KEYS, "text").join(side(wanted), list(KEYS))
     texts = scratch.table(texts.groupBy("class").agg(F.first("text").alias("text")), "texts")
     scratch.drop(held)
     verifier = _Verifier(texts, k, scratch)
 
-    # round 1: every member with the first of its posting
-    first = posts.groupBy("shingle").agg(F.min(F.struct("class", "n", "pos")).alias("a"))
-    star = posts.select("shingle", F.struct("class", "n", "pos").alias("b")).join(first, "shingle")
-    done = scratch.table(_pairs(star), "pairs")
+    # round 1: the first group of each posting with every other, by leading class, and members with their own
+    first = posts.groupBy("shingle").agg(F.min(F.struct("gid", "n", "pos")).alias("a"))
+    star = posts.select("shingle", F.struct("gid", "n", "pos").alias("b")).join(first, "shingle")
+    inside = of_group.where("class <> gid").select(F.least("gid", "class").alias("src"), F.greatest("gid", "class").alias("dst"))
+    done = scratch.table(_group_pairs(star).unionByName(inside), "pairs")
     links = verifier.links(done)
     component = connected_components(links, scratch)
 
     # middle rounds: neighbours of a posting that lie in two components, in a new order each time
     mixed = posts
     for turn in range(ROUNDS):
-        mixed = scratch.table(_mixed(mixed, component), "mixed")
-        by = Window.partitionBy("shingle").orderBy("spread", "class")
-        near = mixed.withColumn("spread", F.xxhash64("class", "shingle", F.lit(turn))).withColumn("b", F.struct("class", "n", "pos", "component"))
+        mixed = scratch.table(_mixed(mixed, _spread(of_group, component, sizes, scratch)), "mixed")
+        by = Window.partitionBy("shingle").orderBy("order", "gid")
+        near = mixed.withColumn("order", F.xxhash64("gid", "shingle", F.lit(turn))).withColumn("b", F.struct("gid", "n", "pos", "lo", "hi"))
         near = near.withColumn("before", F.array(*[F.lag("b", i).over(by) for i in range(1, NEIGHBOURS + 1)])).withColumn("many", F.count("*").over(Window.partitionBy("shingle")))
-        near = near.select("b", "many", F.explode("before").alias("a")).where("a.component <> b.component")
-        new = scratch.table(_pairs(near, F.col("many") >= LARGE).join(done, ["src", "dst"], "left_anti"), "pairs")
+        near = near.select("b", "many", F.explode("before").alias("a")).where("a.lo <> b.lo")
+        new = scratch.table(_group_pairs(near, F.col("many") >= LARGE).join(done, ["src", "dst"], "left_anti"), "pairs")
         links = links.unionByName(verifier.links(new))
         done = done.unionByName(new)
         component = connected_components(links, scratch)
-        mixed = mixed.select("shingle", "class", "n", "pos")
-
-    # last round: all pairs that lie in two components; one of them is outside the posting's largest
-    mixed = scratch.table(_mixed(mixed, component), "mixed")
-    parts = mixed.groupBy("shingle", "component").agg(F.count("*").alias("many"))
-    largest = parts.groupBy("shingle").agg(F.max(F.struct("many", "component")).alias("top")).select("shingle", F.col("top.component").alias("top"))
+        mixed = mixed.select("shingle", "gid", "n", "pos")
+
+    # last round: all group pairs, and groups by themselves, with members in two components;
+    # one of a pair has a member outside the posting's largest component
+    spread = _spread(of_group, component, sizes, scratch)
+    mixed = scratch.table(_mixed(mixed, spread), "mixed")
+    parts = mixed.groupBy("shingle", "lo").agg(F.count("*").alias("many"))
+    largest = parts.groupBy("shingle").agg(F.max(F.struct("many", "lo")).alias("top")).select("shingle", F.col("top.lo").alias("top"))
     bucket = F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")
-    entry = F.struct("class", "n", "pos", "component")
-    minor = mixed.join(largest, "shingle").where("component <> top").select("shingle", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), entry.alias("a"))
+    entry = F.struct("gid", "n", "pos", "lo", "hi")
+    minor = mixed.join(largest, "shingle").where("lo <> top OR hi <> top").select("shingle", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), entry.alias("a"))
     whole = mixed.select("shingle", bucket.alias("bucket"), entry.alias("b"))
-    rest = minor.join(whole, ["shingle", "bucket"]).where("a.component <> b.component")
-    rest = scratch.table(_pairs(rest).join(done, ["src", "dst"], "left_anti"), "pairs")
+    rest = minor.join(whole, ["shingle", "bucket"]).where("a.lo <> b.lo OR a.hi <> b.hi OR a.lo <> a.hi")
+    rest = _group_pairs(rest).unionByName(spread.where("lo <> hi").select(F.col("gid").alias("src"), F.col("gid").alias("dst")))
+    rest = scratch.table(_expanded(rest, of_group, component).join(done, ["src", "dst"], "left_anti"), "pairs")
     links = links.unionByName(verifier.links(rest))
     return connected_components(links, scratch).select(F.col("node").alias("class"), F.col("root").alias("component"))
 
 
-def _pairs(met: DataFrame, anywhere: Column | None = None) -> DataFrame:
-    """Distinct class pairs (src < dst) of rows (a, b) that pass the bounds; ``anywhere``: sizes alone must fit."""
+def _group_pairs(met: DataFrame, anywhere: Column | None = None) -> DataFrame:
+    """Distinct pairs of groups (src < dst) of rows (a, b) that pass the bounds; ``anywhere``: sizes alone must fit."""
     placed = _places_hold("a", "b") if anywhere is None else _places_hold("a", "b") | anywhere
-    met = met.where((F.col("a.class") != F.col("b.class")) & _sizes_hold("a", "b") & placed)
-    return met.select(F.least("a.class", "b.class").alias("src"), F.greatest("a.class", "b.class").alias("dst")).distinct()
+    met = met.where((F.col("a.gid") != F.col("b.gid")) & _sizes_hold("a", "b") & placed)
+    return met.select(F.least("a.gid", "b.gid").alias("src"), F.greatest("a.gid", "b.gid").alias("dst")).distinct()
+
+
+def _expanded(pairs: DataFrame, of_group: DataFrame, component: DataFrame) -> DataFrame:
+    """Distinct pairs of classes (src < dst) in two components, of group pairs (src, dst)."""
+    member = of_group.join(component.withColumnRenamed("node", "class"), "class", "left").select("gid", "class", F.coalesce("root", "class").alias("root"))
+    a = member.select(F.col("gid").alias("src"), F.col("class").alias("a"), F.col("root").alias("of_a"))
+    b = member.select(F.col("gid").alias("dst"), F.col("class").alias("b"), F.col("root").alias("of_b"))
+    both = pairs.join(a, "src").join(b, "dst").where("of_a <> of_b")
+    return both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def _spread(of_group: DataFrame, component: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(gid, lo, hi, posts): least and largest component of each group's classes, and its number of postings."""
+    member = of_group.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    found = member.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).join(sizes, "gid", "left")
+    return scratch.table(found, "spread")
 
 
-def _mixed(posts: DataFrame, component: DataFrame) -> DataFrame:
-    """Postings whose members lie in more than one component, with the components."""
-    labelled = posts.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
-    labelled = labelled.repartition("shingle")
-    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    return labelled.join(mixed.hint("shuffle_hash"), "shingle").select("shingle", "class", "n", "pos", "component")
+def _mixed(posts: DataFrame, spread: DataFrame) -> DataFrame:
+    """Postings whose groups have members in more than one component, with each group's components."""
+    labelled = join_counted(posts, spread.where("posts IS NOT NULL"), ["gid"], "posts").repartition("shingle")
+    mixed = labelled.groupBy("shingle").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("shingle")
+    return labelled.join(mixed.hint("shuffle_hash"), "shingle").select("shingle", "gid", "n", "pos", "lo", "hi")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

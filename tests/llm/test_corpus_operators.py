@@ -42,6 +42,38 @@ def test_odd_rows_quality(odd):
     assert quality.judge_quality(odd.where("false")).count() == 0
 
 
+def test_em_recovers_planted_accuracies(spark):
+    """Rules of known accuracy: EM finds them, settles, and lets good votes overrule a lone bad one."""
+    rng = np.random.default_rng(1)
+    n, on_good, on_bad = 40_000, np.array([0.97, 0.92, 0.85, 0.8]), np.array([0.9, 0.85, 0.8, 0.75])
+    good = rng.random(n) < 0.7
+    right = rng.random((n, 4)) < np.where(good[:, None], on_good, on_bad)
+    votes = np.where(right == good[:, None], 1, -1) * (rng.random((n, 4)) < 0.8)
+    seen, many = np.unique(votes, axis=0, return_counts=True)
+    rules = ["a", "b", "c", "d"]
+    frame = spark.createDataFrame([(*map(int, v), int(k)) for v, k in zip(seen, many)], ", ".join(f"v_{r} int" for r in rules) + ", n long")
+    found = quality.estimate_rates(frame, rules)
+    up, down = np.exp(found["up"]), np.exp(found["down"])
+    bad = (1 - up) / (down - up)
+    assert np.abs(bad - on_bad).max() < 0.03 and np.abs(up * (1 - bad) - on_good).max() < 0.02 and abs(found["prior"] - 0.7) < 0.02
+    odds = np.log(found["prior"] / (1 - found["prior"])) + np.where(votes == 1, found["up"], np.where(votes == -1, found["down"], 0.0)).sum(1)
+    kept, all_must_pass = odds >= 0, (votes != -1).all(1)
+    assert (kept == good).mean() > 0.93 > (all_must_pass == good).mean() + 0.1
+    assert (kept & ~all_must_pass & good).sum() > 5000
+
+
+def test_quality_posterior_overrules_a_lone_vote(spark, docs_of):
+    """A clean text with some repeated windows stays; one that is symbols throughout goes."""
+    rng = np.random.default_rng(4)
+    words = "the of and to in a is river stone window garden paper silver morning yellow carpet mountain letter".split()
+    text = lambda n: " ".join(rng.choice(words, n))
+    line = text(10)
+    rows = [(i, text(80)) for i in range(300)] + [(1000 + i, " ".join(f"{w}x&&&" for w in rng.choice(words[7:], 80))) for i in range(40)] + [(2000, f"{text(40)} {line} {line} {text(40)}")]
+    out = {r.doc_id: r for r in quality.judge_quality(docs_of(rows)).collect()}
+    assert all(out[i].kept for i in range(300)) and not any(out[1000 + i].kept for i in range(40))
+    assert 100 * out[2000].n_repeat_words > 15 * out[2000].n_words and not out[2000].base_failed and out[2000].kept
+
+
 def test_repeat_words_brute_force(spark, docs_of):
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 60))) for _ in range(40)] + ["x " * 30, "a b c d e f g h " * 2]
@@ -144,6 +176,45 @@ def test_line_dedup_runs(docs_of, odd):
     assert line_dedup.dedup_lines(odd.where("false")).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=40), min_size=1, max_size=4))
+def test_line_windows_hold_a_fingerprint(rows):
+    kinds = ["", "a b c", "the same ten words stand here in this one line", " ".join(f"x{i}" for i in range(30))]
+    _, data, offs = next(_text.blocks(pa.array(["\n".join(kinds[k] for k in one) for one in rows])))
+    hashes, words, bounds = line_dedup._lines(data, offs)
+    places, _ = line_dedup._fingerprints(hashes, words, bounds)
+
+    def reach(i, until, least):
+        return next((e for e in range(i + 1, until + 1) if words[i:e].sum() >= least), 0)
+
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        for i in range(a, b):
+            end = reach(i, b, line_dedup.RUN_WORDS)
+            assert not end or any(i <= p and 0 < reach(p, b, line_dedup.GRAM_WORDS) <= end for p in places)
+
+
+def test_line_dedup_of_thue_morse_lines_and_words(docs_of):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = ["\n".join(("a b", "c d")[b ^ flip] for b in bits) for flip in (0, 1)]
+    words = [" ".join(f"w{i}" for i in range(60)) + " " + "".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    held = line_dedup._Runs(np.stack([_text.span_hash(np.frombuffer(b"a bc d", np.uint8), np.array([0, 3])[[b ^ f for b in bits]], np.array([3, 6])[[b ^ f for b in bits]], s) for f, s in ((0, 0), (0, 1))]))
+    other = line_dedup._Runs(np.stack([_text.span_hash(np.frombuffer(b"a bc d", np.uint8), np.array([0, 3])[[b ^ 1 for b in bits]], np.array([3, 6])[[b ^ 1 for b in bits]], s) for s in (0, 1)]))
+    whole = np.array([0]), np.array([1024])
+    assert held.keys(*whole, 0) != other.keys(*whole, 0) and held.keys(*whole, 1) != other.keys(*whole, 1)
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs_of(list(enumerate(words)))).collect()}
+    assert out == {0: 0, 1: 0} and len(texts[0]) == len(texts[1])
+
+
+def test_line_dedup_of_ten_megabytes_of_blank_lines():
+    import time
+
+    began = time.time()
+    text = "\n" * 5_000_000 + " ".join(f"w{i}" for i in range(60)) + "\n" * 5_000_000
+    for _, data, offs in _text.blocks(pa.array([text])):
+        places, _ = line_dedup._fingerprints(*line_dedup._lines(data, offs))
+    assert len(places) and time.time() - began < 20
+
+
 def test_shards_compact_and_conflict(spark, odd):
     store = sharding.ShardStore(spark, Scratch(spark, "store").path, target_bytes=1 << 20, fanout=3, smallest=1 << 10)
     for i in range(9):
@@ -164,6 +235,48 @@ def test_shards_compact_and_conflict(spark, odd):
     assert none.read().count() == 0
 
 
+def test_shards_tiers_sizes_and_retention(spark):
+    """Compaction leaves no full tier, files near the target, old versions readable until vacuum, and no orphans after it."""
+    store = sharding.ShardStore(spark, Scratch(spark, "store").path, target_bytes=24 << 10, fanout=4, smallest=4 << 10)
+    parts = [spark.range(i * 3000, i * 3000 + 3000, numPartitions=1).withColumn("x", F.sha2(F.col("id").cast("string"), 256)).limit(200) for i in range(10)]
+    for part in parts:
+        store.append(part)
+    before = store.manifest()
+    assert store.compact() > 0
+    after = store.manifest()
+    tiers = [store.tier(r) for r in after["runs"]]
+    assert max(map(tiers.count, tiers)) < store.fanout and len(after["runs"]) < len(before["runs"])
+    merged = [r for r in after["runs"] if len(r["files"]) > 1 or r not in before["runs"]]
+    assert merged and all(r["bytes"] / len(r["files"]) < 2 * store.target_bytes for r in merged)
+    assert store.read(before["version"]).count() == store.read().count() == 2000
+    lost = spark._jvm.org.apache.hadoop.fs.Path(f"{store.root}/data/run-lost")
+    store._fs.mkdirs(lost)
+    store.vacuum()
+    assert store._fs.exists(lost) and store.versions() == [after["version"]] and store.read().count() == 2000
+    store.vacuum(orphans_after_s=-60)
+    assert not store._fs.exists(lost) and store.read().count() == 2000
+
+
+def test_racing_writers_commit_once(spark):
+    """Of writers that commit the same version at once, one wins and the rest are told."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = sharding.ShardStore(spark, Scratch(spark, "store").path)
+    base = store.append(spark.range(3))
+
+    def commit(i):
+        try:
+            return store._commit(base, [*base["runs"], {"run": f"data/r{i}", "files": [], "bytes": 0}], base["schema"])
+        except sharding.CommitConflict:
+            return None
+
+    for _ in range(5):
+        with ThreadPoolExecutor(6) as pool:
+            won = [r for r in pool.map(commit, range(6)) if r]
+        assert len(won) == 1 and store.manifest() == won[0]
+        base = won[0]
+
+
 def brute_segments(scores):
     """Maximal scoring subsequences by definition: best first, then left and right of it."""
     if not scores or max(scores) <= 0:
@@ -184,11 +297,34 @@ def test_segments_are_maximal(values):
     assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
 
 
+def test_segments_are_found_in_linear_time():
+    """Falling totals between equal words, and a text of two million scoring words."""
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        began = time.time()
+        assert len(toxicity.maximal_segments(np.arange(2 * n), np.tile([1.0, -1.5], n))) == n
+        took.append(time.time() - began)
+    assert took[1] < 30 * took[0] + 1
+    began = time.time()
+    (one,) = toxicity.maximal_segments(np.arange(2_000_000), np.full(2_000_000, 0.5))
+    assert one[:2] == (0, 2_000_000) and time.time() - began < 10
+
+
+def test_toxicity_adds_up_passages(spark):
+    """Several passages say more than the best of them alone; passages at chance level add nothing."""
+    frame = spark.createDataFrame([(0, 100, [9.0]), (1, 100, [9.0, 8.5]), (2, 100, [9.0, 8.5, 8.0]), (3, 100, [9.0, 0.1]), (4, 100, [])], "i int, __n_words long, score array<double>")
+    x = {r.i: r.x for r in frame.select("i", toxicity._evidence(F.col("score"), 1.0, 0.05).alias("x")).collect()}
+    assert x[4] < x[0] == x[3] < x[1] < x[2]
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = toxicity.op8_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
     rows = out.select("predicted", "toxic", "score").collect()
-    assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.9
+    caught = sum(r.predicted and r.toxic for r in rows)
+    assert caught / sum(r.toxic for r in rows) > 0.7 and caught / sum(r.predicted for r in rows) > 0.9
     assert all(0 <= r.score <= 1 for r in rows)
 
 
@@ -239,6 +375,15 @@ def test_pages_by_markup(spark):
     assert html_text.extract_main_text(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<div>" * 200_000, "<a " * 400_000, "<a \"'>" * 100_000, "<p>" + "<b>" * 200_000 + "<p>" * 10, "</b>" * 200_000 + "<i>" * 100_000 + "</b>" * 100_000, "<a " * 300_000 + "<!-- x"])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.time()
+    html_text.page_blocks(page)
+    assert time.time() - began < 10
+
+
 def test_pages_by_host_suffixes(spark):
     frame = [(i, f"https://site.org/{i}", f"<body><div>Welcome to the very best site on earth</div><div>{' '.join(f'u{i}w{j}' for j in range(30))}</div><div>All rights are reserved by the owner</div></body>") for i in range(20)]
     frame += [(50, "https://lone.org/", "<body><div>Welcome to the very best site on earth</div></body>")]

@@ -85,3 +85,25 @@ def parse_founders(text: Column) -> Column:
 
 def parse_scores(text: Column) -> Column:
     return F.from_json(text, "map<string,double>")
+
+
+def has_field(meta: Column, name: str) -> Column:
+    """Whether metadata held as a JSON object has a key, whatever its value."""
+    return F.coalesce(F.array_contains(F.json_object_keys(meta), name), F.lit(False))
+
+
+def set_field(meta: Column, name: str, value: Column) -> Column:
+    """Metadata (a JSON object of texts) with one field set; null metadata is an empty object."""
+    held = F.coalesce(F.from_json(meta, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.to_json(F.map_concat(F.map_filter(held, lambda k, _: k != name), F.create_map(F.lit(name), value)))
+
+
+def iso_time(stamp: Column) -> Column:
+    """UTC time as ISO 8601 text; now, if it is null."""
+    return F.date_format(F.coalesce(stamp, F.current_timestamp()), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def add_once(items: Column, item: Column) -> Column:
+    """A list with an item at its end, unless it is there already."""
+    held = F.coalesce(items, F.array().cast("array<string>"))
+    return F.when(F.array_contains(held, item), held).otherwise(F.array_append(held, item))

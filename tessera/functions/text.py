@@ -180,3 +180,13 @@ def html_to_text(page: Column) -> Column:
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+
+
+def backoff_seconds(attempt: Column, most: int = 60) -> Column:
+    """Seconds to wait before an attempt is made again: powers of two up to a bound."""
+    return F.least(F.pow(F.lit(2.0), attempt), F.lit(float(most))).cast("long")
+
+
+def prefix(text: Column, size: int = 15_000) -> Column:
+    """The first characters of a text, as the reader proxy returns it."""
+    return F.substring(text, 1, size)

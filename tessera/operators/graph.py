@@ -178,3 +178,45 @@ def write_export(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """Write nodes and edges as CSV part files with headers."""
     nodes.write.mode("overwrite").csv(f"{folder}/nodes", header=True)
     edges.write.mode("overwrite").csv(f"{folder}/edges", header=True)
+
+
+def upsert_companies(vertices: DataFrame, found: DataFrame, facts: list[str]) -> DataFrame:
+    """Vertices (id, pipeline_id, name, type, facts) with companies' facts merged in.
+
+    A found company (pipeline_id, name, type, facts; one row a name) fills every vertex of
+    that name and pipeline whose type is a company type, its facts winning where they are
+    not null; one that no such vertex has becomes a new vertex.
+    """
+    keys, firm = ["pipeline_id", "name"], F.col("type").isin(*COMPANY_TYPES)
+    new = found.select(*keys, F.lit(True).alias("__met"), *[F.col(c).alias(f"__{c}") for c in facts])
+    merged = vertices.join(new, keys, "left").withColumn("__met", F.coalesce("__met", F.lit(False)) & firm)
+    merged = merged.select("id", *keys, "type", *[F.when(F.col("__met"), F.coalesce(f"__{c}", c)).otherwise(F.col(c)).alias(c) for c in facts])
+    created = found.join(vertices.where(firm).select(*keys).distinct(), keys, "left_anti")
+    return merged.unionByName(created.select(stable_id(F.lit("company"), *keys).alias("id"), *keys, "type", *facts))
+
+
+def highlight_set(edges: DataFrame, centre) -> DataFrame:
+    """Ids of a vertex and of its neighbours either way."""
+    touching = edges.where((F.col("src") == F.lit(centre)) | (F.col("dst") == F.lit(centre)))
+    return touching.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+def counts_by_type(edges: DataFrame, kinds: list[str]) -> DataFrame:
+    """One row with the number of edges of each listed type."""
+    return edges.agg(*[F.count_if(F.col("type") == kind).alias(kind) for kind in kinds])
+
+
+def evidence_rows(edges: DataFrame) -> DataFrame:
+    """(src, dst, type, place, quote, url): each edge's evidence in order, one row a quote with its own url."""
+    return edges.select("src", "dst", "type", F.posexplode("evidence").alias("place", "e")).select("src", "dst", "type", "place", "e.quote", "e.url")
+
+
+def all_properties(vertices: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, properties): all columns of each vertex as one JSON object; nulls are left out."""
+    return vertices.select(id_col, F.to_json(F.struct(*vertices.columns)).alias("properties"))
+
+
+def belongs_to(members: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(src, dst, type): membership edges of the communities that have a summary."""
+    kept = members.join(summaries.select("community"), "community", "left_semi")
+    return kept.select(F.col("id").alias("src"), F.col("community").alias("dst"), F.lit("BELONGS_TO").alias("type"))

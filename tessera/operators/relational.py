@@ -76,3 +76,39 @@ def set_status(rows: DataFrame, chosen: Column, status: str) -> DataFrame:
 def without_property(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Rows with a property cleared, and how many had it."""
     return rows.withColumn(name, F.lit(None).cast(rows.schema[name].dataType)), rows.agg(F.count(name).alias("removed"))
+
+
+def append(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Existing rows with new ones after them; columns that either lacks are null."""
+    return existing.unionByName(new, allowMissingColumns=True)
+
+
+def copy_on_hit(cached: DataFrame, wanted: DataFrame, key: str, id_col: str, **changed: Column) -> tuple[DataFrame, DataFrame]:
+    """(copies of cached rows whose key is wanted, wanted rows that aren't cached).
+
+    Copies take the ``changed`` columns and a surrogate id made of the old one and these.
+    """
+    hits, misses = hits_and_misses(wanted, cached, key)
+    copies = hits.withColumns(changed)
+    return copies.withColumn(id_col, F.xxhash64(F.col(id_col), *[F.col(c) for c in changed]).cast(cached.schema[id_col].dataType)), misses
+
+
+def first_non_null(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """The first value of each key, in order, that isn't null; null if there is none."""
+    return rows.groupBy(*keys).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias(value))
+
+
+def delete_counted(rows: DataFrame, chosen: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that are not chosen (null is not), and how many were."""
+    doomed = F.coalesce(chosen, F.lit(False))
+    return rows.where(~doomed), rows.agg(F.count(F.when(doomed, 1)).alias("deleted"))
+
+
+def emptied(rows: DataFrame) -> DataFrame:
+    """A table's columns without its rows, to overwrite it with."""
+    return rows.limit(0)
+
+
+def newest_first(rows: DataFrame, tenants: DataFrame, user: str, stamp: str, key: str) -> DataFrame:
+    """A user's rows, newest first, ties by key."""
+    return scoped(rows, tenants, user).orderBy(F.desc(stamp), key)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +33,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels._tessera_path = new._tessera_path
 
 
-def similarity_edges(entities: DataFrame, vector: str, at_least: float = MERGE_AT) -> DataFrame:
-    """(src, dst) pairs of entities (id) whose similarity is at least ``at_least``."""
+def similarity_edges(entities: DataFrame, vector: str, at_least: float = MERGE_AT, within: str | None = None) -> DataFrame:
+    """(src, dst) pairs of entities (id) whose similarity is at least ``at_least``, of equal ``within`` if named."""
     from tessera.operators.similarity import similar_groups
 
-    pairs = similar_groups(entities, "id", vector, over=at_least - 1e-12)
+    pairs = similar_groups(entities, "id", vector, over=at_least - 1e-12, within=within)
     kind = entities.schema["id"].dataType.simpleString()
     return pairs.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"))
 
@@ -59,79 +58,101 @@ def canonicalise(entities: DataFrame, component: DataFrame) -> DataFrame:
     )
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community): each vertex takes the heaviest label around it, the smallest on ties; seeded by ids."""
+def _weights(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, src, dst, w): parallel edges summed, in both directions, without self loops."""
+    both = edges.select(*keys, "src", "dst", F.lit(1.0).alias("w")).unionAll(edges.select(*keys, F.col("dst"), F.col("src"), F.lit(1.0)))
+    return both.where("src <> dst").groupBy(*keys, "src", "dst").agg(F.sum("w").alias("w"))
+
+
+def label_propagation(edges: DataFrame) -> DataFrame:
+    """(id, community): each vertex takes the heaviest label around it, the smallest on ties, until none changes.
+
+    Seeded by ids. In a round only the half of the vertices whose turn it is (by hash and round)
+    may change, so that neighbours don't swap labels for ever; a vertex leaves its label
+    only for a heavier one, or an equal one that is smaller, which makes rounds end.
+    """
     scratch = Scratch(edges.sparkSession, "labels")
-    both = edges.select("src", "dst", F.lit(1.0).alias("w")).unionAll(edges.select(F.col("dst"), F.col("src"), F.lit(1.0)))
-    both = scratch.table(both.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")), "edges")
+    both = scratch.table(_weights(edges, []), "edges")
     labels = scratch.table(both.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct(), "labels")
-    for _ in range(rounds):
+    turn = quiet = 0
+    while quiet < 2:  # both halves stay as they are
         votes = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("src").agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("community"))
-        new = scratch.table(best.withColumnRenamed("src", "id"), "labels")
-        same = new.alias("n").join(labels.alias("o"), "id").where("n.community <> o.community").isEmpty()
+        best = votes.groupBy("src").agg(F.max_by(F.struct("community", "w"), F.struct("w", -F.col("community"))).alias("best"))
+        own = labels.join(votes.withColumnRenamed("src", "id"), ["id", "community"], "left").select("id", "community", F.coalesce("w", F.lit(0.0)).alias("own"))
+        gain = (F.col("best.w") > F.col("own")) | ((F.col("best.w") == F.col("own")) & (F.col("best.community") < F.col("community")))
+        moves = gain & (F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2)
+        step = own.join(best.withColumnRenamed("src", "id"), "id")
+        new = scratch.table(step.select("id", F.when(moves, F.col("best.community")).otherwise(F.col("community")).alias("community"), moves.alias("moved")), "labels")
+        quiet = quiet + 1 if new.where("moved").isEmpty() else 0
         scratch.drop(labels)
-        labels = new
-        if same:
-            break
+        labels, turn = new.drop("moved"), turn + 1
+        labels._tessera_path = new._tessera_path
     return labels
 
 
+LEAST_GAIN = 1e-6
+
+
 def louvain(edges: DataFrame, scope: str) -> DataFrame:
-    """(scope, id, community) by modularity gains, one task for each scope (a pipeline's projected graph).
+    """(scope, id, community) by modularity gains, within each scope (a pipeline's projected graph).
 
-    Use it where a scope's graph is known to fit a task; ``label_propagation`` has no such bound.
+    Parallel edges are summed first. In a round every vertex looks for the neighbouring
+    community of largest gain, by joins and aggregates; half of the vertices (by hash and
+    round) may move, and the round counts only if the total modularity rises. When it does
+    no more, communities become the vertices of the next level, until a level moves nothing.
+    A community is named by its smallest vertex.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights: dict[int, dict[int, float]] = {}
-        for s, t in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
-            for a, b in {(s, t), (t, s)}:
-                weights.setdefault(a, {})[b] = weights.setdefault(a, {}).get(b, 0.0) + 1.0
-        home = {v: v for v in weights}
-        graph = {v: dict(n) for v, n in weights.items()}
-        member = {v: v for v in graph}
-        while True:
-            moved = _local_moves(graph, member)
-            home = {v: member[c] for v, c in home.items()}
-            if not moved:
-                break
-            merged: dict[int, dict[int, float]] = {}
-            for v, near in graph.items():
-                row = merged.setdefault(member[v], {})
-                for u, w in near.items():
-                    row[member[u]] = row.get(member[u], 0.0) + w
-            graph, member = merged, {c: c for c in merged}
-        names = {c: i for i, c in enumerate(sorted(set(home.values())))}
-        ids = sorted(home)
-        return pd.DataFrame({scope: pdf[scope].iloc[0], "id": ids, "community": [names[home[v]] for v in ids]})
-
-    kind = edges.schema[scope].dataType.simpleString()
-    return edges.select(scope, F.col("src").cast("long"), F.col("dst").cast("long")).groupBy(scope).applyInPandas(run, f"{scope} {kind}, id long, community long")
-
-
-def _local_moves(graph: dict[int, dict[int, float]], member: dict[int, int]) -> bool:
-    """Move vertices to the neighbouring community of largest gain until none moves."""
-    degree = {v: sum(n.values()) for v, n in graph.items()}
-    total = sum(degree.values()) or 1.0
-    inside = {v: degree[v] for v in graph}
-    any_move = False
-    for _ in range(100):
-        moved = False
-        for v in sorted(graph):
-            own = member[v]
-            links: dict[int, float] = {own: 0.0}
-            for u, w in graph[v].items():
-                if u != v:
-                    links[member[u]] = links.get(member[u], 0.0) + w
-            inside[own] -= degree[v]
-            best = max(sorted(links), key=lambda c: (links[c] - degree[v] * inside.get(c, 0.0) / total, c == own))
-            inside[best] = inside.get(best, 0.0) + degree[v]
-            if best != own:
-                member[v], moved, any_move = best, True, True
-        if not moved:
+    scratch = Scratch(edges.sparkSession, "louvain")
+    graph = scratch.table(_weights(edges, [scope]), "edges")  # no self loops at the first level
+    home = scratch.table(graph.select(scope, F.col("src").alias("id"), F.col("src").alias("node")).distinct(), "home")
+    while True:
+        node = graph.groupBy(scope, "src").agg(F.sum("w").alias("k")).withColumnRenamed("src", "node")
+        total = graph.groupBy(scope).agg(F.sum("w").alias("m2"))
+        node = scratch.table(node.join(total, scope).withColumn("community", F.col("node")), "nodes")
+        start = best = _modularity(graph, node, scope)
+        failed, turn = 0, 0
+        while failed < 2:
+            moved = scratch.table(_moved(graph, node, scope, turn), "nodes")
+            now = _modularity(graph, moved, scope)
+            if now > best + LEAST_GAIN:
+                node, best, failed = moved, now, 0
+            else:
+                failed += 1
+            turn += 1
+        if best <= start + LEAST_GAIN:
             break
-    return any_move
+        names = node.groupBy(scope, "community").agg(F.min("node").alias("name"))
+        named = scratch.table(node.join(names, [scope, "community"]).select(scope, "node", "name"), "names")
+        home = scratch.table(home.join(named, [scope, "node"]).select(scope, "id", F.col("name").alias("node")), "home")
+        src, dst = (named.select(scope, F.col("node").alias(x), F.col("name").alias(f"__{x}")) for x in ("src", "dst"))
+        merged = graph.join(src, [scope, "src"]).join(dst, [scope, "dst"]).groupBy(scope, F.col("__src").alias("src"), F.col("__dst").alias("dst")).agg(F.sum("w").alias("w"))
+        graph = scratch.table(merged, "edges")
+    return home.select(scope, "id", F.col("node").alias("community"))
+
+
+def _modularity(graph: DataFrame, node: DataFrame, scope: str) -> float:
+    """Sum of all scopes' modularities."""
+    src, dst = (node.select(scope, F.col("node").alias(x), F.col("community").alias(f"c_{x}")) for x in ("src", "dst"))
+    inside = graph.join(src, [scope, "src"]).join(dst, [scope, "dst"]).where("c_src = c_dst").groupBy(scope).agg(F.sum("w").alias("inside"))
+    square = node.groupBy(scope, "community", "m2").agg(F.sum("k").alias("k")).groupBy(scope, "m2").agg(F.sum(F.pow(F.col("k") / F.col("m2"), F.lit(2.0))).alias("square"))
+    return square.join(inside, scope, "left").agg(F.sum(F.coalesce(F.col("inside"), F.lit(0.0)) / F.col("m2") - F.col("square"))).first()[0] or 0.0
+
+
+def _moved(graph: DataFrame, node: DataFrame, scope: str, turn: int) -> DataFrame:
+    """Nodes with the community of largest gain, where it is their turn and the gain is positive."""
+    size = node.groupBy(scope, "community").agg(F.sum("k").alias("held"))
+    near = node.select(scope, F.col("node").alias("dst"), "community")
+    links = graph.where("src <> dst").join(near, [scope, "dst"]).groupBy(scope, F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
+    options = links.join(size, [scope, "community"]).join(node.select(scope, "node", "k", "m2", F.col("community").alias("own")), [scope, "node"])
+    rest = F.col("held") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+    options = options.withColumn("gain", F.col("w") - F.col("k") * rest / F.col("m2"))
+    best = options.groupBy(scope, "node").agg(
+        F.max_by(F.struct("community", "gain"), F.struct("gain", -F.col("community"))).alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("linked")
+    )
+    joined = node.join(size, [scope, "community"]).join(best, [scope, "node"], "left")
+    stay = F.coalesce("linked", -F.col("k") * (F.col("held") - F.col("k")) / F.col("m2"))
+    moves = (F.col("best.gain") > stay + 1e-12) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
+    return joined.select(scope, "node", "k", "m2", F.when(moves, F.col("best.community")).otherwise(F.col("community")).alias("community"))
 
 
 def community_summaries(members: DataFrame, least: int = 3, most_names: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine, cosine_distance
+from tessera.session import Scratch
 
 FUNNEL_LEAST = 0.35
 SIMILAR_OVER = 0.85
@@ -23,8 +24,25 @@ def semantic_funnel(chunks: DataFrame, anchors: DataFrame, key: str, vector: str
     rows = anchors.select(vector).limit(MOST_ANCHORS + 1).collect()
     if len(rows) > MOST_ANCHORS:
         raise ValueError(f"at most {MOST_ANCHORS} anchors")
-    best = F.greatest(*sims) if len(sims := [cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in r[0]])) for r in rows]) > 1 else sims[0] if sims else F.lit(None).cast("double")
-    return chunks.select(key, best.alias("max_similarity")).where(F.col("max_similarity") >= least)
+    targets = [np.asarray(r[0], float) for r in rows if r[0] is not None]
+    targets = [t / np.linalg.norm(t) for t in targets if np.linalg.norm(t) > 0]
+    kind = chunks.schema[key].dataType.simpleString()
+
+    def best(batches):
+        for pdf in batches:
+            out = np.full(len(pdf), -np.inf)
+            sizes = pdf[vector].map(lambda v: -1 if v is None else len(v)).to_numpy()
+            for size in set(map(len, targets)):  # vectors of other sizes are similar to nothing
+                at = np.flatnonzero(sizes == size)
+                if len(at):
+                    m = np.stack(pdf[vector].to_numpy()[at]).astype(float)
+                    norm = np.linalg.norm(m, axis=1)
+                    sims = (m @ np.stack([t for t in targets if len(t) == size]).T).max(axis=1) / np.where(norm > 0, norm, np.nan)
+                    out[at] = np.fmax(out[at], sims)
+            keep = out >= least
+            yield pd.DataFrame({key: pdf[key][keep], "max_similarity": out[keep]})
+
+    return chunks.select(key, vector).mapInPandas(best, f"`{key}` {kind}, max_similarity double")
 
 
 def nearest(chunks: DataFrame, query: list[float], key: str, vector: str, k: int = 10) -> DataFrame:
@@ -34,18 +52,22 @@ def nearest(chunks: DataFrame, query: list[float], key: str, vector: str, k: int
     return found.orderBy("distance", key).limit(k)
 
 
-def similar_groups(chunks: DataFrame, group: str, vector: str, over: float = SIMILAR_OVER, block_rows: int = 512) -> DataFrame:
+def similar_groups(chunks: DataFrame, group: str, vector: str, over: float = SIMILAR_OVER, block_rows: int = 4096, within: str | None = None) -> DataFrame:
     """(src, dst, weight): pairs of groups whose best chunk similarity is over ``over``, src < dst.
 
-    Exact similarity of all groups is asked for, so work is quadratic by definition; it
-    is cut into pairs of row blocks of bounded size that are multiplied as matrices, and
-    only pairs over the threshold leave a task.
+    Exact similarity of all groups is asked for, so products are quadratic by definition;
+    they are cut into pairs of row blocks of bounded size that are multiplied as matrices,
+    and only pairs over the threshold leave a task. Each row travels once for each block of its
+    scope, so larger blocks mean fewer copies. With ``within`` only rows that agree in that
+    column meet, and the work is quadratic in a scope's rows only. Null vectors are similar to nothing.
     """
-    total = chunks.count()
-    blocks = max(1, -(-total // block_rows))
-    cut = chunks.where(F.col(vector).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(vector).alias("v"), F.pmod(F.xxhash64(group, vector), F.lit(blocks)).cast("int").alias("b"))
-    left = cut.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"), "g", "v", "b")
-    placed = left.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "g", "v")
+    scope = F.col(within).cast("string") if within else F.lit("")
+    cut = chunks.where(F.col(vector).isNotNull()).select(F.col(group).cast("string").alias("g"), scope.alias("s"), F.col(vector).alias("v"))
+    cut = Scratch(chunks.sparkSession, "similar").table(cut, "vectors")
+    sizes = cut.groupBy("s").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias("blocks"))
+    cut = cut.join(sizes, "s").withColumn("b", F.pmod(F.xxhash64("g", "v"), F.col("blocks")).cast("int"))
+    left = cut.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "s", "g", "v", "b")
+    placed = left.select("s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "g", "v")
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
@@ -61,5 +83,5 @@ def similar_groups(chunks: DataFrame, group: str, vector: str, over: float = SIM
             out = pd.DataFrame({"src": lo, "dst": hi, "weight": sims[x, y][keep]}).groupby(["src", "dst"], as_index=False)["weight"].max().values.tolist()
         return pd.DataFrame(out, columns=["src", "dst", "weight"])
 
-    pairs = placed.groupBy("i", "j").applyInPandas(multiply, "src string, dst string, weight double")
+    pairs = placed.groupBy("s", "i", "j").applyInPandas(multiply, "src string, dst string, weight double")
     return pairs.groupBy("src", "dst").agg(F.max("weight").alias("weight"))

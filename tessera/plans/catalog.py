@@ -199,7 +199,7 @@ def status_update(spark: SparkSession, d: str) -> DataFrame:
     return relational.set_status(rows, F.col("o_totalprice") < 50000, "rejected").select("o_orderkey", "status")
 
 
-@query("SELECT CAST(s_suppkey AS BIGINT) AS id FROM supplier UNION SELECT c_custkey FROM customer WHERE c_custkey <= 100000")
+@query("SELECT CAST(s_suppkey AS BIGINT) AS id FROM supplier UNION SELECT c_custkey FROM customer")
 def get_or_create_rows(spark: SparkSession, d: str) -> DataFrame:
     have = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
     return relational.get_or_create(have, table(spark, d, "customer").select(F.col("c_custkey").alias("id")), ["id"])
@@ -286,20 +286,25 @@ def theme_regulatory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _document_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents, similar, mentions, entities): customers as documents, parts as entities."""
+    """(documents, similar, mentions, entities): customers as documents, parts as entities.
+
+    Customers of a segment and nation are similar to the next three by key.
+    """
     docs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")).alias("title"), F.concat(F.lit("u"), "c_custkey").alias("url"))
-    said = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_partkey % 4 = 0 AND l_quantity > 45")
+    said = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     mentions = said.select(F.col("o_custkey").alias("document"), F.col("l_partkey").alias("entity")).distinct()
-    c = table(spark, d, "customer").where("c_acctbal > 9000").select("c_custkey", "c_mktsegment", "c_nationkey")
-    o = c.withColumnsRenamed({"c_custkey": "other"})
-    similar = c.join(o, ["c_mktsegment", "c_nationkey"]).where("c_custkey < other").select(F.col("c_custkey").alias("src"), F.col("other").alias("dst"), (F.lit(1.0) / (1 + F.col("other") - F.col("c_custkey"))).alias("weight"))
+    place = Window.partitionBy("c_mktsegment", "c_nationkey").orderBy("c_custkey")
+    after = table(spark, d, "customer").select("c_custkey", F.array(*[F.lead("c_custkey", i).over(place) for i in (1, 2, 3)]).alias("next"))
+    after = after.select("c_custkey", F.explode("next").alias("other")).where("other IS NOT NULL")
+    similar = after.select(F.col("c_custkey").alias("src"), F.col("other").alias("dst"), (F.lit(1.0) / (1 + F.col("other") - F.col("c_custkey"))).alias("weight"))
     entities = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"))
     return docs, similar, mentions, entities
 
 
 _DOCS = """WITH docs AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS title, 'u' || c_custkey AS url FROM customer),
-ment AS (SELECT DISTINCT o_custkey AS document, l_partkey AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 4 = 0 AND l_quantity > 45),
-sim AS (SELECT a.c_custkey AS src, b.c_custkey AS dst, 1.0 / (1 + b.c_custkey - a.c_custkey)::DOUBLE AS weight FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_acctbal > 9000 AND b.c_acctbal > 9000),
+ment AS (SELECT DISTINCT o_custkey AS document, l_partkey AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS k FROM customer),
+sim AS (SELECT a.c_custkey AS src, b.c_custkey AS dst, 1.0 / (1 + b.c_custkey - a.c_custkey)::DOUBLE AS weight FROM ranked a JOIN ranked b ON a.c_mktsegment = b.c_mktsegment AND a.c_nationkey = b.c_nationkey AND b.k BETWEEN a.k + 1 AND a.k + 3),
 twoway AS (SELECT src, dst, weight FROM sim UNION ALL SELECT dst, src, weight FROM sim),
 bridge AS (SELECT entity FROM ment GROUP BY entity HAVING count(*) BETWEEN 2 AND 15),
 edges AS (SELECT src, dst, coalesce(title, url) AS target_name, 'SIMILAR_TO' AS rel_type, weight FROM twoway JOIN docs ON dst = id UNION ALL SELECT document, entity, p_name, 'MENTIONS', 0.5::DOUBLE FROM ment JOIN bridge USING (entity) JOIN part ON p_partkey = entity)
@@ -353,13 +358,13 @@ def detach_delete(spark: SparkSession, d: str) -> DataFrame:
     return count(vertices, "vertex").unionByName(count(edges, "edge"))
 
 
-@query("SELECT DISTINCT CAST(o_orderpriority || o_custkey AS VARCHAR) AS document, x AS entity FROM (SELECT o_orderpriority, o_custkey, unnest(['n' || s_nationkey, 'b' || p_brand]) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)")
+@query("SELECT DISTINCT CAST(o_orderpriority || o_custkey AS VARCHAR) AS document, x AS entity FROM (SELECT o_orderpriority, o_custkey, unnest(['n' || s_nationkey, 'b' || p_brand]) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey) UNION SELECT DISTINCT 'x' || s_suppkey % 7, 'n' || s_nationkey FROM supplier")
 def mentions_edges(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     links = li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.concat("o_orderpriority", F.col("o_custkey").cast("string")).alias("url"))
     resolves = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("raw"), F.concat(F.lit("n"), "s_nationkey").alias("canonical"))
     resolves = resolves.unionByName(table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("raw"), F.concat(F.lit("b"), "p_brand").alias("canonical")))
-    own = links.select("url", F.col("src").alias("raw")).limit(0)
+    own = table(spark, d, "supplier").select(F.concat(F.lit("x"), (F.col("s_suppkey") % 7).cast("string")).alias("url"), F.concat(F.lit("s"), "s_suppkey").alias("raw"))
     return graph.mention_edges(own, links, resolves)
 
 

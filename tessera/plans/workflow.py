@@ -57,16 +57,17 @@ def extract_facts(chunks: DataFrame, extractor: Callable[[Column], Column]) -> t
 
 
 def build_graph(chunks: DataFrame, extractor: Callable, embedder: Callable, verdict: Callable) -> dict[str, DataFrame]:
-    """The graph of one pipeline: vertices with communities, weighted edges, mentions.
+    """The graphs of all pipelines in ``chunks``: vertices with communities, weighted edges, mentions.
 
-    Steps: extraction, resolution of similar names, edge collapse, pruning of supernodes
+    Nothing is merged across pipelines. Steps: extraction, resolution of similar names, edge collapse, pruning of supernodes
     that ``verdict`` condemns, document mentions, communities. Each lands as a table.
     """
     scratch = Scratch(chunks.sparkSession, "graph")
     entities, links = (scratch.table(t, n) for t, n in zip(extract_facts(chunks, extractor), ("entities", "links")))
-    raw = scratch.table(entities.select(stable_id(F.col("pipeline_id"), F.col("name")).alias("id"), "name", "type", "description", "source_url", embedder(F.col("name")).alias("vector")), "raw")
-    component = scratch.table(components(raw, similarity_edges(raw, "vector")), "components")
-    vertices = scratch.table(canonicalise(raw, component).withColumnRenamed("component", "id"), "vertices")
+    raw = scratch.table(entities.select(stable_id(F.col("pipeline_id"), F.col("name")).alias("id"), "pipeline_id", "name", "type", "description", "source_url", embedder(F.col("name")).alias("vector")), "raw")
+    component = scratch.table(components(raw, similarity_edges(raw, "vector", within="pipeline_id")), "components")
+    pipelines = raw.select(F.col("id").alias("component"), "pipeline_id")
+    vertices = scratch.table(canonicalise(raw, component).join(pipelines, "component").withColumnRenamed("component", "id"), "vertices")
     resolves = component.select(F.col("id").alias("raw"), F.col("component").alias("canonical"))
     edges = links.select(stable_id(F.col("pipeline_id"), F.col("source")).alias("src"), stable_id(F.col("pipeline_id"), F.col("target")).alias("dst"), "type", F.col("exact_quote").alias("quote"), F.col("source_url").alias("url"))
     collapsed = scratch.table(collapse_edges(edges, resolves), "edges")
@@ -88,18 +89,104 @@ def retrieval_context(chunks: DataFrame, urls: DataFrame, query: list[float], k:
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))), lambda r: r["t"]), "").alias("context"))
 
 
-def acquire(search: Callable[[int], DataFrame], fetch: Callable[[DataFrame], DataFrame], keywords: list[str], least_urls: int = 200, most_rounds: int = 5) -> DataFrame:
+def with_fallback(urls: DataFrame, fetch: Callable[[DataFrame], DataFrame], proxy: Callable[[DataFrame], DataFrame], retries: int = 3) -> DataFrame:
+    """(url, status, text, by_proxy) of each URL: fetched, through the proxy where it is denied.
+
+    Both functions take (url, attempt) and give (url, status, text). Statuses 401 and 403
+    go to the proxy, whose text is cut to 15,000 characters; 429 and 5xx are tried again,
+    up to ``retries`` times, with ``backoff_seconds`` as the time to wait before each.
+    """
+    from tessera.functions.text import backoff_seconds, prefix
+
+    scratch = Scratch(urls.sparkSession, "fetch")
+    busy = (F.col("status") == 429) | F.col("status").between(500, 599)
+
+    def attempts(call: Callable[[DataFrame], DataFrame], wanted: DataFrame, name: str) -> DataFrame:
+        ask = lambda rows, attempt: rows.select("url", F.lit(attempt).alias("attempt"), backoff_seconds(F.lit(attempt)).alias("wait"))
+        got = scratch.table(call(ask(wanted, 0)).select("url", "status", "text"), name)
+        for attempt in range(1, retries + 1):
+            again = got.where(busy)
+            if again.isEmpty():
+                break
+            got = scratch.table(got.where(~busy).unionByName(call(ask(again, attempt)).select("url", "status", "text")), name)
+        return got
+
+    direct = attempts(fetch, urls.select("url").distinct(), "direct").withColumn("by_proxy", F.lit(False))
+    denied = F.col("status").isin(401, 403)
+    proxied = attempts(proxy, direct.where(denied), "proxy").select("url", "status", prefix(F.col("text")).alias("text"), F.lit(True).alias("by_proxy"))
+    return direct.where(~denied).unionByName(proxied)
+
+
+SEARCHES = {"site": "{} official website", "funding": "{} funding", "founders": "{} founders", "news": "{} news"}
+
+
+def enrich_companies(companies: DataFrame, search: Callable[[DataFrame], DataFrame], synthesise: Callable[[Column, Column], Column], per_search: int = 3) -> DataFrame:
+    """(company, dossier, urls): four searches for each company, their distinct results as labelled text, and its synthesis.
+
+    ``search`` takes (company, label, query) and gives these with (rank, url, snippet); the first
+    ``per_search`` results of each search count and a URL counts once, where it comes first.
+    ``synthesise`` makes struct<urls:array<string>> of company and text; where it lists no
+    URL, those that were gathered stand.
+    """
+    labels = list(SEARCHES)
+    asked = companies.select("company", F.posexplode(F.array(*[F.lit(x) for x in labels])).alias("turn", "label"))
+    asks = F.element_at(F.array(*[F.replace(F.lit(SEARCHES[x]), F.lit("{}"), F.col("company")) for x in labels]), F.col("turn") + 1)
+    found = search(asked.withColumn("query", asks)).where(F.col("rank") <= per_search)
+    once = found.groupBy("company", "url").agg(F.min(F.struct("turn", "rank", "label", "snippet")).alias("r")).select("company", "url", "r.*")
+    line = F.format_string("[%s] %s: %s", F.col("label"), F.col("url"), F.coalesce("snippet", F.lit("")))
+    texts = once.groupBy("company").agg(F.array_sort(F.collect_list(F.struct("turn", "rank", "url", line.alias("line")))).alias("rows"))  # at most 4 * per_search
+    texts = companies.join(texts, "company", "left").withColumn("rows", F.coalesce("rows", F.array().cast(texts.schema["rows"].dataType)))
+    text = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
+    out = texts.select("company", text.alias("dossier"), F.transform("rows", lambda r: r["url"]).alias("gathered")).withColumn("answer", synthesise(F.col("company"), F.col("dossier")))
+    return out.select("company", "dossier", F.when(F.size("answer.urls") > 0, F.col("answer.urls")).otherwise(F.col("gathered")).alias("urls"))
+
+
+def entity_briefing(ego: DataFrame, context: DataFrame) -> DataFrame:
+    """(prompt): a vertex's relations, heaviest first, and the retrieved text, as one prompt.
+
+    ``ego`` is one vertex's network as ``ego_entity`` or ``ego_document`` give it, served
+    to a reader and so bounded by what is shown: the 50 heaviest relations.
+    """
+    top = ego.where("name IS NOT NULL").orderBy(F.desc("weight"), "name", "rel_type").limit(50)
+    line = F.format_string("- %s %s (weight %s)", F.col("rel_type"), F.col("name"), F.format_number("weight", 2))
+    lines = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "name", "rel_type", line.alias("t")))), lambda r: r["t"]), "\n").alias("relations"))
+    return lines.crossJoin(F.broadcast(context)).select(F.concat(F.lit("Relations:\n"), "relations", F.lit("\n\nSources:\n"), F.coalesce("context", F.lit(""))).alias("prompt"))  # one row each
+
+
+def relation_urls(edges: DataFrame, mentions: DataFrame, centre) -> DataFrame:
+    """(url): sources of a vertex, the urls of its edges and the documents that mention it, trimmed, each once."""
+    own = edges.where((F.col("src") == F.lit(centre)) | (F.col("dst") == F.lit(centre))).select(F.explode("source_urls").alias("url"))
+    said = mentions.where(F.col("entity") == F.lit(centre)).select(F.col("document").alias("url"))
+    return own.unionByName(said).select(F.trim("url").alias("url")).where("url <> ''").distinct()
+
+
+def acquire(
+    search: Callable[[int], DataFrame],
+    fetch: Callable[[DataFrame], DataFrame],
+    keywords: list[str],
+    least_urls: int = 200,
+    most_rounds: int = 5,
+    least_relevant: int = 0,
+    cancelled: Callable[[], bool] = lambda: False,
+) -> DataFrame:
     """Search until enough distinct URLs are known or rounds are spent, then fetch and gate them.
 
     ``search(round)`` gives (url, rank) and ``fetch(urls)`` (url, text). Blocked domains
     are skipped; the result has the reason why a text was kept out, null if it passed.
+    While fewer than ``least_relevant`` texts pass, rounds go on with URLs not yet fetched;
+    ``cancelled`` is asked before each round, and what is there by then is returned.
     """
     from tessera.functions.text import blocked_domain, keyword_gate
 
-    found = search(0)
-    for attempt in range(1, most_rounds):
-        if found.select("url").distinct().count() >= least_urls:
-            break
-        found = found.unionByName(search(attempt))
-    urls = found.groupBy("url").agg(F.min("rank").alias("rank")).where(~blocked_domain(F.col("url")))
-    return fetch(urls).withColumn("rejected", keyword_gate(F.col("text"), keywords))
+    scratch, done, attempt = None, None, 0
+    while True:
+        found, attempt = search(attempt), attempt + 1
+        scratch = scratch or Scratch(found.sparkSession, "acquire")
+        while attempt < most_rounds and not cancelled() and found.select("url").distinct().count() < least_urls:
+            found, attempt = found.unionByName(search(attempt)), attempt + 1
+        urls = found.groupBy("url").agg(F.min("rank").alias("rank")).where(~blocked_domain(F.col("url")))
+        urls = urls if done is None else urls.join(done.select("url"), "url", "left_anti")
+        gated = scratch.table(fetch(urls).withColumn("rejected", keyword_gate(F.col("text"), keywords)), "gated")
+        done = gated if done is None else done.unionByName(gated)
+        if attempt >= most_rounds or cancelled() or done.where("rejected IS NULL").count() >= least_relevant:
+            return done

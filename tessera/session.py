@@ -28,10 +28,12 @@ def build_session(app: str = "tessera", master: str | None = None, **conf) -> Sp
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset and the master is local."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("tessera.scratch", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.conf.set("tessera.scratch", found)

@@ -320,7 +320,7 @@ def theme_documents(spark: SparkSession, d: str) -> DataFrame:
 @query(_DOCS + "SELECT dst AS id, target_name AS name, rel_type, round(weight, 9) AS weight FROM (SELECT src, dst, coalesce(title, url) AS target_name, 'SIMILAR_TO' AS rel_type, weight FROM twoway JOIN docs ON dst = id UNION ALL SELECT document, entity, p_name, 'MENTIONS', 0.5::DOUBLE FROM ment JOIN part ON p_partkey = entity) WHERE src = (SELECT min(src) FROM sim)")
 def ego_document(spark: SparkSession, d: str) -> DataFrame:
     docs, similar, mentions, entities = _document_graph(spark, d)
-    centre = similar.agg(F.min("src")).first()[0] or -1
+    centre = similar.agg(F.coalesce(F.min("src"), F.lit(-1))).first()[0]
     return graph.ego_document(docs, similar, mentions, entities, centre).select("id", "name", "rel_type", F.round("weight", 9).alias("weight"))
 
 

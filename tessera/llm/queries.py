@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from tessera.llm import pipeline
 from tessera.llm.decontaminate import OP4_SQL, op4_decontaminate
 from tessera.llm.html_text import op9_html_text
 from tessera.llm.jaccard_join import OP5_SQL, op5_jaccard_join
@@ -25,7 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
     "op10_best_fit_packing": op10_best_fit_packing,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE = {

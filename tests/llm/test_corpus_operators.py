@@ -10,8 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tessera.llm import _text, decontaminate, html_text, jaccard_join, line_dedup, quality, queries, sharding, toxicity
+from tessera.llm import _text, decontaminate, html_text, jaccard_join, line_dedup, pipeline, quality, queries, sharding, toxicity
 from tessera.session import Scratch
 
 
@@ -436,7 +435,7 @@ def test_suffix_cover_brute_force(pages):
 def test_pipeline_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     scratch, kept = Scratch(spark, "stages"), []
-    for name, stage in corpus_pipeline.STAGES:
+    for name, stage in pipeline.STAGES:
         before, docs = docs, scratch.table(stage(spark, docs, folder), name)
         kept.append(docs)
         if name != "packing":
@@ -447,4 +446,21 @@ def test_pipeline_stages(spark, folder):
     assert decontaminate.find_contamination(free, bench).where("contaminated").count() == 0
     assert free.count() == unique.count() - decontaminate.find_contamination(unique, bench).where("contaminated").count()
     assert packed.select("doc_id").distinct().count() == free.count()
-    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, packed.collect()))
+    assert sorted(map(tuple, pipeline.run(spark, folder).collect())) == sorted(map(tuple, packed.collect()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty texts, repeated rows, ties, clashing columns and empty tables pass every stage."""
+    folder = str(tmp_path)
+    rows = odd.withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long"), "score": F.lit(1), "first": F.lit("f"), "prefix": F.lit("p"), "__segments": F.lit(0)})
+    spark.createDataFrame([(2, 1, 1), (5, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("a", None), ("b", ""), ("c", "other words here")], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    want = {"toxicity": 10, "line_dedup": 10, "near_duplicates": 9, "decontamination": 8}
+    docs = rows
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = Scratch(spark, "odd").table(stage(spark, docs, folder), name)
+        assert docs.count() == want[name] and docs.columns == pipeline.COLUMNS
+        assert docs.where("text IS NULL").count() == 2
+    assert pipeline.pack(spark, docs, folder).select("doc_id").count() >= 8
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, rows.where("false"), folder).count() == 0

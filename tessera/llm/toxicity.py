@@ -8,9 +8,9 @@ repeats the one before it scores once), and one linear scan finds all maximal se
 of positive score. Segment scores follow an extreme-value law on clean texts;
 its rate solves sum p exp(rate * score) = 1 over clean tokens and its constant is read
 from clean documents. A passage is significant if fewer than one in twenty such passages
-are expected in a clean text of that length; a text's evidence is the sum statistic of
-its best passages that are beyond chance, for the number of them that says most, and goes through a
-logistic curve fitted on the training documents.
+are expected in a clean text of that length. The best passage's normalised score and the
+sum of those of all further significant passages go through a logistic curve fitted on the
+training documents, which says how much the further ones count.
 """
 
 from __future__ import annotations
@@ -269,7 +269,7 @@ def held_out() -> Column:
 class ToxicityModel:
     """Token scores with their calibration: the law of clean segment scores and the logistic curve."""
 
-    def __init__(self, tokens: TokenScores, k: float, curve: tuple[float, float]):
+    def __init__(self, tokens: TokenScores, k: float, curve: tuple[float, float, float]):
         self.tokens, self.k, self.curve = tokens, k, curve
 
     @classmethod
@@ -288,9 +288,9 @@ class ToxicityModel:
         )
         clean = clean.first()
         k = ((clean["hits"] or 0.0) + 0.5) / ((clean["room"] or 0.0) + 1.0)
-        x = F.least(F.greatest(_evidence(F.col("score"), tokens.rate, k), F.lit(-40.0)), F.lit(60.0))
-        bins = seen.groupBy(F.floor(x / BIN).alias("bin"), "toxic").agg(F.count("*").alias("n")).collect()  # at most 802 rows
-        return cls(tokens, k, _logistic([((r["bin"] + 0.5) * BIN, r["toxic"], r["n"]) for r in bins]))
+        x, more = _bounded(_normalised(F.col("__best"), tokens.rate, k)), _further(F.col("score"), tokens.rate, k)
+        bins = seen.groupBy(F.floor(x / BIN).alias("bin"), F.floor(more / BIN).alias("more"), "toxic").agg(F.count("*").alias("n")).collect()  # at most 401 * 101 * 2 rows
+        return cls(tokens, k, _logistic([((r["bin"] + 0.5) * BIN, (r["more"] + 0.5) * BIN if r["more"] else 0.0, r["toxic"], r["n"]) for r in bins]))
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the columns of ``annotate``, __score, __predicted and __e_value, the least of a passage.
@@ -298,9 +298,9 @@ class ToxicityModel:
         Of the segments, those that are significant stay.
         """
         best = _normalised(F.col("__best"), self.tokens.rate, self.k)
-        x = _evidence(F.col("__segments.score"), self.tokens.rate, self.k)
-        a, b = self.curve
-        score = F.lit(1.0) / (1.0 + F.exp(-(F.lit(a) + F.lit(b) * F.least(F.greatest(x, F.lit(-40.0)), F.lit(60.0)))))
+        more = _further(F.col("__segments.score"), self.tokens.rate, self.k)
+        a, b, c = self.curve
+        score = F.lit(1.0) / (1.0 + F.exp(-(F.lit(a) + F.lit(b) * _bounded(best) + F.lit(c) * more)))
         found = annotate(docs, self.tokens).withColumn("__score", score).withColumn("__predicted", (F.col("__score") >= PREDICT_AT).cast("int")).withColumn("__e_value", F.exp(-best))
         return found.withColumn("__segments", F.filter("__segments", lambda s: _normalised(s["score"], self.tokens.rate, self.k) >= -math.log(SIGNIFICANT)))
 
@@ -325,51 +325,46 @@ def _normalised(score: Column, rate: float, k: float) -> Column:
     return F.lit(rate) * score - F.log(F.lit(k) * F.greatest(F.col("__n_words"), F.lit(1)))
 
 
-def _evidence(scores: Column, rate: float, k: float) -> Column:
-    """Minus the logarithm of the chance of a clean text's best r passages, for the r that says most.
+def _bounded(x: Column) -> Column:
+    return F.least(F.greatest(x, F.lit(-40.0)), F.lit(60.0))
 
-    The sum T of r normalised scores has a tail of about exp(-T) T^(r-1) / (r! (r-1)!);
-    each further r costs a factor of two, as r is chosen. Passages that are no
-    rarer than chance are left out beyond the first; a text without a passage has the lowest evidence of its length.
-    """
-    normal = F.array_sort(F.transform(scores, lambda s: -_normalised(s, rate, k)))
-    one = F.coalesce(-F.get(normal, F.lit(0)), _normalised(F.lit(0.0), rate, k))
-    more = F.filter(F.slice(normal, 2, 2**31 - 1), lambda x: x < 0)
-    zero = F.struct(one.alias("total"), F.lit(1.0).alias("r"), F.lit(0.0).alias("lnr"), one.alias("best"))
 
-    def add(acc: Column, x: Column) -> Column:
-        total, r = acc["total"] - x, acc["r"] + 1
-        lnr = acc["lnr"] + F.log(r) + F.log(acc["r"])  # ln r! + ln (r - 1)!
-        value = total - (r - 1) * F.log(F.greatest(total, F.lit(1.0))) + lnr - (r - 1) * math.log(2)
-        return F.struct(total.alias("total"), r.alias("r"), lnr.alias("lnr"), F.greatest(acc["best"], value).alias("best"))
-
-    return F.aggregate(more, zero, add, lambda acc: acc["best"])
+def _further(scores: Column, rate: float, k: float) -> Column:
+    """Logarithm of one plus the summed normalised scores of all significant passages but the best; at most 25."""
+    normal = F.array_sort(F.transform(scores, lambda s: -_normalised(s, rate, k)))
+    more = F.filter(F.slice(normal, 2, F.size(normal)), lambda x: -x >= -math.log(SIGNIFICANT))
+    return F.least(F.log1p(F.aggregate(more, F.lit(0.0), lambda a, x: a - x)), F.lit(25.0))
 
 
-def _logistic(points: list[tuple[float, int, int]], ridge: float = 1e-3) -> tuple[float, float]:
-    """Intercept and slope of a ridge logistic fit of binned points; the slope is not negative."""
+def _logistic(points: list[tuple[float, float, int, int]], ridge: float = 1e-3) -> tuple[float, float, float]:
+    """Intercept and two slopes of a ridge logistic fit of binned points (x, more, label, count); slopes are not negative."""
     if not points:
-        return -50.0, 0.0
-    x, y, n = (np.array(c, float) for c in zip(*points))
+        return -50.0, 0.0, 0.0
+    x, more, y, n = (np.array(c, float) for c in zip(*points))
     toxic = float((y * n).sum())
     if toxic == 0 or toxic == n.sum():
         share = toxic / n.sum()
-        return math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0
-    design = np.stack([np.ones_like(x), x])
-    w = np.array([math.log(toxic / (n.sum() - toxic)), 0.0])
-    weight = n / n.sum()
-    loss = lambda v: float((weight * (np.logaddexp(0, v @ design) - y * (v @ design))).sum() + ridge / 2 * v[1] ** 2)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(w @ design, -500, 500)))
-        grad = design @ (weight * (p - y)) + np.array([0.0, ridge * w[1]])
-        hess = (design * (weight * p * (1 - p))) @ design.T + np.diag([1e-9, ridge])
-        step, size = np.linalg.solve(hess, grad), 1.0
-        while loss(w - size * step) > loss(w) and size > 1e-6:
-            size /= 2
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-9:
+        return math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0
+    design = np.stack([np.ones_like(x), x, more])
+    weight, hold = n / n.sum(), np.array([1e-9, ridge, ridge])
+    loss = lambda v: float((weight * (np.logaddexp(0, v @ design) - y * (v @ design))).sum() + (hold * v**2).sum() / 2)
+    for use in ([0, 1, 2], [0, 1], [0]):  # a slope that would be negative is left out
+        w = np.zeros(3)
+        w[0] = math.log(toxic / (n.sum() - toxic))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(w @ design, -500, 500)))
+            grad = (design @ (weight * (p - y)) + hold * w)[use]
+            hess = ((design * (weight * p * (1 - p))) @ design.T + np.diag(hold))[np.ix_(use, use)]
+            step, size = np.zeros(3), 1.0
+            step[use] = np.linalg.solve(hess, grad)
+            while loss(w - size * step) > loss(w) and size > 1e-6:
+                size /= 2
+            w = w - size * step
+            if np.abs(size * step).max() < 1e-9:
+                break
+        if (w[1:] >= 0).all():
             break
-    return float(w[0]), float(max(w[1], 0.0))
+    return float(w[0]), float(w[1]), float(w[2])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

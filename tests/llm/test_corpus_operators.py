@@ -312,10 +312,19 @@ def test_segments_are_found_in_linear_time():
 
 
 def test_toxicity_adds_up_passages(spark):
-    """Several passages say more than the best of them alone; passages at chance level add nothing."""
+    """Further significant passages add up; those at chance level add nothing, and a text without any is fine."""
     frame = spark.createDataFrame([(0, 100, [9.0]), (1, 100, [9.0, 8.5]), (2, 100, [9.0, 8.5, 8.0]), (3, 100, [9.0, 0.1]), (4, 100, [])], "i int, __n_words long, score array<double>")
-    x = {r.i: r.x for r in frame.select("i", toxicity._evidence(F.col("score"), 1.0, 0.05).alias("x")).collect()}
-    assert x[4] < x[0] == x[3] < x[1] < x[2]
+    x = {r.i: r.x for r in frame.select("i", toxicity._further(F.col("score"), 1.0, 0.05).alias("x")).collect()}
+    assert x[4] == x[0] == x[3] == 0 < x[1] < x[2]
+
+
+def test_logistic_weighs_both_features():
+    rng = np.random.default_rng(0)
+    x, more = rng.normal(size=4000), rng.exponential(size=4000)
+    y = rng.random(4000) < 1 / (1 + np.exp(-(-1 + 1.5 * x + 0.8 * more)))
+    a, b, c = toxicity._logistic(list(zip(x, more, y.astype(int), np.ones(4000, int))), ridge=1e-6)
+    assert abs(a + 1) < 0.25 and abs(b - 1.5) < 0.25 and abs(c - 0.8) < 0.25
+    assert toxicity._logistic(list(zip(x, -more, y.astype(int), np.ones(4000, int))))[2] == 0
 
 
 def test_toxicity_held_out(spark):

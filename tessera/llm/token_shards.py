@@ -1,10 +1,11 @@
 """Token-ID files: independent zstandard frames, a trailing seek table, checksums per frame.
 
-A file holds data frames (16-bit little-endian ids of one or more whole documents
-each), one directory frame (ids, lengths and places of the documents) and a
+A file holds data frames (16-bit little-endian ids of one whole document each, or of
+several up to ``frame_ids`` ids), one directory frame (ids, lengths and places of the documents) and a
 skippable frame with the seek table of the zstandard seekable format: compressed
 size, decompressed size and the low 32 bits of the XXH64 of each frame. A reader
-that wants some documents reads the table, the directory and their frames only.
+that wants some documents reads the table, the directory and their frames only, adjacent
+frames in one read.
 
 Files are written by tasks under names of their own and count once the manifest,
 written last, names them; a task that is run again leaves a file nobody reads.
@@ -32,7 +33,8 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-FRAME_IDS = 1 << 18
+FRAME_IDS = 1  # a frame ends before it would hold more ids, so each document has its own
+READ_BYTES = 4 << 20
 
 
 def open_store(uri: str):
@@ -113,24 +115,41 @@ class FrameReader:
         self.inside = before - before[first[self.frame_of]] if docs else before
 
     def frame(self, i: int) -> bytes:
+        return next(self._frames([i]))[1]
+
+    def _frames(self, wanted):
+        """Yield (frame, raw bytes) of frames in rising order; adjacent ones are read at once, up to READ_BYTES."""
         import xxhash
         import zstandard
 
-        self.file.seek(int(self.at[i]))
-        raw = zstandard.ZstdDecompressor().decompress(self.file.read(int(self.entries[i, 0])), max_output_size=int(self.entries[i, 1]))
-        if len(raw) != self.entries[i, 1] or xxhash.xxh64(raw).intdigest() & 0xFFFFFFFF != self.entries[i, 2]:
-            raise ValueError(f"checksum of frame {i} does not match")
-        return raw
+        unpack = zstandard.ZstdDecompressor().decompress
+        wanted = np.asarray(wanted, np.int64)
+        lo = 0
+        while lo < len(wanted):
+            hi = lo + 1
+            while hi < len(wanted) and wanted[hi] == wanted[hi - 1] + 1 and self.at[wanted[hi] + 1] - self.at[wanted[lo]] <= READ_BYTES:
+                hi += 1
+            start = int(self.at[wanted[lo]])
+            self.file.seek(start)
+            held = memoryview(self.file.read(int(self.at[wanted[hi - 1] + 1]) - start))
+            for i in wanted[lo:hi].tolist():
+                packed, size, check = (int(x) for x in self.entries[i])
+                at = int(self.at[i]) - start
+                raw = unpack(held[at : at + packed], max_output_size=size)
+                if len(raw) != size or xxhash.xxh64(raw).intdigest() & 0xFFFFFFFF != check:
+                    raise ValueError(f"checksum of frame {i} does not match")
+                yield i, raw
+            lo = hi
 
     def documents(self, which=None):
         """Yield (place, ids) of the documents at these places, all by default; each frame is read once."""
         places = np.arange(len(self.lens)) if which is None else np.unique(np.asarray(which, np.int64))
-        held, ids = -1, None
-        for p in places:
-            if self.frame_of[p] != held:
-                held = int(self.frame_of[p])
-                ids = np.frombuffer(self.frame(held), "<u2")
-            yield int(p), ids[self.inside[p] : self.inside[p] + self.lens[p]]
+        frames, first = np.unique(self.frame_of[places], return_index=True)
+        ends = np.append(first[1:], len(places))
+        for (_, raw), a, b in zip(self._frames(frames), first, ends):
+            ids = np.frombuffer(raw, "<u2")
+            for p in places[a:b].tolist():
+                yield p, ids[self.inside[p] : self.inside[p] + self.lens[p]]
 
 
 def write_token_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:

@@ -189,6 +189,26 @@ def test_file_layout_and_checksum(tmp_path):
             reader.frame(0)
 
 
+def test_only_requested_documents_are_read(tmp_path):
+    """By default a document has a frame of its own, and no byte of other documents is read."""
+    where = str(tmp_path / "b.tok")
+    docs = [np.append(np.full(2000 + i, i, np.uint16), np.uint16(1)) for i in range(50)]
+    with open(where, "wb") as f:
+        writer = token_shards.FrameWriter(f)
+        for i, ids in enumerate(docs):
+            writer.add(i, ids)
+        writer.close()
+    fs, path = token_shards.open_store(f"file://{where}")
+    with fs.open_input_file(path) as f:
+        reader = token_shards.FrameReader(f)
+        assert len(reader.entries) == 51
+        seen, plain = [], reader._frames
+        reader._frames = lambda wanted: (seen.extend(np.asarray(wanted).tolist()), plain(wanted))[1]
+        assert [(p, i.tolist()) for p, i in reader.documents([7, 8, 31])] == [(p, docs[p].tolist()) for p in (7, 8, 31)]
+        assert seen == [7, 8, 31]
+        assert [i.tolist() for _, i in reader.documents()] == [d.tolist() for d in docs]
+
+
 def test_histogram_against_brute_force(spark, odd, folder):
     docs = odd.select("text").unionByName(spark.read.parquet(f"{folder}/documents.parquet").select("text"))
     lens = [len(library_ids(r.text)) for r in docs.collect()]

@@ -32,6 +32,7 @@ from tessera.session import Scratch
 SHINGLE = 5
 NUM, DEN = 3, 4  # similarity 0.75 as a fraction
 SKETCH_BITS = 20
+FIRSTS = 3  # firsts of postings that a group is compared with in round 1
 ROUNDS, NEIGHBOURS = 1, 4  # rounds and neighbours in a posting that are tried before all pairs are
 LARGE = 32  # postings of so many members try neighbours whatever their places
 SIZE_STEP = 1.34  # sets of similarity 0.75 lie in the same or neighbouring powers of this size
@@ -218,11 +219,14 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, bits: int, scrat
     scratch.drop(held)
     verifier = _Verifier(texts, k, scratch)
 
-    # round 1: the first group of each posting with every other, by leading class, and members with their own
+    # round 1: the first group of each posting with every other, by leading class, and members with their own;
+    # a group in postings of many firsts tries the smallest, and later rounds what is left
     first = posts.groupBy("shingle").agg(F.min(F.struct("gid", "n", "pos")).alias("a"))
     star = posts.select("shingle", F.struct("gid", "n", "pos").alias("b")).join(first, "shingle")
     inside = of_group.where("class <> gid").select(F.least("gid", "class").alias("src"), F.greatest("gid", "class").alias("dst"))
-    done = scratch.table(_group_pairs(star).unionByName(inside), "pairs")
+    tried = F.row_number().over(Window.partitionBy("dst").orderBy("src"))
+    star = _group_pairs(star).withColumn("nth", tried).where(F.col("nth") <= FIRSTS).drop("nth")
+    done = scratch.table(star.unionByName(inside), "pairs")
     links = verifier.links(done)
     component = connected_components(links, scratch)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,27 +69,26 @@ def _weights(edges: DataFrame, keys: list[str]) -> DataFrame:
 def label_propagation(edges: DataFrame) -> DataFrame:
     """(id, community): each vertex takes the heaviest label around it, the smallest on ties, until none changes.
 
-    Seeded by ids. In a round only the half of the vertices whose turn it is (by hash and round)
-    may change, so that neighbours don't swap labels for ever; a vertex leaves its label
-    only for a heavier one, or an equal one that is smaller, which makes rounds end.
+    Seeded by ids. A vertex leaves its label only for a heavier one, or an equal one that is
+    smaller. In a round only half of the vertices (by hash of id and round, so another half each
+    time) may change, so that neighbours don't swap labels for ever.
     """
     scratch = Scratch(edges.sparkSession, "labels")
     both = scratch.table(_weights(edges, []), "edges")
     labels = scratch.table(both.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct(), "labels")
-    turn = quiet = 0
-    while quiet < 2:  # both halves stay as they are
+    for turn in itertools.count():
         votes = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("src").agg(F.max_by(F.struct("community", "w"), F.struct("w", -F.col("community"))).alias("best"))
         own = labels.join(votes.withColumnRenamed("src", "id"), ["id", "community"], "left").select("id", "community", F.coalesce("w", F.lit(0.0)).alias("own"))
         gain = (F.col("best.w") > F.col("own")) | ((F.col("best.w") == F.col("own")) & (F.col("best.community") < F.col("community")))
-        moves = gain & (F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2)
+        moves = gain & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
         step = own.join(best.withColumnRenamed("src", "id"), "id")
-        new = scratch.table(step.select("id", F.when(moves, F.col("best.community")).otherwise(F.col("community")).alias("community"), moves.alias("moved")), "labels")
-        quiet = quiet + 1 if new.where("moved").isEmpty() else 0
+        new = scratch.table(step.select("id", F.when(moves, F.col("best.community")).otherwise(F.col("community")).alias("community"), gain.alias("wants")), "labels")
         scratch.drop(labels)
-        labels, turn = new.drop("moved"), turn + 1
+        labels = new.drop("wants")
         labels._tessera_path = new._tessera_path
-    return labels
+        if new.where("wants").isEmpty():
+            return labels
 
 
 LEAST_GAIN = 1e-6

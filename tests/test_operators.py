@@ -201,3 +201,62 @@ def test_stream_fold_equals_batch(spark, tmp_path):
 def test_progress_states(spark):
     df = spark.createDataFrame([("a", 1, "Extract", 5, 10), ("a", 2, "Complete", 6, 10), ("b", 1, "Error", 1, 0), ("c", 3, "Extract", 1, 8)], "k string, seq long, current_phase string, processed_chunks int, total_chunks int")
     assert rows(events.progress(df, "k"), "k", "percent", "state") == [("a", 100, "complete"), ("b", 0, "error"), ("c", 13, "running")]
+
+
+def test_labels_settle_on_swapping_neighbours(spark):
+    """A pair and a star, on which labels that all change at once would swap for ever."""
+    e = spark.createDataFrame([(1, 2)] + [(10, i) for i in range(11, 16)], "src long, dst long")
+    out = {r.id: r.community for r in resolve.label_propagation(e).collect()}
+    assert out[1] == out[2] and len({out[i] for i in range(10, 16)}) == 1
+
+
+def test_louvain_keeps_scopes_apart_and_sums_parallel_edges(spark):
+    cliques = [(p, a + k, b + k) for p in ("x", "y") for k in (0, 10, 20) for a in range(4) for b in range(a)]
+    bridges = [(p, 0, 10) for p in ("x", "y")] + [(p, 10, 20) for p in ("x", "y")]
+    e = spark.createDataFrame(cliques * 3 + bridges, "p string, src long, dst long")
+    out = resolve.louvain(e, "p").collect()
+    assert len(out) == 24 and {(r.p, r.community) for r in out} == {(p, k) for p in ("x", "y") for k in (0, 10, 20)}
+    assert all(r.community == r.id // 10 * 10 for r in out)
+    assert resolve.louvain(e.where("false"), "p").count() == 0
+
+
+def test_graph_of_two_pipelines_is_not_merged(spark):
+    chunks = spark.createDataFrame([(p, f"u{p}", i, "Alpha met Beta. Alpha left.") for p in (1, 2) for i in range(2)], "pipeline_id long, source_url string, seq long, raw_text string")
+    out = workflow.build_graph(chunks, connectors.stub_extractor, connectors.hashed_embedding, lambda name, kind: F.lit(False))
+    assert rows(out["vertices"].groupBy("pipeline_id", "name").count()) == [(p, n, 1) for p in (1, 2) for n in ("Alpha", "Beta", "Left") if n != "Left"]
+
+
+def test_companies_fill_all_same_name_nodes(spark):
+    v = spark.createDataFrame([(1, 7, "Acme", "Startup", None), (2, 7, "Acme", "Investor", "old"), (3, 7, "Acme", "Person", None), (4, 8, "Acme", "Company", None)], "id long, pipeline_id long, name string, type string, stage string")
+    found = spark.createDataFrame([(7, "Acme", "Company", "seed"), (7, "New", "Company", None)], "pipeline_id long, name string, type string, stage string")
+    out = rows(graph.upsert_companies(v, found, ["stage"]), "pipeline_id", "name", "type", "stage")
+    assert sorted(map(str, out)) == sorted(map(str, [(7, "Acme", "Startup", "seed"), (7, "Acme", "Investor", "seed"), (7, "Acme", "Person", None), (8, "Acme", "Company", None), (7, "New", "Company", None)]))
+
+
+def test_acquire_goes_on_until_enough_are_relevant(spark):
+    asked = []
+
+    def search(attempt):
+        asked.append(attempt)
+        return spark.createDataFrame([(f"https://s.org/{attempt}-{i}", i) for i in range(3)], "url string, rank int")
+
+    fetch = lambda urls: urls.select("url", F.when(F.col("url").contains("/2-"), F.lit("wind power " * 40)).otherwise("none").alias("text"))
+    out = workflow.acquire(search, fetch, ["wind"], least_urls=3, most_rounds=5, least_relevant=2)
+    assert asked == [0, 1, 2] and out.count() == 9 and out.where("rejected IS NULL").count() == 3
+    asked.clear()
+    assert workflow.acquire(search, fetch, ["wind"], least_urls=3, least_relevant=2, cancelled=lambda: True).count() == 3 and asked == [0]
+
+
+def test_sink_writes_in_bulks(spark, tmp_path):
+    spark.range(1250).coalesce(1).write.parquet(str(tmp_path / "in"))
+    written = []
+    sink = events.batching_sink(lambda bulk, number: written.append((number, sorted(r.id for r in bulk.collect()))), ["id"])
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    events.relay(stream, sink, str(tmp_path / "checkpoint"), seconds=None).start().awaitTermination(120)
+    assert [len(ids) for _, ids in sorted(written)] == [500, 500, 250] and sum((ids for _, ids in sorted(written)), []) == list(range(1250))
+
+
+def test_briefing_lists_relations_and_sources(spark):
+    ego = spark.createDataFrame([("B", "OWNS", 2.0), ("A", "NEAR", 3.0), (None, None, None)], "name string, rel_type string, weight double")
+    prompt = workflow.entity_briefing(ego, spark.createDataFrame([("text",)], "context string")).first().prompt
+    assert prompt == "Relations:\n- NEAR A (weight 3.00)\n- OWNS B (weight 2.00)\n\nSources:\ntext"

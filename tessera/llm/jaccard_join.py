@@ -11,7 +11,7 @@
    texts. First the leading classes of each posting's first group and of neighbours are
    linked, and each group's members to its leading class; the last round expands every
    group pair whose members lie in two components still, so no link between components
-   is missed and no group is squared.
+   is missed. Pairs inside one component are never made.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tessera.llm._dense import SCHEMA, dense_rows, merge_dense
 from tessera.llm._text import NON_SPACE, Words, as_long, blocks, mix, tidy
 from tessera.llm._rows import KEYS, keyed, row_keys, side
 from tessera.llm._skew import join_counted
-from tessera.llm.components import connected_components
+from tessera.llm.components import extended_components
 from tessera.session import Scratch
 
 SHINGLE = 5
@@ -55,6 +55,12 @@ def set_key(shingles: np.ndarray) -> int:
     return int(as_long(mix(np.array([mix(shingles ^ _SALT).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)))[0])
 
 
+def set_names(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The same names for all sets of a block, none of them empty."""
+    sums = np.add.reduceat(mix(sets ^ _SALT), bounds[:-1]) if len(bounds) > 1 else np.zeros(0, np.uint64)
+    return as_long(mix(sums + np.diff(bounds).astype(np.uint64)))
+
+
 def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
@@ -73,7 +79,7 @@ def _sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     return merge_dense(docs.select("text").mapInArrow(tidy(count), SCHEMA), 1 << bits, "uint32", "sum")
 
 
-def _classes(docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+def name_classes(docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(doc_id, text_key, n_shingles, class) of every document."""
 
     def name(batches):
@@ -102,14 +108,14 @@ def _places_hold(a: str, b: str) -> Column:
     return 1 + F.least(na - at_a - 1, nb - at_b - 1) >= least
 
 
-class _Verifier:
+class Verifier:
     """Checks pairs of classes on their texts and collects the links."""
 
-    def __init__(self, texts: DataFrame, k: int, scratch: Scratch):
-        self.texts, self.k, self.scratch = texts, k, scratch
+    def __init__(self, texts: DataFrame, k: int, scratch: Scratch, num: int = NUM, den: int = DEN):
+        self.texts, self.k, self.scratch, self.least = texts, k, scratch, (num, den)
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        k = self.k
+        k, (num, den) = self.k, self.least
 
         def check(batches):
             for batch in batches:
@@ -120,7 +126,7 @@ class _Verifier:
                     both = np.concatenate([a, b])
                     both.sort()
                     common = int((both[1:] == both[:-1]).sum())
-                    keep[row] = DEN * common >= NUM * (len(both) - common)
+                    keep[row] = den * common >= num * (len(both) - common)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep))
 
         b = self.texts.select(F.col("class").alias("dst"), F.col("text").alias("text_b"))
@@ -143,9 +149,13 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, sketch_bits: int = SKE
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    classes = _classes(docs, k, scratch)
+    classes = name_classes(docs, k, scratch)
     full = classes.where(F.col("class").isNotNull())
-    component = _class_components(docs, full, k, sketch_bits, scratch)  # (class, component) where linked
+    return document_components(classes, full, _class_components(docs, full, k, sketch_bits, scratch))
+
+
+def document_components(classes: DataFrame, full: DataFrame, component: DataFrame) -> DataFrame:
+    """Components of documents from those of their classes, ``component`` (class, component) where linked."""
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     by_class = full.groupBy("class").agg(F.min(own).alias("least"))
     named = by_class.join(component, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
@@ -217,7 +227,7 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, bits: int, scrat
     texts = texts.select(*KEYS, "text").join(side(wanted), list(KEYS))
     texts = scratch.table(texts.groupBy("class").agg(F.first("text").alias("text")), "texts")
     scratch.drop(held)
-    verifier = _Verifier(texts, k, scratch)
+    verifier = Verifier(texts, k, scratch)
 
     # round 1: the first group of each posting with every other, by leading class, and members with their own;
     # a group in postings of many firsts tries the smallest, and later rounds what is left
@@ -227,8 +237,7 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, bits: int, scrat
     tried = F.row_number().over(Window.partitionBy("dst").orderBy("src"))
     star = _group_pairs(star).withColumn("nth", tried).where(F.col("nth") <= FIRSTS).drop("nth")
     done = scratch.table(star.unionByName(inside), "pairs")
-    links = verifier.links(done)
-    component = connected_components(links, scratch)
+    component = extended_components(None, verifier.links(done), scratch)
 
     # middle rounds: neighbours of a posting that lie in two components, in a new order each time
     mixed = posts
@@ -239,9 +248,8 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, bits: int, scrat
         near = near.withColumn("before", F.array(*[F.lag("b", i).over(by) for i in range(1, NEIGHBOURS + 1)])).withColumn("many", F.count("*").over(Window.partitionBy("shingle")))
         near = near.select("b", "many", F.explode("before").alias("a")).where("a.lo <> b.lo")
         new = scratch.table(_group_pairs(near, F.col("many") >= LARGE).join(done, ["src", "dst"], "left_anti"), "pairs")
-        links = links.unionByName(verifier.links(new))
+        component = extended_components(component, verifier.links(new), scratch)
         done = done.unionByName(new)
-        component = connected_components(links, scratch)
         mixed = mixed.select("shingle", "gid", "n", "pos")
 
     # last round: all group pairs, and groups by themselves, with members in two components;
@@ -257,8 +265,8 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, bits: int, scrat
     rest = minor.join(whole, ["shingle", "bucket"]).where("a.lo <> b.lo OR a.hi <> b.hi OR a.lo <> a.hi")
     rest = _group_pairs(rest).unionByName(spread.where("lo <> hi").select(F.col("gid").alias("src"), F.col("gid").alias("dst")))
     rest = scratch.table(_expanded(rest, of_group, component).join(done, ["src", "dst"], "left_anti"), "pairs")
-    links = links.unionByName(verifier.links(rest))
-    return connected_components(links, scratch).select(F.col("node").alias("class"), F.col("root").alias("component"))
+    component = extended_components(component, verifier.links(rest), scratch)
+    return component.select(F.col("node").alias("class"), F.col("root").alias("component"))
 
 
 def _group_pairs(met: DataFrame, anywhere: Column | None = None) -> DataFrame:

@@ -193,16 +193,20 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
     return rows, scratch.table(spans, "spans")
 
 
+OWN_NAMES = ("__row", "__spans", "__lines", "__kept")
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later repeats of line runs of 50 or more words deleted from ``text``.
 
     Adds ``n_lines`` and ``n_removed``; every row stays, with an empty text when all its
     lines go. Null text stays null (no lines). Equal rows: the first keeps its lines, and
-    which is first is fixed when the rows are first written. Other columns pass through;
-    columns already named ``n_lines`` or ``n_removed`` are replaced.
+    which is first is fixed when the rows are first written. Other columns pass through, whatever their
+    names; columns already named ``n_lines`` or ``n_removed`` are replaced.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    rows, spans = find_repeated_lines(docs, scratch)
+    lent = {c: f"{c}_{i}_of_docs" for i, c in enumerate(docs.columns) if c.lower() in OWN_NAMES}
+    rows, spans = find_repeated_lines(docs.withColumnsRenamed(lent), scratch)
     few = (spans.agg(F.sum(64 + 16 * F.size("__spans"))).first()[0] or 0) <= BROADCAST_BYTES
     joined = rows.join(F.broadcast(spans) if few else spans.hint("merge"), "__row", "left")
     lines = F.split("text", "\n", -1)
@@ -214,7 +218,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n("__lines"))
     n_kept = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n("__kept"))
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return out.select(*[F.col(f"`{c}`") for c in names], text.alias("text"), n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"))
+    return out.select(*[F.col(f"`{lent.get(c, c)}`").alias(c) for c in names], text.alias("text"), n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,11 +177,11 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     if patterns.head(1):
         rates = estimate_rates(patterns, list(RULES))
         state = {"prior": F.lit(rates["prior"]), "up": [F.lit(x) for x in rates["up"]], "down": [F.lit(x) for x in rates["down"]]}
-        posterior = F.round(1 / (1 + F.exp(-_log_odds([F.col(v) for v in votes], state))), 4)
+        posterior = 1 / (1 + F.exp(-_log_odds([F.col(v) for v in votes], state)))
     held = voted
     out = held.withColumn("posterior", posterior).withColumn("base_failed", _base_failed())
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior") >= THRESHOLD)).alias("kept"), "posterior"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior") >= THRESHOLD)).alias("kept"), F.round("posterior", 4).alias("posterior")
     )
 
 
@@ -223,5 +223,5 @@ LEFT JOIN cast_votes c USING (p)
 LEFT JOIN (SELECT rule, (4 + sum(CASE WHEN v = 1 THEN n * w ELSE 0 END)) / (5 + sum(n * w)) AS g, (4 + sum(CASE WHEN v = -1 THEN n * (1 - w) ELSE 0 END)) / (5 + sum(n * (1 - w))) AS b FROM em JOIN cast_votes USING (p) GROUP BY rule) m ON m.rule = c.rule
 WHERE e.moved >= 1e-9 GROUP BY p)),
 last AS (SELECT p, w FROM em WHERE i = (SELECT max(i) FROM em))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND round(w, 4) >= 0.5) AS kept, round(w, 4) AS posterior FROM base JOIN ballots USING (r) JOIN last USING (p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND w >= 0.5) AS kept, round(w, 4) AS posterior FROM base JOIN ballots USING (r) JOIN last USING (p)
 """.replace("@WORDS@", ", ".join(f"'{w}'" for w in FUNCTION_WORDS))

@@ -20,6 +20,7 @@ import math
 import os
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,6 @@ class CommitConflict(RuntimeError):
 class ShardStore:
     """A table of immutable runs under ``root``."""
 
-    ARRIVAL = "__arrival"
-
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, fanout: int = 4, smallest: int = 1 << 20):
         self.spark, self.root = spark, root.rstrip("/")
         self.target_bytes, self.fanout, self.smallest = target_bytes, fanout, smallest
@@ -103,9 +102,13 @@ class ShardStore:
     def append(self, df: DataFrame) -> dict:
         """Write one arrival as a run and commit it; an arrival without rows is a version with no new run."""
         folder = f"{self.root}/data/run-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(folder)
+        self._writer(df).parquet(folder)
         return self._register(folder, df.schema.json())
 
+    def _writer(self, df: DataFrame):
+        """Row groups no larger than a target file, so that a later merge can cut a file into such."""
+        return df.write.option("parquet.block.size", min(self.target_bytes, 128 << 20))
+
     def _register(self, folder: str, schema: str) -> dict:
         base, run = self.manifest(), self._run(folder)
         if base["schema"] not in (None, schema):
@@ -119,7 +122,10 @@ class ShardStore:
         delete what older versions alone name after each compaction.
         """
         folder = f"{self.root}/data/arrivals-{uuid.uuid4().hex[:12]}"
-        df.withColumn(self.ARRIVAL, F.expr(arrival)).write.partitionBy(self.ARRIVAL).parquet(folder)
+        name = "arrival"
+        while name.lower() in (c.lower() for c in df.columns):
+            name += "_"
+        self._writer(df.withColumn(name, F.expr(arrival))).partitionBy(name).parquet(folder)
         found = [s.getPath().toString() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()]
         for one in sorted(found, key=lambda f: (len(f), f)):
             self._register(one, df.schema.json())
@@ -141,9 +147,21 @@ class ShardStore:
             old = {r["run"] for r in merged}
             folder = f"{self.root}/data/run-{uuid.uuid4().hex[:12]}"
             files = max(1, round(sum(r["bytes"] for r in merged) / self.target_bytes))
-            self._frame(base["schema"], merged).coalesce(files).write.parquet(folder)
+            with self._splits_of(self.target_bytes):
+                self._writer(self._frame(base["schema"], merged).coalesce(files)).parquet(folder)
             self._commit(base, [r for r in base["runs"] if r["run"] not in old] + [self._run(folder)], base["schema"])
 
+    @contextmanager
+    def _splits_of(self, size: int):
+        """Read files in splits of at most ``size`` bytes: a merge can join splits, but not cut them."""
+        name = "spark.sql.files.maxPartitionBytes"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(size))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     def vacuum(self, keep_versions: int = 1, orphans_after_s: float = 86_400) -> None:
         """Delete runs and versions before the last ``keep_versions`` that those do not name.
 

@@ -262,8 +262,8 @@ def _met(column: pa.ListArray) -> TokenScores | None:
 
 
 def held_out() -> Column:
-    """Documents whose labels are never learnt from."""
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """Documents whose labels are never learnt from; never null, a null id reads as empty."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
 class ToxicityModel:

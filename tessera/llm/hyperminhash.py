@@ -10,15 +10,18 @@
 3. Classes that share a band are candidates. The share of equal registers, less the
    equal ones that chance collisions of two unrelated minima explain, estimates the
    similarity; a pair is passed over only if the estimate is six standard errors too low.
+   The minima are a sample of the union without replacement, so for short texts the error is small.
 4. What is left is verified on the sets of the whole texts. Candidates are made in rounds:
    with a band's first class, with neighbours in the band, then all pairs of classes that
    lie in two components still, so no candidate link between components is lost and copies
-   of one text are not squared.
+   of one text are not squared. In the last round a band of many classes is cut into blocks
+   whose registers are compared as matrices, and only likely pairs leave a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,9 +41,11 @@ BAND = 7
 BANDS = REGISTERS // BAND
 EMPTY = np.uint16(0xFFFF)
 SIGMAS = 6
-FIRSTS = 3  # firsts of bands that a class is compared with in the first round
-NEIGHBOURS = 4
-SIZE_STEP = 1.26  # sets of similarity 0.8 lie in the same or neighbouring powers of this size
+SLACK = 0.01  # of an estimate, for the rounding of the correction
+TRIES = 3  # partners that a class tries in each round but the last
+NEIGHBOURS = 2
+SMALL = 32  # bands of more classes are compared in blocks
+BLOCK = 512
 
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.argsort(mix(np.arange(REGISTERS, dtype=np.uint64) * _HASH), kind="stable")[: BANDS * BAND]  # which registers make which band
@@ -89,9 +94,14 @@ def filled(regs: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_parts(regs: np.ndarray) -> np.ndarray:
+    """The registers of each band (rows, BANDS, BAND), none of them empty."""
+    return filled(regs)[:, _PLACES].reshape(len(regs), BANDS, BAND)
+
+
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """64-bit names (rows, BANDS) of the bands' registers."""
-    parts = filled(regs)[:, _PLACES].reshape(len(regs), BANDS, BAND).astype(np.uint64)
+    parts = band_parts(regs).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for j in range(BAND):
         key = mix(key * _HASH + parts[:, :, j])
@@ -113,12 +123,28 @@ def collisions(na: np.ndarray, nb: np.ndarray, bits: int = MANTISSA) -> np.ndarr
     return total * a * b / rate
 
 
+def corrected(equal: np.ndarray, used: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Similarity from the number of equal registers among those in use, less what collisions explain."""
+    chance = np.minimum(collisions(na, nb) * REGISTERS / used, 0.5)
+    return (equal / used - chance) / (1 - chance)
+
+
 def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Similarity of pairs of register rows, corrected for collisions, and the buckets it rests on."""
     used = ((a != EMPTY) | (b != EMPTY)).sum(1)
-    equal = ((a == b) & (a != EMPTY)).sum(1)
-    chance = np.minimum(collisions(na, nb) * REGISTERS / used, 0.5)
-    return (equal / used - chance) / (1 - chance), used
+    return corrected(((a == b) & (a != EMPTY)).sum(1), used, na, nb), used
+
+
+def may_link(found: np.ndarray, used: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes with this estimate can have the similarity.
+
+    At the similarity itself the union has (na + nb) / (1 + similarity) shingles, of which
+    the registers in use hold a random sample without replacement.
+    """
+    level = NUM / DEN
+    union = np.maximum((na + nb) / (1 + level), used + 1e-9)
+    error = np.sqrt(level * (1 - level) / used * (union - used) / np.maximum(union - 1, 1e-9))
+    return (DEN * na >= NUM * nb) & (DEN * nb >= NUM * na) & (found >= level - SIGMAS * error - SLACK)
 
 
 def _sketches(texts: DataFrame, k: int) -> DataFrame:
@@ -154,10 +180,7 @@ class _Likely:
                     continue
                 na, nb = (batch.column(i).to_numpy().astype(np.float64) for i in (2, 3))
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5))
-                found, used = estimates(a, b, na, nb)
-                least = NUM / DEN - SIGMAS * np.sqrt(NUM * (DEN - NUM) / DEN**2 / used)
-                fits = (DEN * na >= NUM * nb) & (DEN * nb >= NUM * na)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(fits & (found >= least)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(may_link(*estimates(a, b, na, nb), na, nb)))
 
         a = self.sketches.select(F.col("class").alias("src"), F.col("n").alias("na"), F.col("regs").alias("ra"))
         b = self.sketches.select(F.col("class").alias("dst"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
@@ -190,7 +213,7 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, scratch: Scratch
     unique = texts.join(side(extra), list(KEYS), "left_anti")
     sketches = scratch.table(_sketches(unique, k), "sketches")  # rows that agree in id and text give one each
 
-    bands = sketches.select("class", "n", F.explode("bands").alias("band")).repartition("band")  # one exchange for the count and the join below
+    bands = sketches.select("class", "n", F.posexplode("bands").alias("place", "band")).repartition("band")  # one exchange for the count and the join below
     shared = bands.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("band")
     posts = scratch.table(bands.join(shared.hint("shuffle_hash"), "band").distinct(), "bands")
     met = scratch.table(posts.select("class").distinct(), "met")
@@ -206,11 +229,14 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, scratch: Scratch
         pairs = pairs.where((F.col("a.class") != F.col("b.class")) & (DEN * na >= NUM * nb) & (DEN * nb >= NUM * na))
         return pairs.select(F.least("a.class", "b.class").alias("src"), F.greatest("a.class", "b.class").alias("dst")).distinct()
 
-    # round 1: the first class of each band with every other; a class that meets many firsts tries the smallest
+    def tried(pairs: DataFrame) -> DataFrame:
+        """Each class's first few pairs; a class of many tries the smallest, and later rounds what is left."""
+        return pairs.withColumn("nth", F.row_number().over(Window.partitionBy("dst").orderBy("src"))).where(F.col("nth") <= TRIES).drop("nth")
+
+    # round 1: the first class of each band with every other
     first = posts.groupBy("band").agg(F.min(F.struct("class", "n")).alias("a"))
     star = fitting(posts.select("band", F.struct("class", "n").alias("b")).join(first, "band"))
-    tried = F.row_number().over(Window.partitionBy("dst").orderBy("src"))
-    done = scratch.table(star.withColumn("nth", tried).where(F.col("nth") <= FIRSTS).drop("nth"), "pairs")
+    done = scratch.table(tried(star), "pairs")
     component = extended_components(None, verifier.links(likely(done)), scratch)
 
     # round 2: neighbours in a band that lie in two components
@@ -218,30 +244,72 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, scratch: Scratch
     by = Window.partitionBy("band").orderBy("order", "class")
     near = mixed.withColumn("order", F.xxhash64("class", "band")).withColumn("b", F.struct("class", "n", "root"))
     near = near.withColumn("before", F.array(*[F.lag("b", i).over(by) for i in range(1, NEIGHBOURS + 1)]))
-    near = fitting(near.select("b", F.explode("before").alias("a")).where("a.root <> b.root"))
+    near = tried(fitting(near.select("b", F.explode("before").alias("a")).where("a.root <> b.root")))
     new = scratch.table(near.join(done, ["src", "dst"], "left_anti"), "pairs")
     component = extended_components(component, verifier.links(likely(new)), scratch)
     done = done.unionByName(new)
 
     # last round: all pairs of a band whose classes lie in two components; one of them is outside the band's largest
-    mixed = scratch.table(_mixed(mixed.select("band", "class", "n"), component), "mixed")
+    mixed = scratch.table(_mixed(mixed.select("band", "place", "class", "n"), component), "mixed")
     parts = mixed.groupBy("band", "root").agg(F.count("*").alias("many"))
-    largest = parts.groupBy("band").agg(F.max(F.struct("many", "root")).alias("top")).select("band", F.col("top.root").alias("top"))
-    bucket = F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")
+    shapes = parts.groupBy("band").agg(F.sum("many").alias("many"), F.max(F.struct("many", "root")).alias("top"))
+    shapes = scratch.table(shapes.select("band", "many", F.col("top.root").alias("top"), F.col("top.many").alias("in_top")), "shapes")
+    small = mixed.join(shapes.where(F.col("many") <= SMALL), "band")
     entry = F.struct("class", "n", "root")
-    minor = mixed.join(largest, "band").where("root <> top").select("band", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), entry.alias("a"))
-    whole = mixed.select("band", bucket.alias("bucket"), entry.alias("b"))
-    rest = fitting(minor.join(whole, ["band", "bucket"]).where("a.root <> b.root"))
+    rest = fitting(small.where("root <> top").select("band", entry.alias("a")).join(small.select("band", entry.alias("b")), "band").where("a.root <> b.root"))
     rest = scratch.table(rest.join(done, ["src", "dst"], "left_anti"), "pairs")
-    component = extended_components(component, verifier.links(likely(rest)), scratch)
+    large = _likely_in_blocks(mixed.join(shapes.where(F.col("many") > SMALL), "band"), sketches)
+    large = scratch.table(large.join(done, ["src", "dst"], "left_anti"), "pairs")
+    component = extended_components(component, verifier.links(likely(rest).unionByName(large).distinct()), scratch)
     return component.select(F.col("node").alias("class"), F.col("root").alias("component"))
 
 
+def _likely_in_blocks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(src, dst): likely pairs of two components in bands of many classes, each from the first band that it shares.
+
+    ``rows`` has (band, place, class, n, root, many, top, in_top). A band's rows are dealt
+    into blocks of about BLOCK, those of its largest component apart, and every two blocks
+    meet but two of the largest component; no task holds more than two blocks of registers.
+    """
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = rows.withColumn("mb", blocks_of(F.col("many") - F.col("in_top"))).withColumn("tb", blocks_of(F.col("in_top")))
+    deal = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    keep = ["band", "place", "class", "n", "root"]
+    minor = rows.where("root <> top").withColumn("b", deal(F.col("mb")))
+    top = rows.where("root = top").withColumn("b", -1 - deal(F.col("tb")))
+    inside = minor.select(*keep, "b", every(F.col("mb")).alias("o")).select(*keep, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b")
+    outside = minor.select(*keep, "b", every(F.col("tb")).alias("o")).select(*keep, F.col("b").alias("i"), (-1 - F.col("o")).alias("j"), "b")
+    met = top.select(*keep, "b", every(F.col("mb")).alias("o")).select(*keep, F.col("o").alias("i"), F.col("b").alias("j"), "b")
+    dealt = inside.unionByName(outside).unionByName(met).join(sketches.select("class", "regs"), "class")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["b"] == pdf["i"].iloc[0]], pdf[pdf["b"] == pdf["j"].iloc[0]]
+        place, found = int(pdf["place"].iloc[0]), []
+        if len(a) and len(b):
+            ra, rb = (np.frombuffer(b"".join(x["regs"]), np.uint16).reshape(-1, REGISTERS) for x in (a, b))
+            pa_, pb = band_parts(ra), band_parts(rb)
+            na, nb = a["n"].to_numpy(float), b["n"].to_numpy(float)
+            one, other, of_one, of_other = (x[c].to_numpy() for c in ("class", "root") for x in (a, b))
+            holds = rb != EMPTY
+            for k in range(len(a)):
+                both = ra[k] != EMPTY
+                used = (holds | both).sum(1)
+                close = corrected(((rb == ra[k]) & both).sum(1), used, np.full(len(b), na[k]), nb)
+                fits = may_link(close, used, np.full(len(b), na[k]), nb) & (of_other != of_one[k]) & (other != one[k])
+                for x in np.flatnonzero(fits).tolist():
+                    if int((pa_[k] == pb[x]).all(1).argmax()) == place:
+                        found.append((min(one[k], other[x]), max(one[k], other[x])))
+        return pd.DataFrame(found, columns=["src", "dst"])
+
+    return dealt.groupBy("band", "i", "j").applyInPandas(compare, "src long, dst long").distinct()
+
+
 def _mixed(posts: DataFrame, component: DataFrame) -> DataFrame:
     """Rows of bands whose classes lie in more than one component, with the component of each."""
     labelled = posts.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")).repartition("band")
     mixed = labelled.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    return labelled.join(mixed.hint("shuffle_hash"), "band").select("band", "class", "n", "root")
+    return labelled.join(mixed.hint("shuffle_hash"), "band").select("band", "place", "class", "n", "root")
 
 
 def op12_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

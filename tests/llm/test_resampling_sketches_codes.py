@@ -185,6 +185,7 @@ def test_bands_meet_and_estimates_hold(n):
     assert same.any(1).all() and not (hyperminhash.band_keys(ra) == np.roll(hyperminhash.band_keys(rb), 1, axis=0)).any()
     na, nb = np.diff(of_a).astype(float), np.diff(of_b).astype(float)
     found, used = hyperminhash.estimates(ra, rb, na, nb)
+    assert hyperminhash.may_link(found, used, na, nb).all()
     real = np.array([len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for x, y in sets])
     assert (np.abs(found - real) <= 6 * np.sqrt(0.16 / used)).all() and abs((found - real).mean()) < 0.02
 
@@ -290,3 +291,20 @@ def test_codes_stand_for_their_vectors(spark):
     assert len(near) == 600 and max(np.abs(near[i] - v).max() for i, v, _ in rows[:600]) < 0.06
     with pytest.raises(ValueError):
         vector_codes.compress_vectors(frame, parts=5)
+
+
+def test_hyperminhash_blocks_of_borderline_copies(docs_of, monkeypatch):
+    """Copies whose similarities lie about the threshold, so that many stay apart; bands compared in small blocks."""
+    monkeypatch.setattr(hyperminhash, "SMALL", 4)
+    monkeypatch.setattr(hyperminhash, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    text = [f"q{i}" for i in range(120)]
+    rows = []
+    for i in range(220):
+        copy = list(text)
+        for _ in range(rng.integers(0, 9)):
+            copy[rng.integers(120)] = f"v{rng.integers(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = sorted(map(tuple, hyperminhash.near_duplicates(docs_of(rows)).select("doc_id", "n_shingles", "component_id").collect()))
+    want = sorted(brute_components(rows))
+    assert got == want and 20 < len({c for _, _, c in want}) < 200

@@ -254,55 +254,79 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, scratch: Scratch
     parts = mixed.groupBy("band", "root").agg(F.count("*").alias("many"))
     shapes = parts.groupBy("band").agg(F.sum("many").alias("many"), F.max(F.struct("many", "root")).alias("top"))
     shapes = scratch.table(shapes.select("band", "many", F.col("top.root").alias("top"), F.col("top.many").alias("in_top")), "shapes")
-    small = mixed.join(shapes.where(F.col("many") <= SMALL), "band")
-    entry = F.struct("class", "n", "root")
-    rest = fitting(small.where("root <> top").select("band", entry.alias("a")).join(small.select("band", entry.alias("b")), "band").where("a.root <> b.root"))
+    rest = _likely_in_blocks(mixed.join(shapes, "band"), shapes, sketches)
     rest = scratch.table(rest.join(done, ["src", "dst"], "left_anti"), "pairs")
-    large = _likely_in_blocks(mixed.join(shapes.where(F.col("many") > SMALL), "band"), sketches)
-    large = scratch.table(large.join(done, ["src", "dst"], "left_anti"), "pairs")
-    component = extended_components(component, verifier.links(likely(rest).unionByName(large).distinct()), scratch)
+    component = extended_components(component, verifier.links(rest), scratch)
     return component.select(F.col("node").alias("class"), F.col("root").alias("component"))
 
 
-def _likely_in_blocks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(src, dst): likely pairs of two components in bands of many classes, each from the first band that it shares.
+def _likely_in_blocks(rows: DataFrame, shapes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(src, dst): likely pairs of two components that share a band, each from the first band that it shares.
 
-    ``rows`` has (band, place, class, n, root, many, top, in_top). A band's rows are dealt
-    into blocks of about BLOCK, those of its largest component apart, and every two blocks
-    meet but two of the largest component; no task holds more than two blocks of registers.
+    ``rows`` has (band, place, class, n, root, many, top, in_top), ``shapes`` a row a band. Small
+    bands are put together into blocks of about BLOCK rows. Those of many classes are dealt
+    into such blocks, those of their largest component apart, and every two blocks of a band
+    meet but two of its largest component. No task holds more than two blocks of registers.
     """
     blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
-    rows = rows.withColumn("mb", blocks_of(F.col("many") - F.col("in_top"))).withColumn("tb", blocks_of(F.col("in_top")))
     deal = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     keep = ["band", "place", "class", "n", "root"]
+    few = shapes.where(F.col("many") <= SMALL).agg(F.sum("many")).first()[0] or 0
+    small = rows.where(F.col("many") <= SMALL).select(*keep, F.pmod(F.xxhash64("band"), F.lit(few // BLOCK + 1)).alias("cell"), *[F.lit(0).alias(c) for c in "ijb"])
+    rows = rows.where(F.col("many") > SMALL).withColumn("cell", F.col("band")).withColumn("mb", blocks_of(F.col("many") - F.col("in_top"))).withColumn("tb", blocks_of(F.col("in_top")))
     minor = rows.where("root <> top").withColumn("b", deal(F.col("mb")))
     top = rows.where("root = top").withColumn("b", -1 - deal(F.col("tb")))
+    keep = [*keep, "cell"]
     inside = minor.select(*keep, "b", every(F.col("mb")).alias("o")).select(*keep, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b")
     outside = minor.select(*keep, "b", every(F.col("tb")).alias("o")).select(*keep, F.col("b").alias("i"), (-1 - F.col("o")).alias("j"), "b")
     met = top.select(*keep, "b", every(F.col("mb")).alias("o")).select(*keep, F.col("o").alias("i"), F.col("b").alias("j"), "b")
-    dealt = inside.unionByName(outside).unionByName(met).join(sketches.select("class", "regs"), "class")
+    large = inside.unionByName(outside).unionByName(met)
+    dealt = small.withColumn("whole", F.lit(False)).unionByName(large.withColumn("whole", F.lit(True))).join(sketches.select("class", "regs"), "class")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["b"] == pdf["i"].iloc[0]], pdf[pdf["b"] == pdf["j"].iloc[0]]
-        place, found = int(pdf["place"].iloc[0]), []
-        if len(a) and len(b):
-            ra, rb = (np.frombuffer(b"".join(x["regs"]), np.uint16).reshape(-1, REGISTERS) for x in (a, b))
-            pa_, pb = band_parts(ra), band_parts(rb)
-            na, nb = a["n"].to_numpy(float), b["n"].to_numpy(float)
-            one, other, of_one, of_other = (x[c].to_numpy() for c in ("class", "root") for x in (a, b))
-            holds = rb != EMPTY
-            for k in range(len(a)):
-                both = ra[k] != EMPTY
-                used = (holds | both).sum(1)
-                close = corrected(((rb == ra[k]) & both).sum(1), used, np.full(len(b), na[k]), nb)
-                fits = may_link(close, used, np.full(len(b), na[k]), nb) & (of_other != of_one[k]) & (other != one[k])
-                for x in np.flatnonzero(fits).tolist():
-                    if int((pa_[k] == pb[x]).all(1).argmax()) == place:
-                        found.append((min(one[k], other[x]), max(one[k], other[x])))
-        return pd.DataFrame(found, columns=["src", "dst"])
-
-    return dealt.groupBy("band", "i", "j").applyInPandas(compare, "src long, dst long").distinct()
+        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, REGISTERS)
+        band, place, name, n, root, b = (pdf[c].to_numpy() for c in ("band", "place", "class", "n", "root", "b"))
+        left, right = _pairs(band) if not pdf["whole"].iloc[0] else _two_blocks(b, pdf["i"].iloc[0], pdf["j"].iloc[0])
+        fits = (root[left] != root[right]) & (DEN * n[left] >= NUM * n[right]) & (DEN * n[right] >= NUM * n[left])
+        left, right = left[fits], right[fits]
+        parts, src, dst = None, [], []
+        for lo in range(0, len(left), 4096):
+            x, y = left[lo : lo + 4096], right[lo : lo + 4096]
+            nx, ny = n[x].astype(float), n[y].astype(float)
+            some = np.flatnonzero(may_link(*estimates(regs[x], regs[y], nx, ny), nx, ny))
+            if len(some):
+                parts = band_parts(regs) if parts is None else parts
+                x, y = x[some], y[some]
+                first = (parts[x] == parts[y]).all(2).argmax(1) == place[x]
+                src.append(np.minimum(name[x], name[y])[first])
+                dst.append(np.maximum(name[x], name[y])[first])
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({"src": np.concatenate([none, *src]), "dst": np.concatenate([none, *dst])})
+
+    return dealt.groupBy("whole", "cell", "i", "j").applyInPandas(compare, "src long, dst long").distinct()
+
+
+def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places that hold the same key."""
+    order = np.argsort(keys, kind="stable")
+    held, left, right = keys[order], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, len(keys)):
+        same = np.flatnonzero(held[step:] == held[:-step])
+        if not len(same):
+            break
+        left.append(order[same])
+        right.append(order[same + step])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _two_blocks(b: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places of two blocks, or of one block with itself."""
+    x, y = np.flatnonzero(b == i), np.flatnonzero(b == j)
+    if i == j:
+        u, v = np.triu_indices(len(x), 1)
+        return x[u], x[v]
+    return np.repeat(x, len(y)), np.tile(y, len(x))
 
 
 def _mixed(posts: DataFrame, component: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Training counts, for every token, the labelled documents of either class that hold it;
+Tokens are words and the stems of words, their first bytes, as few labels can't teach every
+inflected or compound word. Training counts, for every token, the labelled documents of either class that hold it;
 log-odds with a Dirichlet prior proportional to the token's overall count, less two
 standard errors, are the token's score; tokens that are not sure to either side score
 nothing. A text is then a sequence of scores with a small cost per word (a word that
@@ -10,7 +11,9 @@ its rate solves sum p exp(rate * score) = 1 over clean tokens and its constant i
 from clean documents. A passage is significant if fewer than one in twenty such passages
 are expected in a clean text of that length. The best passage's normalised score and the
 sum of those of all further significant passages go through a logistic curve fitted on the
-training documents, which says how much the further ones count.
+training documents, which says how much the further ones count. A second curve, fitted on
+the first one's, weighs how much better the best passage gets if a word without a score takes that of its
+longest stem that has one: much where labels are few, and less the more words they teach.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm._text import ALNUM, Words, as_long, blocks, tidy
+from tessera.llm._text import ALNUM, Words, as_long, blocks, mix, tidy
 from tessera.session import Scratch
 
 PRIOR_COUNTS, PRIOR_SHARE = 5000.0, 0.01  # the prior's pseudo-counts: a constant and a share of all counts
@@ -35,6 +38,20 @@ PREDICT_AT = 0.7
 SIGNIFICANT = 0.05  # expected number of such passages in a clean text of the same length
 BROADCAST_ROWS = 500_000
 BIN = 0.25
+STEMS = (7, 6, 5, 4)  # bytes of the stems, longest first
+STEM_SCORE = 1.0  # least score of a stem that counts; most stems are of many neutral words
+
+
+def token_family(words: Words) -> list[np.ndarray]:
+    """Hashes of the words of a block, and of their stems from the longest on; 0 where a word is no longer than the stem.
+
+    Those of stems are odd and those of words even.
+    """
+    padded = np.concatenate([words.data, np.zeros(8, np.uint8)])
+    lane = np.ndarray(len(words.data) + 1, "<u8", padded, strides=(1,))[words.starts]
+    size = words.ends - words.starts
+    stems = [np.where(size > n, mix((lane & np.uint64((1 << 8 * n) - 1)) ^ np.uint64(n << 59)) | np.uint64(1), np.uint64(0)) for n in STEMS]
+    return [as_long(words.hash & ~np.uint64(1)), *map(as_long, stems)]
 
 
 def _token_counts(labelled: DataFrame) -> DataFrame:
@@ -49,10 +66,12 @@ def _token_counts(labelled: DataFrame) -> DataFrame:
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, data, offs in blocks(batch.column(0)):
                 words = Words(data, offs, ALNUM, True)
-                rows = [np.unique(words.hash[words.bounds[i] : words.bounds[i + 1]]) for i in range(len(words))]
+                family = np.stack(token_family(words))
+                rows = [np.unique(family[:, words.bounds[i] : words.bounds[i + 1]]) for i in range(len(words))]
+                rows = [r[r != 0] for r in rows]
                 tokens = np.concatenate(rows)
                 bad = np.repeat(toxic[lo : lo + len(rows)], [len(r) for r in rows]).astype(np.int64)
-                parts.append(fold([pd.DataFrame({"token": as_long(tokens), "toxic": bad, "clean": 1 - bad})]))
+                parts.append(fold([pd.DataFrame({"token": tokens, "toxic": bad, "clean": 1 - bad})]))
                 held += len(parts[-1])
                 if held > 1_000_000:
                     parts = [fold(parts)]
@@ -81,7 +100,7 @@ class TokenScores:
     @classmethod
     def train(cls, labelled: DataFrame, scratch: Scratch) -> TokenScores:
         counts = scratch.table(_token_counts(labelled), "tokens")
-        total = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
+        total = counts.where("pmod(token, 2) = 0").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()  # of words
         n1, n0 = float(total["t"] or 0), float(total["c"] or 0)
         if not n1 or not n0:
             return cls(np.zeros(0, np.int64), np.zeros(0), 1.0)
@@ -90,14 +109,16 @@ class TokenScores:
         y1, y0 = F.col("toxic") + F.col("a"), F.col("clean") + F.col("a")
         odds = F.log(y1 / (n1 + a0 - y1)) - F.log(y0 / (n0 + a0 - y0))
         sure = F.greatest(F.abs(odds) - SURE * F.sqrt(1 / y1 + 1 / y0), F.lit(0.0))
-        scored = scored.withColumn("score", F.signum(odds) * sure)
+        stem = F.pmod("token", F.lit(2)) == 1
+        scored = scored.withColumn("score", F.when(stem & ((odds < 0) | (sure < STEM_SCORE)), 0.0).otherwise(F.signum(odds) * sure))
         rows = scored.where("score <> 0").orderBy(F.desc(F.abs("score")), "token").limit(MODEL_TOKENS + 1).select("token", "score", "clean").collect()
         if len(rows) > MODEL_TOKENS:
             return cls._of_table(scratch.table(scored.select("token", "score", "clean", (F.col("toxic") + F.col("clean")).alias("n")), "scores"), n0, scratch)
         tokens = np.array([r["token"] for r in rows], np.int64)
         scores = np.array([r["score"] for r in rows], float)
-        share = np.array([r["clean"] + 0.5 for r in rows], float) / (n0 + 0.5 * len(rows) + 1)
-        return cls(tokens, scores, _rate(scores - WORD_COST, share))
+        words = tokens % 2 == 0
+        share = np.array([r["clean"] + 0.5 for r in rows], float) / (n0 + 0.5 * words.sum() + 1)
+        return cls(tokens, scores, _rate(scores[words] - WORD_COST, share[words]))
 
     @classmethod
     def _of_table(cls, scored: DataFrame, n0: float, scratch: Scratch) -> TokenScores:
@@ -106,7 +127,7 @@ class TokenScores:
         n, token = top[-1]["n"], top[-1]["token"]
         scored = scored.where("score <> 0")
         rest = scratch.table(scored.where((F.col("n") < n) | (F.col("n") == n) & (F.col("token") > token)).select("token", "score"), "rest")
-        return cls(np.array([r["token"] for r in top], np.int64), np.array([r["score"] for r in top], float), _rate_of_table(scored, n0), rest)
+        return cls(np.array([r["token"] for r in top], np.int64), np.array([r["score"] for r in top], float), _rate_of_table(scored.where("pmod(token, 2) = 0"), n0), rest)
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.tokens):
@@ -114,6 +135,15 @@ class TokenScores:
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
         return np.where(self.tokens[at] == tokens, self.scores[at], 0.0)
 
+    def of_stems(self, words: np.ndarray, stems: list[np.ndarray], met: TokenScores | None = None) -> np.ndarray:
+        """``words``, the words' own scores, with that of the longest stem that has one where there is none; ``met`` has scores that are not held."""
+        out = words.copy()
+        for tokens in stems:
+            open_ = np.flatnonzero(out == 0.0)
+            some = tokens[open_]
+            out[open_] = self.of(some) + (met.of(some) if met else 0.0)
+        return out
+
 
 def _rate(scores: np.ndarray, share: np.ndarray) -> float:
     """The positive root of sum p exp(rate * score) = 1; other tokens score -WORD_COST."""
@@ -193,11 +223,25 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray) -> list[tuple[int,
 SEGMENTS = "array<struct<lo:int,hi:int,score:double>>"
 
 
-ADDED = {"__n_words": "long", "__segments": SEGMENTS, "__best": "double"}
+ADDED = {"__n_words": "long", "__segments": SEGMENTS, "__best": "double", "__stemmed": "double"}
+
+
+def _row_segments(words: Words, scores: np.ndarray, again: np.ndarray) -> list[list[tuple[int, int, float]]]:
+    """The segments of each row of a block; a word that repeats the one before it scores nothing."""
+    at = np.flatnonzero(np.where(again, 0.0, scores))
+    bounds = np.searchsorted(at, words.bounds)
+    out = []
+    for i in range(len(words)):
+        own = at[bounds[i] : bounds[i + 1]]
+        out.append(maximal_segments(own - words.bounds[i], scores[own]) if len(own) and scores[own].max() > WORD_COST else [])
+    return out
 
 
 def annotate(docs: DataFrame, model: TokenScores) -> DataFrame:
-    """``docs`` with the number of words, the toxic passages by word places, and the best passage's score."""
+    """``docs`` with the number of words, the toxic passages by word places, and the best passage's score without and with stems.
+
+    A text without a passage has those that its words' stems make.
+    """
     held = docs.sparkSession.sparkContext.broadcast(TokenScores(model.tokens, model.scores, model.rate))
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("score", pa.float64())]))
     at_text, width = docs.columns.index("text"), len(docs.columns)
@@ -206,25 +250,21 @@ def annotate(docs: DataFrame, model: TokenScores) -> DataFrame:
         model = held.value
         for batch in batches:
             met = _met(batch.column(width)) if batch.num_columns > width else None
-            ns, found, best = [], [], []
+            ns, found, best, stemmed = [], [], [], []
             for _, data, offs in blocks(batch.column(at_text)):
                 words = Words(data, offs, ALNUM, True)
-                scores = model.of(as_long(words.hash))
-                if met:
-                    scores += met.of(as_long(words.hash))
+                own, *stems = token_family(words)
+                scores = model.of(own) + (met.of(own) if met else 0.0)
                 again = np.zeros(len(scores), bool)
                 again[1:] = words.hash[1:] == words.hash[:-1]
                 again[words.bounds[:-1][words.counts > 0]] = False  # a row's first word repeats none
-                scores[again] = 0.0
-                at = np.flatnonzero(scores)
-                bounds = np.searchsorted(at, words.bounds)
-                for i in range(len(words)):
-                    own = at[bounds[i] : bounds[i + 1]]
-                    segments = maximal_segments(own - words.bounds[i], scores[own]) if len(own) and scores[own].max() > WORD_COST else []
-                    found.append([{"lo": a, "hi": b, "score": s} for a, b, s in segments])
-                    best.append(max((s for _, _, s in segments), default=0.0))
+                wide = model.of_stems(scores, stems, met)
+                plain, more = _row_segments(words, scores, again), _row_segments(words, wide, again)
+                found.extend([{"lo": a, "hi": b, "score": s} for a, b, s in x or y] for x, y in zip(plain, more))
+                best.extend(max((s for _, _, s in x), default=0.0) for x in plain)
+                stemmed.extend(max((s for _, _, s in x), default=0.0) for x in more)
                 ns.extend(words.counts.tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(ns, pa.int64()), pa.array(found, kind), pa.array(best, pa.float64())], names=[*batch.schema.names[:width], *ADDED])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(ns, pa.int64()), pa.array(found, kind), pa.array(best, pa.float64()), pa.array(stemmed, pa.float64())], names=[*batch.schema.names[:width], *ADDED])
 
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in ADDED.items())).fields])
     return (docs if model.rest is None else _with_rest(docs, model, held)).mapInArrow(tidy(scan), schema)
@@ -242,11 +282,12 @@ def _with_rest(docs: DataFrame, model: TokenScores, held) -> DataFrame:
         for batch in batches:
             for lo, data, offs in blocks(batch.column(1)):
                 words = Words(data, offs, ALNUM, True)
-                at = np.minimum(np.searchsorted(known, as_long(words.hash)), len(known) - 1)
-                new = np.flatnonzero(known[at] != as_long(words.hash))
-                row = np.repeat(np.arange(len(words)), words.counts)[new]
-                pairs = pd.DataFrame({"__key": batch.column(0).to_numpy()[lo + row], "token": as_long(words.hash)[new]}).drop_duplicates()
-                yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
+                of_row = np.repeat(np.arange(len(words)), words.counts)
+                for tokens in token_family(words):
+                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                    new = np.flatnonzero((known[at] != tokens) & (tokens != 0))
+                    pairs = pd.DataFrame({"__key": batch.column(0).to_numpy()[lo + of_row[new]], "token": tokens[new]}).drop_duplicates()
+                    yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
 
     named = docs.withColumn("__key", F.xxhash64("text"))
     pairs = named.select("__key", "text").mapInArrow(tidy(tokens), "__key long, token long")
@@ -269,8 +310,8 @@ def held_out() -> Column:
 class ToxicityModel:
     """Token scores with their calibration: the law of clean segment scores and the logistic curve."""
 
-    def __init__(self, tokens: TokenScores, k: float, curve: tuple[float, float, float]):
-        self.tokens, self.k, self.curve = tokens, k, curve
+    def __init__(self, tokens: TokenScores, k: float, curve: tuple[float, float, float], stem_curve: tuple[float, float, float]):
+        self.tokens, self.k, self.curve, self.stem_curve = tokens, k, curve, stem_curve
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -282,7 +323,7 @@ class ToxicityModel:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         labelled = texts.join(F.broadcast(labels) if few else labels.hint("merge"), "doc_id")
         tokens = TokenScores.train(labelled, scratch)
-        seen = scratch.table(annotate(labelled, tokens).select("__n_words", "__best", "__segments.score", "toxic"), "training")
+        seen = scratch.table(annotate(labelled, tokens).select("__n_words", "__best", "__stemmed", "__segments.score", "toxic"), "training")
         clean = seen.where("toxic = 0").agg(
             F.sum((F.col("__best") > WORD_COST).cast("double")).alias("hits"), F.sum(F.col("__n_words") * math.exp(-tokens.rate * WORD_COST)).alias("room")
         )
@@ -290,7 +331,10 @@ class ToxicityModel:
         k = ((clean["hits"] or 0.0) + 0.5) / ((clean["room"] or 0.0) + 1.0)
         x, more = _bounded(_normalised(F.col("__best"), tokens.rate, k)), _further(F.col("score"), tokens.rate, k)
         bins = seen.groupBy(F.floor(x / BIN).alias("bin"), F.floor(more / BIN).alias("more"), "toxic").agg(F.count("*").alias("n")).collect()  # at most 401 * 101 * 2 rows
-        return cls(tokens, k, _logistic([((r["bin"] + 0.5) * BIN, (r["more"] + 0.5) * BIN if r["more"] else 0.0, r["toxic"], r["n"]) for r in bins]))
+        curve = _logistic([((r["bin"] + 0.5) * BIN, (r["more"] + 0.5) * BIN if r["more"] else 0.0, r["toxic"], r["n"]) for r in bins])
+        z, rise = _logit(curve, x, more), _rise(tokens.rate)
+        bins = seen.groupBy(F.floor(z / BIN).alias("bin"), F.floor(rise / BIN).alias("more"), "toxic").agg(F.count("*").alias("n")).collect()  # at most 321 * 101 * 2 rows
+        return cls(tokens, k, curve, _logistic([((r["bin"] + 0.5) * BIN, (r["more"] + 0.5) * BIN if r["more"] else 0.0, r["toxic"], r["n"]) for r in bins]))
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the columns of ``annotate``, __score, __predicted and __e_value, the least of a passage.
@@ -299,9 +343,9 @@ class ToxicityModel:
         """
         best = _normalised(F.col("__best"), self.tokens.rate, self.k)
         more = _further(F.col("__segments.score"), self.tokens.rate, self.k)
-        a, b, c = self.curve
-        score = F.lit(1.0) / (1.0 + F.exp(-(F.lit(a) + F.lit(b) * _bounded(best) + F.lit(c) * more)))
-        found = annotate(docs, self.tokens).withColumn("__score", score).withColumn("__predicted", (F.col("__score") >= PREDICT_AT).cast("int")).withColumn("__e_value", F.exp(-best))
+        z = _logit(self.curve, _bounded(best), more)
+        score = F.lit(1.0) / (1.0 + F.exp(-_logit(self.stem_curve, z, _rise(self.tokens.rate))))
+        found = annotate(docs, self.tokens).withColumn("__score", score).withColumn("__predicted", (F.col("__score") >= PREDICT_AT).cast("int")).withColumn("__e_value", F.exp(-F.greatest(best, _normalised(F.col("__stemmed"), self.tokens.rate, self.k))))
         return found.withColumn("__segments", F.filter("__segments", lambda s: _normalised(s["score"], self.tokens.rate, self.k) >= -math.log(SIGNIFICANT)))
 
 
@@ -329,6 +373,17 @@ def _bounded(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(-40.0)), F.lit(60.0))
 
 
+def _logit(curve: tuple[float, float, float], x: Column, more: Column) -> Column:
+    """Log-odds of a fitted curve, within -40 to 40."""
+    a, b, c = curve
+    return F.least(F.greatest(F.lit(a) + F.lit(b) * x + F.lit(c) * more, F.lit(-40.0)), F.lit(40.0))
+
+
+def _rise(rate: float) -> Column:
+    """How much higher the best passage scores with stems, normalised; at most 25."""
+    return F.least(F.greatest(F.lit(rate) * (F.col("__stemmed") - F.col("__best")), F.lit(0.0)), F.lit(25.0))
+
+
 def _further(scores: Column, rate: float, k: float) -> Column:
     """Logarithm of one plus the summed normalised scores of all significant passages but the best; at most 25."""
     normal = F.array_sort(F.transform(scores, lambda s: -_normalised(s, rate, k)))

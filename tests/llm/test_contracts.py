@@ -136,3 +136,33 @@ def test_pages_of_a_grammar(spark):
     got = html_text.extract_main_text(frame).collect()
     want = {p[0]: p[3] for p in pages} | {1000: pages[0][3]}
     assert len(got) == 303 and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+
+
+def test_stems_of_words():
+    import pyarrow as pa
+
+    from tessera.llm import _text
+
+    _, data, offs = next(_text.blocks(pa.array(["réeuxment réeuxpa abc abcd ABCDE abcdx", "réeuxab"])))
+    word, *stems = toxicity.token_family(_text.Words(data, offs, _text.ALNUM, True))
+    six = stems[toxicity.STEMS.index(6)]
+    four = stems[toxicity.STEMS.index(4)]
+    assert six[0] == six[1] == six[6] != 0 and (six[2:6] == 0).all()
+    assert four[4] == four[5] != 0 and four[2] == four[3] == 0 and (word % 2 == 0).all() and all((s[s != 0] % 2 == 1).all() for s in stems)
+
+
+def test_stems_teach_where_words_are_rare(spark):
+    """Toxic texts share a stem but no word; clean ones have neither."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("bcdfgklm"), 7))
+    rows = []
+    for i in range(600):
+        toxic = i % 4 == 0
+        words = [word() for _ in range(60)]
+        for k in rng.choice(60, 6, replace=False):
+            words[k] = f"vilest{word()}" if toxic else word()
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert all(out[i].predicted == y for i, _, y in rows if out[i].held_out) and all(out[i].segments for i, _, y in rows if y)

@@ -24,7 +24,7 @@ def sql(tables, text):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_matches_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         path = f"{folder}/{t}.parquet"
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     got = queries.QUERIES[name](spark, folder)
@@ -346,7 +346,7 @@ def test_toxicity_odd_rows(spark, odd):
 def test_toxicity_of_neighbouring_copies(spark):
     texts = ["vile", "vile", "", "vile", "vile vile", "good vile", "vile good"]
     _, data, offs = next(_text.blocks(pa.array(["vile"])))
-    token = _text.as_long(_text.Words(data, offs, _text.ALNUM, True).hash)
+    token = toxicity.token_family(_text.Words(data, offs, _text.ALNUM, True))[0]
     model = toxicity.TokenScores(token, np.array([2.0]), 1.0)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     best = {r.doc_id: r["__best"] for r in toxicity.annotate(docs, model).collect()}

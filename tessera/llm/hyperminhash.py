@@ -42,8 +42,8 @@ BANDS = REGISTERS // BAND
 EMPTY = np.uint16(0xFFFF)
 SIGMAS = 6
 SLACK = 0.01  # of an estimate, for the rounding of the correction
-TRIES = 3  # partners that a class tries in each round but the last
-NEIGHBOURS = 2
+TRIES = 4  # partners that a class tries in each round but the last
+ROUNDS, NEIGHBOURS = 2, 3  # rounds and neighbours in a band that are tried before all pairs are
 SMALL = 32  # bands of more classes are compared in blocks
 BLOCK = 512
 
@@ -224,14 +224,14 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, scratch: Scratch
     likely, verifier = _Likely(sketches, scratch), Verifier(texts, k, scratch, NUM, DEN)
 
     def fitting(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (src < dst) of rows (a, b) whose sizes allow the similarity."""
+        """Pairs (src < dst) of rows (a, b) whose sizes allow the similarity, and how often they are ``shared``."""
         na, nb = F.col("a.n"), F.col("b.n")
         pairs = pairs.where((F.col("a.class") != F.col("b.class")) & (DEN * na >= NUM * nb) & (DEN * nb >= NUM * na))
-        return pairs.select(F.least("a.class", "b.class").alias("src"), F.greatest("a.class", "b.class").alias("dst")).distinct()
+        return pairs.groupBy(F.least("a.class", "b.class").alias("src"), F.greatest("a.class", "b.class").alias("dst")).agg(F.count("*").alias("shared"))
 
     def tried(pairs: DataFrame) -> DataFrame:
-        """Each class's first few pairs; a class of many tries the smallest, and later rounds what is left."""
-        return pairs.withColumn("nth", F.row_number().over(Window.partitionBy("dst").orderBy("src"))).where(F.col("nth") <= TRIES).drop("nth")
+        """The few pairs of each class that are shared most; later rounds do what is left."""
+        return pairs.withColumn("nth", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("shared"), "src"))).where(F.col("nth") <= TRIES).select("src", "dst")
 
     # round 1: the first class of each band with every other
     first = posts.groupBy("band").agg(F.min(F.struct("class", "n")).alias("a"))
@@ -239,18 +239,21 @@ def _class_components(docs: DataFrame, full: DataFrame, k: int, scratch: Scratch
     done = scratch.table(tried(star), "pairs")
     component = extended_components(None, verifier.links(likely(done)), scratch)
 
-    # round 2: neighbours in a band that lie in two components
-    mixed = scratch.table(_mixed(posts, component), "mixed")
-    by = Window.partitionBy("band").orderBy("order", "class")
-    near = mixed.withColumn("order", F.xxhash64("class", "band")).withColumn("b", F.struct("class", "n", "root"))
-    near = near.withColumn("before", F.array(*[F.lag("b", i).over(by) for i in range(1, NEIGHBOURS + 1)]))
-    near = tried(fitting(near.select("b", F.explode("before").alias("a")).where("a.root <> b.root")))
-    new = scratch.table(near.join(done, ["src", "dst"], "left_anti"), "pairs")
-    component = extended_components(component, verifier.links(likely(new)), scratch)
-    done = done.unionByName(new)
+    # middle rounds: neighbours in a band that lie in two components, in a new order each time
+    mixed = posts
+    for turn in range(ROUNDS):
+        mixed = scratch.table(_mixed(mixed, component), "mixed")
+        by = Window.partitionBy("band").orderBy("order", "class")
+        near = mixed.withColumn("order", F.xxhash64("class", "band", F.lit(turn))).withColumn("b", F.struct("class", "n", "root"))
+        near = near.withColumn("before", F.array(*[F.lag("b", i).over(by) for i in range(1, NEIGHBOURS + 1)]))
+        near = tried(fitting(near.select("b", F.explode("before").alias("a")).where("a.root <> b.root")))
+        new = scratch.table(near.join(done, ["src", "dst"], "left_anti"), "pairs")
+        component = extended_components(component, verifier.links(likely(new)), scratch)
+        done = done.unionByName(new)
+        mixed = mixed.select("band", "place", "class", "n")
 
     # last round: all pairs of a band whose classes lie in two components; one of them is outside the band's largest
-    mixed = scratch.table(_mixed(mixed.select("band", "place", "class", "n"), component), "mixed")
+    mixed = scratch.table(_mixed(mixed, component), "mixed")
     parts = mixed.groupBy("band", "root").agg(F.count("*").alias("many"))
     shapes = parts.groupBy("band").agg(F.sum("many").alias("many"), F.max(F.struct("many", "root")).alias("top"))
     shapes = scratch.table(shapes.select("band", "many", F.col("top.root").alias("top"), F.col("top.many").alias("in_top")), "shapes")

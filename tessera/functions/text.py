@@ -17,6 +17,7 @@ SKIP_DOMAINS = (
 STAGE_KINDS = (("Incumbent", ("incumbent", "public", "mature")), ("Utility", ("utility", "muni")), ("Investor", ("investor", "vc", "pe")))
 #: Kind of vertex -> colour.
 COLOURS = {"Startup": "#f97316", "Company": "#f97316", "Incumbent": "#64748b", "Utility": "#0ea5e9", "Investor": "#10b981", "Document": "#3b82f6"}
+#: Fixed value: parts of a regulatory type.
 REGULATORY_PART = "(?i)(regul|law|gov|polic|act|bill)"
 
 
@@ -179,7 +180,7 @@ def html_to_text(page: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]+>", "")
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"), F.lit(" \n"))
 
 
 def backoff_seconds(attempt: Column, most: int = 60) -> Column:

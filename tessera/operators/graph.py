@@ -7,10 +7,11 @@ Spark broadcasts only under its own size threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.relational import keep_first
+from tessera.sources.keyed_store import KeyedStore
 
 #: Fixed values.
 COMPANY_TYPES = ("Company", "Startup", "Incumbent", "Utility", "Investor")
@@ -47,6 +48,11 @@ def collapse_edges(raw: DataFrame, resolves: DataFrame, evidence: bool = False)
     return resolve_edges(raw, resolves).where("src <> dst").groupBy("src", "dst", "type").agg(*cols)
 
 
+def edge_weights(raw: DataFrame, resolves: DataFrame) -> DataFrame:
+    """(src, dst, type, weight) between different vertices: ``collapse_edges`` without the evidence, so no row grows with an edge."""
+    return resolve_edges(raw, resolves).where("src <> dst").groupBy("src", "dst", "type").agg(F.count("*").alias("weight"))
+
+
 def edge_counts(raw: DataFrame, resolves: DataFrame) -> DataFrame:
     """Weight of each (src, dst, type), self loops kept: the export's edges."""
     return resolve_edges(raw, resolves).groupBy("src", "dst", "type").agg(F.count("*").alias("weight"))
@@ -60,8 +66,8 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def supernodes(vertices: DataFrame, edges: DataFrame, most: int = SUPERNODE_DEGREE) -> DataFrame:
-    """Vertices of more than ``most`` incident edges."""
-    return degrees(vertices, edges).where(F.col("degree") > most)
+    """Vertices of more than ``most`` incident edges, those of highest degree first."""
+    return degrees(vertices, edges).where(F.col("degree") > most).orderBy(F.desc("degree"), "id")
 
 
 def detach_delete(vertices: DataFrame, edges: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,12 +142,31 @@ def ego_entity(vertices: DataFrame, edges: DataFrame, centre) -> DataFrame:
     mid = vertices.where(F.col("id") == F.lit(centre)).select(F.col("id").alias("central_id"), F.col("name").alias("central_name"))
     out = edges.where(F.col("src") == F.lit(centre)).select("src", "dst", "type", "weight", F.col("dst").alias("neighbour"), F.lit(True).alias("is_outgoing"))
     back = edges.where((F.col("dst") == F.lit(centre)) & (F.col("src") != F.lit(centre))).select("src", "dst", "type", "weight", F.col("src").alias("neighbour"), F.lit(False).alias("is_outgoing"))
-    near = keep_first(out.unionByName(back), ["src", "dst", "type"], [F.desc("weight")])
+    near = keep_first(out.unionByName(back), ["src", "dst", "type"], [F.col("weight").isNull(), -F.col("weight")])
     names = vertices.select(F.col("id").alias("neighbour"), F.col("name").alias("neighbour_name"), F.col("type").alias("neighbour_type"))
     found = near.join(names, "neighbour").withColumn("central_id", F.lit(centre))
     return mid.join(found, "central_id", "left").select("central_id", "central_name", "neighbour", "neighbour_name", "neighbour_type", F.col("type").alias("rel_type"), "weight", "is_outgoing")
 
 
+def store_edges(spark: SparkSession, edges: DataFrame, root: str, buckets: int = 64) -> KeyedStore:
+    """A stored table of weighted edges, each filed under both of its ends, for point reads."""
+    kind = edges.schema["src"].dataType.simpleString()
+    store = KeyedStore(spark, root, f"id {kind}, other {kind}, is_outgoing boolean, type string, weight double", ["id", "other", "is_outgoing", "type"], bucket_by=["id"], buckets=buckets)
+    out = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(True).alias("is_outgoing"), "type", F.col("weight").cast("double").alias("weight"))
+    back = edges.where("src <> dst").select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit(False).alias("is_outgoing"), "type", F.col("weight").cast("double").alias("weight"))
+    store.upsert(out.unionByName(back), ["weight"])
+    return store
+
+
+def ego_stored(vertices: DataFrame, store: KeyedStore, centre) -> DataFrame:
+    """As ``ego_entity``, from a table made by ``store_edges``: the files of one bucket are opened."""
+    mid = vertices.where(F.col("id") == F.lit(centre)).select(F.col("id").alias("central_id"), F.col("name").alias("central_name"))
+    near = store.get(id=centre).select(F.col("other").alias("neighbour"), F.col("type").alias("rel_type"), F.col("weight").cast("long").alias("weight"), "is_outgoing")
+    names = vertices.select(F.col("id").alias("neighbour"), F.col("name").alias("neighbour_name"))
+    found = near.join(names, "neighbour").withColumn("central_id", F.lit(centre))
+    return mid.join(found, "central_id", "left").select("central_id", "central_name", "neighbour", "neighbour_name", "rel_type", "weight", "is_outgoing")
+
+
 def ego_document(documents: DataFrame, similar: DataFrame, mentions: DataFrame, vertices: DataFrame, centre) -> DataFrame:
     """A document's similar documents and mentioned entities, each side on its own (no product of the two)."""
     near = undirected(similar.select("src", "dst", "weight")).where(F.col("src") == F.lit(centre)).select(F.col("dst").alias("id"), "weight").dropDuplicates(["id"])
@@ -206,6 +231,16 @@ def counts_by_type(edges: DataFrame, kinds: list[str]) -> DataFrame:
     return edges.agg(*[F.count_if(F.col("type") == kind).alias(kind) for kind in kinds])
 
 
+def edge_evidence(raw: DataFrame, resolves: DataFrame) -> DataFrame:
+    """(src, dst, type, place, quote, url): the evidence of each collapsed edge in order, a row a raw relationship.
+
+    Rows are ranked as they are, by a sort that spills, so an edge of much evidence is no row of unbounded size.
+    """
+    ends = resolve_edges(raw, resolves).where("src <> dst")
+    at = F.row_number().over(Window.partitionBy("src", "dst", "type").orderBy("quote", "url")) - 1
+    return ends.select("src", "dst", "type", at.alias("place"), "quote", "url")
+
+
 def evidence_rows(edges: DataFrame) -> DataFrame:
     """(src, dst, type, place, quote, url): each edge's evidence in order, one row a quote with its own url."""
     return edges.select("src", "dst", "type", F.posexplode("evidence").alias("place", "e")).select("src", "dst", "type", "place", "e.quote", "e.url")

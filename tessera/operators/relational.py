@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATUSES = ("pending", "failed", "rejected", "processing")
@@ -20,8 +20,10 @@ def zero_filled_counts(parents: DataFrame, children: DataFrame, key: str, name:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    """The first row of each key by ascending order, nulls first, as a partial aggregate (no sort of a key's rows)."""
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(F.lit(0).alias("__at"), *rest), F.struct(*order)).alias("__first")
+    return df.groupBy(*keys).agg(first).select(*[F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in df.columns])
 
 
 def last_write(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -55,9 +57,14 @@ def hits_and_misses(wanted: DataFrame, cached: DataFrame, key: str) -> tuple[Dat
 
 
 def masters(rows: DataFrame, keys: list[Column], order: list[Column], id_col: str) -> DataFrame:
-    """(id, master): the oldest row of each group stands for all."""
-    first = Window.partitionBy(*keys).orderBy(*order)
-    return rows.select(F.col(id_col), F.first(id_col).over(first).alias("master"))
+    """(id, master): the oldest row of each group stands for all; null keys are a group.
+
+    Groups are reduced by a partial aggregate, and rows are joined to their group's one row.
+    """
+    named = rows.select(F.col(id_col), F.struct(*[F.struct(k.isNull().alias("none"), k.alias("k")).alias(f"k{i}") for i, k in enumerate(keys)]).alias("group"), F.struct(*order).alias("at"))
+    named = named.withColumn("group", F.to_json("group", {"ignoreNullFields": "false"}))
+    first = named.groupBy("group").agg(F.min_by(id_col, "at").alias("master"))
+    return named.join(first, "group").select(id_col, "master")
 
 
 def reassign(children: DataFrame, mapping: DataFrame, key: str, id_col: str) -> DataFrame:

@@ -91,17 +91,21 @@ def label_propagation(edges: DataFrame) -> DataFrame:
             return labels
 
 
-LEAST_GAIN = 1e-6
+LEAST_GAIN = 1e-12
+LANES = 2
+MOST_LANES = 32
 
 
 def louvain(edges: DataFrame, scope: str) -> DataFrame:
     """(scope, id, community) by modularity gains, within each scope (a pipeline's projected graph).
 
     Parallel edges are summed first. In a round every vertex looks for the neighbouring
-    community of largest gain, by joins and aggregates; half of the vertices (by hash and
-    round) may move, and the round counts only if the total modularity rises. When it does
-    no more, communities become the vertices of the next level, until a level moves nothing.
-    A community is named by its smallest vertex.
+    community of largest gain, by joins and aggregates. Those of one lane (by a hash of vertex
+    and round) move, and a scope keeps the round if its own modularity rises; if not, it
+    goes on with more and so smaller lanes, at last with its single best move, which always
+    gains. A level ends for a scope when no vertex of it has a gain, whatever its lane; then
+    communities become the vertices of the next level, until a level moves nothing. What a
+    scope gets doesn't depend on the others. A community is named by its smallest vertex.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
     graph = scratch.table(_weights(edges, [scope]), "edges")  # no self loops at the first level
@@ -109,38 +113,48 @@ def louvain(edges: DataFrame, scope: str) -> DataFrame:
     while True:
         node = graph.groupBy(scope, "src").agg(F.sum("w").alias("k")).withColumnRenamed("src", "node")
         total = graph.groupBy(scope).agg(F.sum("w").alias("m2"))
-        node = scratch.table(node.join(total, scope).withColumn("community", F.col("node")), "nodes")
-        start = best = _modularity(graph, node, scope)
-        failed, turn = 0, 0
-        while failed < 2:
-            moved = scratch.table(_moved(graph, node, scope, turn), "nodes")
-            now = _modularity(graph, moved, scope)
-            if now > best + LEAST_GAIN:
-                node, best, failed = moved, now, 0
-            else:
-                failed += 1
-            turn += 1
-        if best <= start + LEAST_GAIN:
-            break
+        node = _settled(graph, scratch.table(node.join(total, scope).withColumn("community", F.col("node")), "nodes"), scope, scratch)
+        if node.where("community <> node").isEmpty():
+            return home.select(scope, "id", F.col("node").alias("community"))
         names = node.groupBy(scope, "community").agg(F.min("node").alias("name"))
         named = scratch.table(node.join(names, [scope, "community"]).select(scope, "node", "name"), "names")
         home = scratch.table(home.join(named, [scope, "node"]).select(scope, "id", F.col("name").alias("node")), "home")
         src, dst = (named.select(scope, F.col("node").alias(x), F.col("name").alias(f"__{x}")) for x in ("src", "dst"))
         merged = graph.join(src, [scope, "src"]).join(dst, [scope, "dst"]).groupBy(scope, F.col("__src").alias("src"), F.col("__dst").alias("dst")).agg(F.sum("w").alias("w"))
         graph = scratch.table(merged, "edges")
-    return home.select(scope, "id", F.col("node").alias("community"))
 
 
-def _modularity(graph: DataFrame, node: DataFrame, scope: str) -> float:
-    """Sum of all scopes' modularities."""
+def _settled(graph: DataFrame, node: DataFrame, scope: str, scratch: Scratch) -> DataFrame:
+    """Nodes (scope, node, k, m2, community) after moves until none has a gain."""
+    state = scratch.table(modularities(graph, node, scope).withColumns({"lanes": F.lit(LANES), "ended": F.lit(False)}), "scopes")
+    for turn in itertools.count():
+        step = scratch.table(_moved(graph, node.join(state.drop("q"), scope), scope, turn), "nodes")
+        if step.where("wants").isEmpty():
+            return step.select(scope, "node", "k", "m2", F.col("was").alias("community"))
+        tried = step.groupBy(scope).agg(F.max(F.col("community") != F.col("was")).alias("moved"))
+        after = modularities(graph, step, scope).withColumnRenamed("q", "now").join(tried, scope)
+        gains = F.col("moved") & (F.col("now") > F.col("q") + LEAST_GAIN)
+        lost = F.col("moved") & ~gains
+        found = state.join(after, scope).select(
+            scope, F.when(gains, F.col("now")).otherwise(F.col("q")).alias("q"), gains.alias("gains"),
+            F.when(gains, LANES).when(lost, F.col("lanes") * 2).otherwise(F.col("lanes")).alias("lanes"), (F.col("ended") | lost & (F.col("lanes") > MOST_LANES)).alias("ended"),
+        )
+        state = scratch.table(found, "scopes")
+        kept = step.join(state.select(scope, "gains"), scope)
+        node = kept.select(scope, "node", "k", "m2", F.when(F.col("gains"), F.col("community")).otherwise(F.col("was")).alias("community"))
+        state = state.drop("gains")
+
+
+def modularities(graph: DataFrame, node: DataFrame, scope: str) -> DataFrame:
+    """(scope, q): the modularity of each scope's communities, for edges (scope, src, dst, w) in both directions."""
     src, dst = (node.select(scope, F.col("node").alias(x), F.col("community").alias(f"c_{x}")) for x in ("src", "dst"))
     inside = graph.join(src, [scope, "src"]).join(dst, [scope, "dst"]).where("c_src = c_dst").groupBy(scope).agg(F.sum("w").alias("inside"))
     square = node.groupBy(scope, "community", "m2").agg(F.sum("k").alias("k")).groupBy(scope, "m2").agg(F.sum(F.pow(F.col("k") / F.col("m2"), F.lit(2.0))).alias("square"))
-    return square.join(inside, scope, "left").agg(F.sum(F.coalesce(F.col("inside"), F.lit(0.0)) / F.col("m2") - F.col("square"))).first()[0] or 0.0
+    return square.join(inside, scope, "left").select(scope, (F.coalesce(F.col("inside"), F.lit(0.0)) / F.col("m2") - F.col("square")).alias("q"))
 
 
 def _moved(graph: DataFrame, node: DataFrame, scope: str, turn: int) -> DataFrame:
-    """Nodes with the community of largest gain, where it is their turn and the gain is positive."""
+    """Nodes with ``was``, the community of largest gain where it is their turn, and whether they want one at all."""
     size = node.groupBy(scope, "community").agg(F.sum("k").alias("held"))
     near = node.select(scope, F.col("node").alias("dst"), "community")
     links = graph.where("src <> dst").join(near, [scope, "dst"]).groupBy(scope, F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
@@ -152,8 +166,13 @@ def _moved(graph: DataFrame, node: DataFrame, scope: str, turn: int) -> DataFram
     )
     joined = node.join(size, [scope, "community"]).join(best, [scope, "node"], "left")
     stay = F.coalesce("linked", -F.col("k") * (F.col("held") - F.col("k")) / F.col("m2"))
-    moves = (F.col("best.gain") > stay + 1e-12) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
-    return joined.select(scope, "node", "k", "m2", F.when(moves, F.col("best.community")).otherwise(F.col("community")).alias("community"))
+    joined = joined.withColumn("more", F.col("best.gain") - stay)
+    joined = joined.withColumn("wants", F.coalesce((2 * F.col("more") / F.col("m2") > 4 * LEAST_GAIN) & ~F.col("ended"), F.lit(False)))
+    single = joined.where(F.col("wants") & (F.col("lanes") > MOST_LANES)).groupBy(scope).agg(F.max_by("node", F.struct("more", -F.col("node"))).alias("single"))
+    joined = joined.join(single, scope, "left")
+    turns = F.when(F.col("lanes") > MOST_LANES, F.col("node") == F.col("single")).otherwise(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("lanes")) == 0)
+    moves = F.col("wants") & F.coalesce(turns, F.lit(False))
+    return joined.select(scope, "node", "k", "m2", F.col("community").alias("was"), F.when(moves, F.col("best.community")).otherwise(F.col("community")).alias("community"), "wants")
 
 
 def community_summaries(members: DataFrame, least: int = 3, most_names: int = 50) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Vector retrieval: anchors, nearest neighbours and blocked similarity between groups."""
+"""Vector retrieval: anchors, nearest neighbours and similarity between groups in cells."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine, cosine_distance
+from tessera.operators.cells import SLACK, angles, block_counts, block_of, every, unit
 from tessera.session import Scratch
 
 FUNNEL_LEAST = 0.35
 SIMILAR_OVER = 0.85
 MOST_ANCHORS = 64
+PIVOT_FLOATS = 1 << 22  # numbers that the pivots of one vector length may have
 
 
 def semantic_funnel(chunks: DataFrame, anchors: DataFrame, key: str, vector: str, least: float = FUNNEL_LEAST) -> DataFrame:
@@ -52,30 +54,88 @@ def nearest(chunks: DataFrame, query: list[float], key: str, vector: str, k: int
     return found.orderBy("distance", key).limit(k)
 
 
-def similar_groups(chunks: DataFrame, group: str, vector: str, over: float = SIMILAR_OVER, block_rows: int = 4096, within: str | None = None) -> DataFrame:
-    """(src, dst, weight): pairs of groups whose best chunk similarity is over ``over``, src < dst.
+def _pivots(rows: DataFrame, block_rows: int, most_floats: int) -> dict[int, np.ndarray]:
+    """For each vector size: the pivots, drawn by a hash; as many as the rows fill blocks, up to a bound on their floats."""
+    many = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # a row a vector size
+    out = {}
+    for size, n in many.items():
+        want = max(1, min(-(-n // block_rows), most_floats // max(size, 1)))
+        drawn = rows.where(F.col("size") == size).orderBy(F.xxhash64("g", "v", F.lit(1)), "g", "v").limit(want).select("v").collect()  # at most ``most_floats`` numbers
+        out[size] = unit([r["v"] for r in drawn])
+    return out
+
 
-    Exact similarity of all groups is asked for, so products are quadratic by definition;
-    they are cut into pairs of row blocks of bounded size that are multiplied as matrices,
-    and only pairs over the threshold leave a task. Each row travels once for each block of its
-    scope, so larger blocks mean fewer copies. With ``within`` only rows that agree in that
-    column meet, and the work is quadratic in a scope's rows only. Null vectors are similar to nothing.
+def _celled(chunks: DataFrame, group: str, vector: str, over: float, block_rows: int, within: str | None, most_floats: int) -> DataFrame:
+    """Rows placed in the products they take part in: (s, size, cell, i, j, b, g, v).
+
+    A product is of block i of a cell's own rows and block j of its own or of the rows that
+    other cells lend it; ``b`` is the row's own block, and blocks of lent rows are negative.
     """
     scope = F.col(within).cast("string") if within else F.lit("")
-    cut = chunks.where(F.col(vector).isNotNull()).select(F.col(group).cast("string").alias("g"), scope.alias("s"), F.col(vector).alias("v"))
-    cut = Scratch(chunks.sparkSession, "similar").table(cut, "vectors")
-    sizes = cut.groupBy("s").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias("blocks"))
-    cut = cut.join(sizes, "s").withColumn("b", F.pmod(F.xxhash64("g", "v"), F.col("blocks")).cast("int"))
-    left = cut.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "s", "g", "v", "b")
-    placed = left.select("s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "g", "v")
+    scratch = Scratch(chunks.sparkSession, "similar")
+    cut = chunks.where(F.col(vector).isNotNull()).select(F.col(group).cast("string").alias("g"), scope.alias("s"), F.col(vector).alias("v"), F.size(vector).alias("size"))
+    cut = scratch.table(cut.where("size > 0 AND s IS NOT NULL"), "vectors")
+    cut = cut.join(block_counts(cut, ["s", "size"], "cells", block_rows), ["s", "size"])
+    pivots = cut.sparkSession.sparkContext.broadcast(_pivots(cut, block_rows, most_floats))
+    reach = float(np.arccos(over)) if 0 < over < 1 else np.pi
+
+    def place(batches):
+        for pdf in batches:
+            for (size, cells), rows in pdf.groupby(["size", "cells"]):
+                near = angles(unit(rows["v"].to_numpy()), pivots.value[size][:cells])
+                home = near.argmin(1)
+                own = near[np.arange(len(rows)), home]
+                base = rows[["s", "size", "g", "v"]]
+                yield base.assign(cell=home.astype(np.int32), home=home.astype(np.int32), angle=own)
+                lends = near <= (own + 2 * reach + SLACK)[:, None]
+                lends &= ((np.arange(near.shape[1])[None] + home[:, None]) % 2 == 1) == (home[:, None] < np.arange(near.shape[1])[None])  # a pair of cells lends one way only
+                lends[np.arange(len(rows)), home] = False
+                row, to = np.nonzero(lends)
+                if len(row):
+                    yield base.iloc[row].assign(cell=to.astype(np.int32), home=home[row].astype(np.int32), angle=near[row, to])
+
+    kind = chunks.schema[vector].dataType.simpleString()
+    placed = scratch.table(cut.mapInPandas(place, f"s string, size int, g string, v {kind}, cell int, home int, angle double"), "cells")
+    keys = ["s", "size", "cell"]
+    own = placed.where("cell = home")
+    radius = own.groupBy(*keys).agg(F.max("angle").alias("radius"))
+    lent = scratch.table(placed.where("cell <> home").join(radius, keys).where(F.col("angle") <= F.col("radius") + reach + SLACK).drop("radius"), "lent")
+    counts = block_counts(own, keys, "hb", block_rows).join(block_counts(lent, keys, "ob", block_rows), keys, "left").withColumn("ob", F.coalesce("ob", F.lit(0)))
+    counts = scratch.table(counts, "blocks")
+    mine = own.join(counts, keys).withColumn("b", block_of(F.col("hb"), F.col("g"), F.col("v")))
+    theirs = lent.join(counts, keys).withColumn("b", -1 - block_of(F.col("ob"), F.col("g"), F.col("v")))
+    inside = mine.select(*keys, "b", "g", "v", "hb", every(F.col("hb")).alias("o")).select(*keys, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "g", "v")
+    lending = mine.select(*keys, "b", "g", "v", every(F.col("ob")).alias("o")).select(*keys, F.col("b").alias("i"), (-1 - F.col("o")).alias("j"), "b", "g", "v")
+    borrowed = theirs.select(*keys, "b", "g", "v", every(F.col("hb")).alias("o")).select(*keys, F.col("o").alias("i"), F.col("b").alias("j"), "b", "g", "v")
+    return inside.unionByName(lending).unionByName(borrowed)
+
+
+def compared_pairs(chunks: DataFrame, group: str, vector: str, over: float = SIMILAR_OVER, block_rows: int = 4096, within: str | None = None, most_floats: int = PIVOT_FLOATS) -> int:
+    """How many pairs of rows ``similar_groups`` multiplies."""
+    placed = _celled(chunks, group, vector, over, block_rows, within, most_floats)
+    sides = placed.groupBy("s", "size", "cell", "i", "j").agg(F.count_if(F.col("b") == F.col("i")).alias("a"), F.count_if(F.col("b") == F.col("j")).alias("b"))
+    return int(sides.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0)
+
+
+def similar_groups(chunks: DataFrame, group: str, vector: str, over: float = SIMILAR_OVER, block_rows: int = 4096, within: str | None = None, most_floats: int = PIVOT_FLOATS) -> DataFrame:
+    """(src, dst, weight): pairs of groups whose best chunk similarity is over ``over``, src < dst.
+
+    Exact. Rows go to the cell of their nearest pivot, and are lent to another cell only if the
+    triangle inequality lets a row there be similar (see ``cells``); what meets is
+    multiplied in blocks of bounded size, and only pairs over the threshold leave a
+    task. Vectors that cluster meet few others. Where all angles are alike, as with random
+    vectors or a low threshold, every cell meets every other and the work is quadratic in a
+    scope's rows. With ``within`` only rows that agree in that column meet, and rows without it don't. Null and empty vectors
+    are similar to nothing, nor are vectors of unequal length. Pivots are at most
+    ``most_floats`` numbers for each vector length; any pivots give the same result.
+    """
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         a, b = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
         out = []
         if len(a) and len(b):
-            unit = lambda s: (m := np.stack(s["v"].to_numpy()).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            sims = unit(a) @ unit(b).T
+            sims = unit(a["v"].to_numpy()) @ unit(b["v"].to_numpy()).T
             x, y = np.nonzero(sims > over)
             ga, gb = a["g"].to_numpy()[x], b["g"].to_numpy()[y]
             keep = ga != gb
@@ -83,5 +143,6 @@ def similar_groups(chunks: DataFrame, group: str, vector: str, over: float = SIM
             out = pd.DataFrame({"src": lo, "dst": hi, "weight": sims[x, y][keep]}).groupby(["src", "dst"], as_index=False)["weight"].max().values.tolist()
         return pd.DataFrame(out, columns=["src", "dst", "weight"])
 
-    pairs = placed.groupBy("s", "i", "j").applyInPandas(multiply, "src string, dst string, weight double")
+    placed = _celled(chunks, group, vector, over, block_rows, within, most_floats)
+    pairs = placed.groupBy("s", "size", "cell", "i", "j").applyInPandas(multiply, "src string, dst string, weight double")
     return pairs.groupBy("src", "dst").agg(F.max("weight").alias("weight"))

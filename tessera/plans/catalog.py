@@ -161,12 +161,16 @@ def clean_and_parse_json_lenient(spark: SparkSession, d: str) -> DataFrame:
     return records.parse_lenient(raw, "doc_id", "raw")[0].groupBy("name", "type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS parsed, count(*) FILTER (WHERE doc_id % 2 = 0) AS strict FROM documents")
+@query("SELECT doc_id, source AS first_name, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS target, CAST(length(text) % 3 + 1 AS INTEGER) AS entities FROM documents WHERE doc_id % 2 = 0 OR lang <> 'en'")
 def clean_and_parse_json_strict(spark: SparkSession, d: str) -> DataFrame:
-    quote = F.when(F.col("doc_id") % 2 == 0, F.lit(', "exact_quote": "q"')).otherwise(F.lit(""))
-    raw = F.concat(F.lit('```json\n{"entities": [{"name": "a", "type": "b"}], "relationships": [{"source": "a", "target": "b", "type": "c"'), quote, F.lit("}]}\n```"))
-    parsed = table(spark, d, "documents").select(records.parse_strict(raw).alias("x"))
-    return parsed.agg(F.count("*").alias("parsed"), F.count("x").alias("strict"))
+    """Extractions made of each document's own columns; English ones of odd id lack a quote and are dropped whole."""
+    docs = table(spark, d, "documents")
+    entity = F.transform(F.sequence(F.lit(0), F.length("text") % 3), lambda i: F.struct(F.when(i == 0, F.col("source")).otherwise(F.concat(F.lit("e"), i.cast("string"))).alias("name"), F.col("lang").alias("type")))
+    whole, bare = (F.struct(F.col("source").alias("source"), F.col("lang").alias("target"), F.lit("IN").alias("type"), *more) for more in ([F.substring("text", 1, 30).alias("exact_quote")], []))
+    links = F.when(F.col("lang") != "en", F.to_json(F.array(whole))).when(F.col("doc_id") % 2 == 0, F.lit("[]")).otherwise(F.to_json(F.array(bare)))
+    raw = F.concat(F.lit('```json\n{"entities": '), F.to_json(entity), F.lit(', "relationships": '), links, F.lit("}\n```"))
+    parsed = docs.select("doc_id", records.parse_strict(raw).alias("x")).where("x IS NOT NULL")
+    return parsed.select("doc_id", F.get("x.entities", F.lit(0))["name"].alias("first_name"), F.get("x.relationships", F.lit(0))["target"].alias("target"), F.size("x.entities").alias("entities"))
 
 
 # mutation
@@ -368,9 +372,9 @@ def mentions_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.mention_edges(own, links, resolves)
 
 
-@query("SELECT source AS url, min(substr(text, 1, 20)) AS title, lang, 'html' AS type FROM documents GROUP BY source, lang")
+@query("SELECT source AS url, min(md5(text)) AS title, lang, 'html' AS type FROM documents GROUP BY source, lang")
 def document_vertices(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "documents").select(F.col("source").alias("url"), F.substring("text", 1, 20).alias("title"), "lang")
+    chunks = table(spark, d, "documents").select(F.col("source").alias("url"), F.md5("text").alias("title"), "lang")
     return graph.document_vertices(chunks, "url", "title", ["lang"])
 
 

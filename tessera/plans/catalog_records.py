@@ -199,7 +199,7 @@ def sources_by_type(spark: SparkSession, d: str) -> DataFrame:
 @query(_GRAPH + "SELECT src, dst, type, CAST(row_number() OVER (PARTITION BY src, dst, type ORDER BY quote, url) - 1 AS INTEGER) AS place, quote, url FROM ends WHERE src <> dst")
 def evidence_zip(spark: SparkSession, d: str) -> DataFrame:
     raw, resolves, _ = _nation_graph(spark, d)
-    return graph.evidence_rows(graph.collapse_edges(raw, resolves, evidence=True))
+    return graph.edge_evidence(raw, resolves)
 
 
 @query(_GRAPH + "SELECT id, json_extract_string(p, '$.name') AS name, json_extract_string(p, '$.type') AS type FROM (SELECT id, json_object('id', id, 'name', name, 'type', type) AS p FROM vert)")
@@ -217,9 +217,9 @@ def mentions_of_entities_and_ends(spark: SparkSession, d: str) -> DataFrame:
     return graph.mention_edges(own, links, resolves)
 
 
-@query("WITH m AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS community FROM customer WHERE c_nationkey < 20 UNION ALL SELECT s_suppkey, s_name, 100 + s_suppkey % 50 FROM supplier), n AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY name) AS k, count(*) OVER (PARTITION BY community) AS size FROM m) SELECT community, 'Sector ' || community AS name, size, string_agg(CASE WHEN k <= 50 THEN n.name END, ', ' ORDER BY k) || CASE WHEN size > 50 THEN '...' ELSE '' END AS names, count(*) AS edges FROM n WHERE size >= 3 GROUP BY community, size")
+@query("WITH m AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS community FROM customer UNION ALL SELECT s_suppkey, s_name, 100 + s_suppkey % 50 FROM supplier), n AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY name) AS k, count(*) OVER (PARTITION BY community) AS size FROM m) SELECT community, 'Sector ' || community AS name, size, string_agg(CASE WHEN k <= 50 THEN n.name END, ', ' ORDER BY k) || CASE WHEN size > 50 THEN '...' ELSE '' END AS names, count(*) AS edges FROM n WHERE size >= 3 GROUP BY community, size")
 def community_summaries(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("community"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("community"))
     members = c.unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (100 + F.col("s_suppkey") % 50).alias("community")))
     summary = resolve.community_summaries(members)
     edges = graph.belongs_to(members, summary).groupBy(F.col("dst").alias("community")).agg(F.count("*").alias("edges"))
@@ -234,7 +234,7 @@ def similar_groups_in_scopes(spark: SparkSession, d: str) -> DataFrame:
     return similar_groups(e, "label", "embedding", over=0.3, block_rows=100, within="scope").groupBy("src", "dst").agg(F.round(F.max("weight"), 6).alias("weight"))
 
 
-@query("SELECT list_extract(regexp_extract_all(k, '[A-Z][a-z]+'), 1) AS name, 'Term' AS type, p AS pipeline_id, count(*) > 0 AS own FROM (SELECT c_mktsegment AS k, c_nationkey % 2 AS p FROM customer) WHERE false GROUP BY ALL UNION ALL SELECT upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)), 'Term', c_nationkey % 2, true FROM customer GROUP BY ALL UNION ALL SELECT DISTINCT 'Target' || chr(97 + c_nationkey % 2), NULL, c_nationkey % 2, false FROM customer")
+@query("SELECT DISTINCT upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS name, 'Term' AS type, c_nationkey % 2 AS pipeline_id, true AS own FROM customer UNION ALL SELECT DISTINCT 'Target' || chr(97 + c_nationkey % 2), NULL, c_nationkey % 2, false FROM customer")
 def facts_with_missing_ends(spark: SparkSession, d: str) -> DataFrame:
     """Entities of extracted facts, and ends of relationships that no entity names."""
     c = table(spark, d, "customer")
@@ -358,9 +358,9 @@ def fetch_with_fallback(spark: SparkSession, d: str) -> DataFrame:
     return workflow.with_fallback(pages, fetch, proxy).select("url", "status", F.length("text").alias("size"), "by_proxy")
 
 
-@query("SELECT 'src' || (page_id % 3) AS url, count(*) AS n FROM pages WHERE page_id < 9 GROUP BY 1")
+@query("SELECT 'src' || (page_id % 3) AS url, count(*) AS n FROM pages GROUP BY 1")
 def source_urls_of_a_vertex(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").where("page_id < 9").select(F.concat(F.lit("src"), (F.col("page_id") % 3).cast("string")).alias("url"), "page_id")
+    pages = table(spark, d, "pages").select(F.concat(F.lit("src"), (F.col("page_id") % 3).cast("string")).alias("url"), "page_id")
     edges = pages.where("page_id % 3 < 2").select(F.lit(7).alias("src"), F.col("page_id").alias("dst"), F.array(F.concat(F.lit(" "), "url"), F.lit("")).alias("source_urls"))
     mentions = pages.select(F.col("url").alias("document"), F.lit(7).alias("entity"))
     found = workflow.relation_urls(edges, mentions, 7)

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.records import parse_strict
-from tessera.operators.graph import collapse_edges, mention_edges, prune_supernodes, stable_id
+from tessera.operators.graph import collapse_edges, mention_edges, prune_supernodes, resolve_edges, stable_id
 from tessera.operators.relational import last_write
-from tessera.operators.resolve import canonicalise, components, label_propagation, similarity_edges
+from tessera.operators.resolve import canonicalise, components, louvain, similarity_edges
 from tessera.session import Scratch
 
 #: Fixed values: (task, outcome) -> next tasks.
@@ -59,8 +59,9 @@ def extract_facts(chunks: DataFrame, extractor: Callable[[Column], Column]) -> t
 def build_graph(chunks: DataFrame, extractor: Callable, embedder: Callable, verdict: Callable) -> dict[str, DataFrame]:
     """The graphs of all pipelines in ``chunks``: vertices with communities, weighted edges, mentions.
 
-    Nothing is merged across pipelines. Steps: extraction, resolution of similar names, edge collapse, pruning of supernodes
-    that ``verdict`` condemns, document mentions, communities. Each lands as a table.
+    Nothing is merged across pipelines. Steps: extraction, resolution of similar names, edge
+    collapse, Louvain communities of each pipeline's raw relationships (a vertex without any is
+    its own), pruning of supernodes that ``verdict`` condemns, document mentions. Each lands as a table.
     """
     scratch = Scratch(chunks.sparkSession, "graph")
     entities, links = (scratch.table(t, n) for t, n in zip(extract_facts(chunks, extractor), ("entities", "links")))
@@ -71,11 +72,14 @@ def build_graph(chunks: DataFrame, extractor: Callable, embedder: Callable, verd
     resolves = component.select(F.col("id").alias("raw"), F.col("component").alias("canonical"))
     edges = links.select(stable_id(F.col("pipeline_id"), F.col("source")).alias("src"), stable_id(F.col("pipeline_id"), F.col("target")).alias("dst"), "type", F.col("exact_quote").alias("quote"), F.col("source_url").alias("url"))
     collapsed = scratch.table(collapse_edges(edges, resolves), "edges")
+    projected = resolve_edges(edges, resolves).select("src", "dst").join(vertices.select(F.col("id").alias("src"), "pipeline_id"), "src")  # a row a raw relationship
+    found = louvain(projected, "pipeline_id").select("id", F.col("community").alias("__community"))
+    vertices = vertices.join(found, "id", "left").withColumn("community", F.coalesce("__community", "id")).drop("__community")
+    vertices = scratch.table(vertices, "vertices")
     vertices, collapsed = (scratch.table(t, n) for t, n in zip(prune_supernodes(vertices, collapsed, verdict), ("pruned_vertices", "pruned_edges")))
     mentions = mention_edges(raw.select("source_url", "id").select(F.col("source_url").alias("url"), F.col("id").alias("raw")), edges, resolves)
     mentions = mentions.join(vertices.select(F.col("id").alias("entity")), "entity", "left_semi")
-    communities = label_propagation(collapsed)
-    return {"vertices": vertices.join(communities, "id", "left"), "edges": collapsed, "mentions": scratch.table(mentions, "mentions")}
+    return {"vertices": vertices, "edges": collapsed, "mentions": scratch.table(mentions, "mentions")}
 
 
 def retrieval_context(chunks: DataFrame, urls: DataFrame, query: list[float], k: int = 10) -> DataFrame:
@@ -153,6 +157,22 @@ def entity_briefing(ego: DataFrame, context: DataFrame) -> DataFrame:
     return lines.crossJoin(F.broadcast(context)).select(F.concat(F.lit("Relations:\n"), "relations", F.lit("\n\nSources:\n"), F.coalesce("context", F.lit(""))).alias("prompt"))  # one row each
 
 
+def answer(ego: DataFrame, chunks: DataFrame, urls: DataFrame, embedder: Callable[[Column], Column], answerer: Callable[[Column], Column], k: int = 10) -> DataFrame:
+    """(central_id, central_name, relations, prompt, answer): what a caller's function says about a vertex.
+
+    ``ego`` is the vertex's network as ``ego_entity`` gives it (central_id, central_name, neighbour,
+    neighbour_name, rel_type, weight). The question is its name; the ``k`` chunks
+    (chunk_id, url, text, embedding) of ``urls`` nearest to the question's embedding are its sources.
+    """
+    centre = ego.select("central_id", "central_name").distinct()  # one row
+    question = centre.select(embedder(F.col("central_name")).alias("v")).first()
+    context = retrieval_context(chunks, urls, question["v"], k) if question else ego.sparkSession.createDataFrame([("",)], "context string")
+    shown = ego.select(F.col("neighbour_name").alias("name"), "rel_type", F.col("weight").cast("double").alias("weight"))
+    counted = ego.groupBy("central_id", "central_name").agg(F.count("neighbour").alias("relations"))
+    out = counted.crossJoin(F.broadcast(entity_briefing(shown, context)))  # one row each
+    return out.withColumn("answer", answerer(F.col("prompt")))
+
+
 def relation_urls(edges: DataFrame, mentions: DataFrame, centre) -> DataFrame:
     """(url): sources of a vertex, the urls of its edges and the documents that mention it, trimmed, each once."""
     own = edges.where((F.col("src") == F.lit(centre)) | (F.col("dst") == F.lit(centre))).select(F.explode("source_urls").alias("url"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -11,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_RUN = re.compile(r"[a-z][a-z-]*-[0-9a-f]{12}")
+
+
 def build_session(app: str = "tessera", master: str | None = None, **conf) -> SparkSession:
     """A session with UTC time, adaptive execution and Arrow transfer."""
     builder = SparkSession.builder.appName(app)
@@ -83,6 +88,17 @@ class Scratch:
             remove_path(self.spark, df._tessera_path)
 
 
+def sweep_scratch(spark: SparkSession, older_than_s: float = 86_400.0) -> list[str]:
+    """Delete intermediate tables that earlier runs left in the shared folder; which they were.
+
+    Results are read from these tables, so call it when no result of the last ``older_than_s`` seconds is in use.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and _RUN.fullmatch(s.getPath().getName()) and time.time() - s.getModificationTime() / 1000 > older_than_s]
+    return [p.getName() for p in old if fs.delete(p, True)]
+
+
 def remove_path(spark: SparkSession, where: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

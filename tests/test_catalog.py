@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalog, catalog_records  # noqa: F401  the second adds its queries to the first's registry
+from tessera.plans import catalog, catalog_records, catalog_stores  # noqa: F401  the others add their queries to the first's registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -126,7 +126,8 @@ def split_recursive(text: str, size: int = 1000, overlap: int = 200, separators:
     """Chunks of at most ``size`` characters cut at the coarsest separator that works.
 
     Pieces keep their separator in front; consecutive pieces are packed to ``size`` and
-    a chunk starts with up to ``overlap`` characters of the one before.
+    a chunk starts with up to ``overlap`` characters of the one before. A piece of ``size`` or more is
+    cut by the finer separators on its own, and nothing is carried over its bounds.
     """
     at = next(i for i, s in enumerate(separators) if s == "" or s in text)
     sep, finer = separators[at], separators[at + 1 :]
@@ -141,7 +142,7 @@ def split_recursive(text: str, size: int = 1000, overlap: int = 200, separators:
             out.append(chunk)
 
     for piece in pieces:
-        if len(piece) > size and finer:
+        if len(piece) >= size and finer:
             emit()
             window, held = [], 0
             out += split_recursive(piece, size, overlap, finer)

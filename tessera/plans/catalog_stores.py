@@ -146,6 +146,19 @@ def indexed_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return index.search(e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).select("query", "neighbour", "rank", F.round("distance", 6).alias("distance"))
 
 
+@query("SELECT count(*) AS queries, 10 * count(*) AS neighbours, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def indexed_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a search of so few lists that 95 % of a sample's neighbours are found finds 90 % of all queries' neighbours."""
+    e, scratch = table(spark, d, "embeddings"), Scratch(spark, "index")
+    index = vector_index.VectorIndex.build(e, "vec_id", "embedding", vector_index.fit_centroids(e, "embedding", 16), f"{scratch.path}/lists")
+    queries = e.where("vec_id % 100 = 0")
+    probes = vector_index.probes_for(index, e, "vec_id", "embedding", least=0.95, most_queries=50)
+    found = scratch.table(index.search(queries, "vec_id", "embedding", 10, probes), "found")
+    truth = scratch.table(index.search(queries, "vec_id", "embedding", 10), "truth")
+    counts = truth.agg(F.count_distinct("query").alias("queries"), F.count("*").alias("neighbours"))
+    return counts.withColumn("enough", F.lit(vector_index.recall(found, truth) >= 0.9))
+
+
 # gates and pages
 
 #: A site for each language, with words of its own; one is listed twice, one is blank.

@@ -58,7 +58,7 @@ def test_cells_compare_fewer_pairs_than_blocks(spark):
 
 def test_indexed_search_is_exact_or_measured(spark, tmp_path):
     rng = np.random.default_rng(4)
-    vectors = np.concatenate([clustered(rng, 1400, 30, 24, 0.3), rng.normal(size=(100, 24)), np.zeros((2, 24))])
+    vectors = np.concatenate([clustered(rng, 1400, 30, 24, 0.7), rng.normal(size=(100, 24)), np.zeros((2, 24))])
     rows = [(i, list(map(float, v))) for i, v in enumerate(vectors)] + [(9000, None), (9001, [1.0])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
     centroids = vector_index.fit_centroids(df.where("id < 1500"), "v", 20, sample_rows=600)
@@ -73,7 +73,7 @@ def test_indexed_search_is_exact_or_measured(spark, tmp_path):
     probes = vector_index.probes_for(index, df, "id", "v", least=0.95, most_queries=50)
     share = vector_index.recall(index.search(queries, "id", "v", probes=probes), truth)
     print(f"recall {share:.3f} with {probes} of {len(centroids)} lists")
-    assert share >= 0.9 and probes < len(centroids) and vector_index.recall(index.search(queries, "id", "v", probes=1), truth) < 1.0
+    assert share >= 0.9 and 1 < probes < len(centroids)
 
 
 def modularity(edges, label):
@@ -267,3 +267,53 @@ def test_database_read_pushes_its_filter(spark, folder, tmp_path):
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(C_NATIONKEY,7)" in plan.replace("c_nationkey", "C_NATIONKEY") and "GreaterThan" in plan and read.rdd.getNumPartitions() == 4
     assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, customers.where("c_nationkey = 7 AND c_acctbal > 1000").select("c_custkey", "c_name").collect()))
+
+
+def brute_chunks(text, size, overlap, separators=("\n\n", "\n", " ", "")):
+    """Chunks as sets of places: pieces first, then for each run of small pieces the windows that a greedy reader sees."""
+    sep = next(s for s in separators if s in text)
+    finer = separators[separators.index(sep) + 1 :]
+    cuts = range(1, len(text)) if sep == "" else sorted(cut_places(text, sep) - {0})
+    bounds = [0, *cuts, len(text)]
+    pieces = [text[a:b] for a, b in zip(bounds, bounds[1:]) if b > a]
+    out, run = [], []
+
+    def windows():
+        at = 0
+        while at < len(run):
+            end = at
+            while end < len(run) and (end == at or sum(map(len, run[at : end + 1])) <= size):
+                end += 1
+            out.append("".join(run[at:end]).strip())
+            if end == len(run):
+                break
+            while at < end and (sum(map(len, run[at:end])) > overlap or sum(map(len, run[at : end + 1])) > size):
+                at += 1
+        run.clear()
+
+    for piece in pieces:
+        if len(piece) >= size and finer:
+            windows()
+            out += brute_chunks(piece, size, overlap, finer)
+        else:
+            run.append(piece)
+    windows()
+    return [c for c in out if c]
+
+
+def cut_places(text, sep):
+    """Where a separator starts, from left to right without overlaps."""
+    found, at = set(), text.find(sep)
+    while at >= 0:
+        found.add(at)
+        at = text.find(sep, at + len(sep))
+    return found
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab \n", min_size=1, max_size=120), st.integers(4, 20), st.integers(0, 3))
+def test_chunks_equal_a_reading_by_windows(text, size, overlap):
+    from tessera.functions.text import split_recursive
+
+    got = split_recursive(text, size, overlap)
+    assert got == brute_chunks(text, size, overlap) and all(len(c) <= size for c in got)

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.records import parse_strict
-from tessera.operators.graph import collapse_edges, mention_edges, prune_supernodes, resolve_edges, stable_id
+from tessera.operators.graph import collapse_edges, mention_edges, prune_supernodes, resolve_edges, stable_id, upsert_companies
 from tessera.operators.relational import last_write
 from tessera.operators.resolve import canonicalise, components, louvain, similarity_edges
 from tessera.session import Scratch
+from tessera.sources.keyed_store import KeyedStore
 
 #: Fixed values: (task, outcome) -> next tasks.
 TRANSITIONS = (
@@ -82,6 +83,36 @@ def build_graph(chunks: DataFrame, extractor: Callable, embedder: Callable, verd
     return {"vertices": vertices, "edges": collapsed, "mentions": scratch.table(mentions, "mentions")}
 
 
+#: Keys of a stored graph's tables, and those that choose a row's bucket.
+GRAPH_KEYS = {"vertices": (["id"], ["id"]), "edges": (["src", "dst", "type"], ["src"]), "mentions": (["document", "entity"], ["entity"])}
+
+
+def store_graph(graph: dict[str, DataFrame], root: str, writer: str = "build", batch: int | None = None, buckets: int = 64) -> dict[str, KeyedStore]:
+    """Merge the tables of ``build_graph`` into stored ones below ``root``; rows that are there are replaced by key.
+
+    A build that is run again with the same ``batch`` changes nothing.
+    """
+    stores = {}
+    for name, (keys, bucket_by) in GRAPH_KEYS.items():
+        rows = graph[name]
+        stores[name] = KeyedStore(rows.sparkSession, f"{root}/{name}", rows.schema, keys, bucket_by, buckets)
+        stores[name].upsert(rows, keys, writer, batch)
+    return stores
+
+
+def enrich_store(vertices: KeyedStore, found: DataFrame, facts: list[str], writer: str = "enrichment", batch: int | None = None) -> None:
+    """Merge companies' facts into a stored vertex table (id, pipeline_id, name, type, facts, ...).
+
+    Vertices of a company's name and pipeline are filled and companies without one are added, as
+    ``upsert_companies`` has it; only these rows are written.
+    """
+    names = found.select("pipeline_id", "name").distinct()
+    near = vertices.read().join(names, ["pipeline_id", "name"], "left_semi")
+    merged = upsert_companies(near.select("id", "pipeline_id", "name", "type", *facts), found, facts)
+    rest = [f.name for f in vertices.schema if f.name not in merged.columns]
+    vertices.upsert(merged.join(near.select("id", *rest), "id", "left"), ["id"], writer, batch)
+
+
 def retrieval_context(chunks: DataFrame, urls: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     """One text of the k chunks nearest to the query among the given sources, numbered from 1."""
     from tessera.operators.similarity import nearest

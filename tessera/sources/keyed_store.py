@@ -28,7 +28,7 @@ _BUCKET, _VERSION, _GONE = "__bucket", "__version", "__gone"
 
 
 class KeyedStore:
-    """Rows of ``schema`` (DDL) under ``root``, one for each value of ``keys``.
+    """Rows of ``schema`` (DDL or a type) under ``root``, one for each value of ``keys``.
 
     ``bucket_by``: the keys that choose the bucket, all by default; a point read needs these.
     ``fill``: a null of a later row leaves the stored value as it is; otherwise a row
@@ -36,9 +36,9 @@ class KeyedStore:
     are merged in the order of the columns named ``order``, which needn't be stored.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, keys: list[str], bucket_by: list[str] | None = None, buckets: int = BUCKETS, fill: bool = False, most_runs: int = MOST_RUNS):
+    def __init__(self, spark: SparkSession, root: str, schema: str | StructType, keys: list[str], bucket_by: list[str] | None = None, buckets: int = BUCKETS, fill: bool = False, most_runs: int = MOST_RUNS):
         self.spark, self.keys, self.bucket_by, self.buckets, self.fill, self.most_runs = spark, keys, bucket_by or keys, buckets, fill, most_runs
-        self.schema = StructType.fromDDL(schema)
+        self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
         taken = {_BUCKET, _VERSION, _GONE} & {f.name for f in self.schema}
         if taken:
             raise ValueError(f"columns with names of the store's own: {', '.join(sorted(taken))}")

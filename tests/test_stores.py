@@ -179,3 +179,40 @@ def test_redelivered_events_are_dropped(spark, tmp_path):
         stream.writeStream.foreachBatch(ledger.sink("w")).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.id for r in ledger.read().collect()) == list(range(300))
     assert F.col("ts") is not None
+
+
+def test_a_built_graph_is_merged_into_a_stored_one(spark, tmp_path):
+    from tessera.plans import workflow
+    from tessera.sources import connectors
+
+    chunks = lambda texts: spark.createDataFrame([(7, f"u{i}", i, t) for i, t in texts], "pipeline_id long, source_url string, seq long, raw_text string")
+    build = lambda texts: workflow.build_graph(chunks(texts), connectors.stub_extractor, connectors.hashed_embedding, lambda name, kind: F.lit(False))
+    first = build([(0, "Alpha met Beta."), (1, "Beta met Gamma.")])
+    stores = workflow.store_graph(first, str(tmp_path), batch=0, buckets=4)
+    names = lambda: sorted(r.name for r in stores["vertices"].read().collect())
+    assert names() == ["Alpha", "Beta", "Gamma"] and stores["edges"].read().count() == 2 and stores["mentions"].read().count() == 4
+    stores = workflow.store_graph(build([(1, "Beta met Gamma."), (2, "Beta met Delta.")]), str(tmp_path), batch=1, buckets=4)
+    assert names() == ["Alpha", "Beta", "Delta", "Gamma"] and stores["edges"].read().count() == 3
+    version = {n: s.manifest()["version"] for n, s in stores.items()}
+    stores = workflow.store_graph(first, str(tmp_path), batch=1, buckets=4)
+    assert version == {n: s.manifest()["version"] for n, s in stores.items()}
+    beta = stores["vertices"].read().where("name = 'Beta'").first()
+    assert {r.dst for r in stores["edges"].get(src=beta.id).collect()} == {r.id for r in stores["vertices"].read().where("name IN ('Gamma', 'Delta')").collect()}
+
+
+def test_companies_are_written_and_read_back(spark, tmp_path):
+    """A company is enriched into a stored graph, then read back by name."""
+    from tessera.plans import workflow
+
+    ddl = "id long, pipeline_id string, name string, type string, community long, stage_estimate string, total_raised double"
+    store = KeyedStore(spark, str(tmp_path), ddl, ["id"], buckets=4)
+    store.upsert(spark.createDataFrame([(1, "p", "Fischer", "Company", 5, None, 1.0), (2, "p", "Fischer", "Person", 5, None, None), (3, "q", "Fischer", "Startup", 6, None, None), (4, "p", "Other", "Company", 5, "seed", None)], ddl), ["id"])
+    found = spark.createDataFrame([("p", "Fischer", "Startup", "series a", None), ("p", "Fresh", "Startup", "seed", 2.0)], "pipeline_id string, name string, type string, stage_estimate string, total_raised double")
+    for _ in range(2):
+        workflow.enrich_store(store, found, ["stage_estimate", "total_raised"], batch=0)
+    out = {(r.id if r.id < 10 and r.id > 0 else "new", r.name): (r.type, r.community, r.stage_estimate, r.total_raised) for r in store.read().collect()}
+    assert out == {
+        (1, "Fischer"): ("Company", 5, "series a", 1.0), (2, "Fischer"): ("Person", 5, None, None), (3, "Fischer"): ("Startup", 6, None, None),
+        (4, "Other"): ("Company", 5, "seed", None), ("new", "Fresh"): ("Startup", None, "seed", 2.0),
+    }
+    assert store.manifest()["version"] == 2

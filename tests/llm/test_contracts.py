@@ -166,3 +166,93 @@ def test_stems_teach_where_words_are_rare(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     out = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
     assert all(out[i].predicted == y for i, _, y in rows if out[i].held_out) and all(out[i].segments for i, _, y in rows if y)
+
+
+def brute_toxicity(docs, labels):
+    """Scores by the definitions, a text and a token at a time; only the logistic fit is the operator's."""
+    import math
+    import re
+    import zlib
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+    stems_of = lambda w: [("s", w.encode()[:n]) for n in (7, 6, 5, 4) if len(w.encode()) > n]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 3 == 1
+    texts = {i: words_of(t) for i, t in docs}
+    train = [(i, y) for i, y in labels if i is not None and y is not None and not held(i) and i in texts]
+    counts = {}
+    for i, y in train:
+        for token in {t for w in texts[i] for t in [("w", w), *stems_of(w)]}:
+            counts.setdefault(token, [0, 0])[y] += 1
+    n1, n0 = (sum(c[y] for t, c in counts.items() if t[0] == "w") for y in (1, 0))
+    a0 = 5000 + 0.01 * (n1 + n0)
+    score = {}
+    for token, (c, t) in counts.items():
+        a = (t + c) * a0 / (n1 + n0)
+        y1, y0 = t + a, c + a
+        odds = math.log(y1 / (n1 + a0 - y1)) - math.log(y0 / (n0 + a0 - y0))
+        sure = max(abs(odds) - 2 * math.sqrt(1 / y1 + 1 / y0), 0)
+        if sure and not (token[0] == "s" and (odds < 0 or sure < 1)):
+            score[token] = math.copysign(sure, odds)
+    known = [t for t in score if t[0] == "w"]
+    share = {t: (counts[t][0] + 0.5) / (n0 + 0.5 * len(known) + 1) for t in known}
+    mean = lambda r: sum(p * math.exp(r * (score[t] - 0.05)) for t, p in share.items()) + max(0, 1 - sum(share.values())) * math.exp(-0.05 * r)
+    lo, hi = 1e-3, 64.0
+    for _ in range(200):
+        lo, hi = ((lo + hi) / 2, hi) if mean((lo + hi) / 2) < 1 else (lo, (lo + hi) / 2)
+    rate = lo
+
+    def passages(values):
+        """The best run of words, then those left and right of it, as long as they are worth anything."""
+        best = max(((sum(values[i:j]), i, j) for i in range(len(values)) for j in range(i + 1, len(values) + 1)), default=(0, 0, 0))
+        return [] if best[0] <= 1e-12 else [best[0], *passages(values[: best[1]]), *passages(values[best[2] :])]
+
+    def evidence(words):
+        plain, wide = [], []
+        for at, w in enumerate(words):
+            again = at and words[at - 1] == w
+            own = score.get(("w", w), 0.0)
+            plain.append((0.0 if again else own) - 0.05)
+            wide.append((0.0 if again else own or next((score[s] for s in stems_of(w) if s in score), 0.0)) - 0.05)
+        x, y = passages(plain), passages(wide)
+        return len(words), max(x, default=0.0), max(y, default=0.0), x or y
+
+    seen = {i: evidence(w) for i, w in texts.items()}
+    clean = [seen[i] for i, y in train if not y]
+    k = (sum(b > 0.05 for _, b, _, _ in clean) + 0.5) / (sum(n for n, _, _, _ in clean) * math.exp(-0.05 * rate) + 1)
+    normal = lambda s, n: rate * s - math.log(k * max(n, 1))
+    best_of = lambda e: min(max(normal(e[1], e[0]), -40), 60)
+    more_of = lambda e: min(math.log1p(sum(x for x in sorted((normal(s, e[0]) for s in e[3]), reverse=True)[1:] if x >= -math.log(0.05))), 25)
+    rise_of = lambda e: min(max(rate * (e[2] - e[1]), 0), 25)
+
+    def fit(x, more):
+        bins = {}
+        for i, y in train:
+            key = (math.floor(x(seen[i]) / 0.25), math.floor(more(seen[i]) / 0.25), y)
+            bins[key] = bins.get(key, 0) + 1
+        a, b, c = toxicity._logistic([((p + 0.5) / 4, (q + 0.5) / 4 if q else 0.0, y, n) for (p, q, y), n in bins.items()])
+        return lambda e: min(max(a + b * x(e) + c * more(e), -40), 40)
+
+    last = fit(fit(best_of, more_of), rise_of)
+    return {i: 1 / (1 + math.exp(-last(e))) for i, e in seen.items()}
+
+
+def test_scores_equal_those_by_definition(spark):
+    rng = np.random.default_rng(8)
+    common = [f"word{i}" for i in range(60)] + ["é", "über"]
+    bad, stem = ["vile", "nasty"], lambda: f"grimm{''.join(rng.choice(list('abcd'), 3))}"
+    docs, labels = [], []
+    for i in range(1500):
+        toxic = int(i % 3 == 0)
+        words = list(rng.choice(common, rng.integers(1, 30)))
+        for _ in range(rng.integers(1, 4) if toxic else int(rng.random() < 0.04)):
+            words.insert(rng.integers(len(words) + 1), str(rng.choice(bad)) if rng.random() < 0.6 else stem())
+        docs.append((i, " ".join(words)))
+        if i < 1400:
+            labels.append((i, toxic))
+    docs += [(9000, None), (9001, ""), (9002, "vile vile vile"), (9003, "GRIMMZZZ Word1")]
+    found = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels + [(7000, 1), (5, None)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in found.collect()}
+    want = brute_toxicity(docs, labels)
+    assert got.keys() == want.keys() and max(got[i] for i in got) > 0.7 > 0.3 > min(got.values())
+    assert got == pytest.approx(want, abs=1e-6)

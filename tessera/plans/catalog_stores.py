@@ -188,7 +188,7 @@ def answered_question(spark: SparkSession, d: str) -> DataFrame:
     """A vertex's briefing of relations and retrieved text, and the answer that a caller's function makes of it."""
     raw, resolves, vertices = _nation_graph(spark, d)
     ego = graph.ego_entity(vertices, graph.edge_weights(raw, resolves), 3)
-    docs = table(spark, d, "documents")
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("url"), "text", hashed_embedding(F.col("text")).alias("embedding"))
-    out = workflow.answer(ego, chunks, docs.select(F.col("source").alias("url")).distinct(), hashed_embedding, lambda prompt: F.struct(F.size(F.split(prompt, "\n- ")).alias("lines")))
+    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings")
+    chunks = docs.join(e, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("url"), "text", "embedding")
+    out = workflow.answer(ego, chunks, chunks.select("url").distinct(), hashed_embedding, lambda prompt: F.struct(F.size(F.split(prompt, "\n- ")).alias("lines")))
     return out.select(F.col("central_id").alias("id"), F.col("central_name").alias("name"), (F.col("relations") > 0).alias("related"), "relations")

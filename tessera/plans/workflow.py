@@ -195,6 +195,7 @@ def answer(ego: DataFrame, chunks: DataFrame, urls: DataFrame, embedder: Callabl
     neighbour_name, rel_type, weight). The question is its name; the ``k`` chunks
     (chunk_id, url, text, embedding) of ``urls`` nearest to the question's embedding are its sources.
     """
+    ego = Scratch(ego.sparkSession, "ego").table(ego, "network")  # read for the question, the relations and their number
     centre = ego.select("central_id", "central_name").distinct()  # one row
     question = centre.select(embedder(F.col("central_name")).alias("v")).first()
     context = retrieval_context(chunks, urls, question["v"], k) if question else ego.sparkSession.createDataFrame([("",)], "context string")

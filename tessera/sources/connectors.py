@@ -114,8 +114,9 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
     spots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).alias("at"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v")))
     zero = F.array_repeat(F.lit(0.0), size)
     raw = F.aggregate(spots, zero, lambda acc, s: F.transform(acc, lambda x, i: x + F.when(i == s["at"], s["v"]).otherwise(0.0)))
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(length > 0, x / length).otherwise(0.0).cast("float"))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    scaled = lambda v: F.when(square(v) > 0, F.transform(v, lambda x: (x / F.sqrt(square(v))).cast("float"))).otherwise(v.cast("array<float>"))
+    return F.get(F.transform(F.array(raw), scaled), F.lit(0))  # the counts are made once, not for each component
 
 
 def stub_extractor(text: Column) -> Column:

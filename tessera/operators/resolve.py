@@ -100,8 +100,8 @@ def louvain(edges: DataFrame, scope: str) -> DataFrame:
     """(scope, id, community) by modularity gains, within each scope (a pipeline's projected graph).
 
     Parallel edges are summed first. In a round every vertex looks for the neighbouring
-    community of largest gain, by joins and aggregates. Those of one lane (by a hash of vertex
-    and round) move, and a scope keeps the round if its own modularity rises; if not, it
+    community of largest gain, by joins and aggregates. Those in the lane of the scope's best move (lanes
+    by a hash of vertex and round) move, and a scope keeps the round if its own modularity rises; if not, it
     goes on with more and so smaller lanes, at last with its single best move, which always
     gains. A level ends for a scope when no vertex of it has a gain, whatever its lane; then
     communities become the vertices of the next level, until a level moves nothing. What a
@@ -128,16 +128,17 @@ def _settled(graph: DataFrame, node: DataFrame, scope: str, scratch: Scratch) ->
     """Nodes (scope, node, k, m2, community) after moves until none has a gain."""
     state = scratch.table(modularities(graph, node, scope).withColumns({"lanes": F.lit(LANES), "ended": F.lit(False)}), "scopes")
     for turn in itertools.count():
-        step = scratch.table(_moved(graph, node.join(state.drop("q"), scope), scope, turn), "nodes")
-        if step.where("wants").isEmpty():
-            return step.select(scope, "node", "k", "m2", F.col("was").alias("community"))
+        wishes = scratch.table(_wishes(graph, node.join(state.drop("q"), scope), scope), "wishes")
+        if wishes.where("wants").isEmpty():
+            return wishes.select(scope, "node", "k", "m2", F.col("was").alias("community"))
+        step = scratch.table(_moved(wishes, scope, turn), "nodes")
         tried = step.groupBy(scope).agg(F.max(F.col("community") != F.col("was")).alias("moved"))
         after = modularities(graph, step, scope).withColumnRenamed("q", "now").join(tried, scope)
         gains = F.col("moved") & (F.col("now") > F.col("q") + LEAST_GAIN)
         lost = F.col("moved") & ~gains
         found = state.join(after, scope).select(
             scope, F.when(gains, F.col("now")).otherwise(F.col("q")).alias("q"), gains.alias("gains"),
-            F.when(gains, LANES).when(lost, F.col("lanes") * 2).otherwise(F.col("lanes")).alias("lanes"), (F.col("ended") | lost & (F.col("lanes") > MOST_LANES)).alias("ended"),
+            F.when(gains, F.greatest(F.lit(LANES), F.floor(F.col("lanes") / 2).cast("int"))).when(lost, F.col("lanes") * 2).otherwise(F.col("lanes")).alias("lanes"), (F.col("ended") | lost & (F.col("lanes") > MOST_LANES)).alias("ended"),
         )
         state = scratch.table(found, "scopes")
         kept = step.join(state.select(scope, "gains"), scope)
@@ -153,8 +154,8 @@ def modularities(graph: DataFrame, node: DataFrame, scope: str) -> DataFrame:
     return square.join(inside, scope, "left").select(scope, (F.coalesce(F.col("inside"), F.lit(0.0)) / F.col("m2") - F.col("square")).alias("q"))
 
 
-def _moved(graph: DataFrame, node: DataFrame, scope: str, turn: int) -> DataFrame:
-    """Nodes with ``was``, the community of largest gain where it is their turn, and whether they want one at all."""
+def _wishes(graph: DataFrame, node: DataFrame, scope: str) -> DataFrame:
+    """Nodes with ``was``, the community of largest gain, how much more it gains, and whether that is worth a move."""
     size = node.groupBy(scope, "community").agg(F.sum("k").alias("held"))
     near = node.select(scope, F.col("node").alias("dst"), "community")
     links = graph.where("src <> dst").join(near, [scope, "dst"]).groupBy(scope, F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
@@ -167,12 +168,18 @@ def _moved(graph: DataFrame, node: DataFrame, scope: str, turn: int) -> DataFram
     joined = node.join(size, [scope, "community"]).join(best, [scope, "node"], "left")
     stay = F.coalesce("linked", -F.col("k") * (F.col("held") - F.col("k")) / F.col("m2"))
     joined = joined.withColumn("more", F.col("best.gain") - stay)
-    joined = joined.withColumn("wants", F.coalesce((2 * F.col("more") / F.col("m2") > 4 * LEAST_GAIN) & ~F.col("ended"), F.lit(False)))
-    single = joined.where(F.col("wants") & (F.col("lanes") > MOST_LANES)).groupBy(scope).agg(F.max_by("node", F.struct("more", -F.col("node"))).alias("single"))
-    joined = joined.join(single, scope, "left")
-    turns = F.when(F.col("lanes") > MOST_LANES, F.col("node") == F.col("single")).otherwise(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("lanes")) == 0)
+    wants = F.coalesce((2 * F.col("more") / F.col("m2") > 4 * LEAST_GAIN) & ~F.col("ended"), F.lit(False))
+    return joined.select(scope, "node", "k", "m2", "lanes", F.col("community").alias("was"), F.col("best.community").alias("best"), "more", wants.alias("wants"))
+
+
+def _moved(wishes: DataFrame, scope: str, turn: int) -> DataFrame:
+    """Nodes with their community before (``was``) and after the moves of the lane whose turn it is."""
+    single = wishes.where("wants").groupBy(scope).agg(F.max_by("node", F.struct("more", -F.col("node"))).alias("single"))
+    joined = wishes.join(single, scope, "left")
+    lane = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.col("lanes"))
+    turns = F.when(F.col("lanes") > MOST_LANES, F.col("node") == F.col("single")).otherwise(lane("node") == lane("single"))
     moves = F.col("wants") & F.coalesce(turns, F.lit(False))
-    return joined.select(scope, "node", "k", "m2", F.col("community").alias("was"), F.when(moves, F.col("best.community")).otherwise(F.col("community")).alias("community"), "wants")
+    return joined.select(scope, "node", "k", "m2", "was", F.when(moves, F.col("best")).otherwise(F.col("was")).alias("community"))
 
 
 def community_summaries(members: DataFrame, least: int = 3, most_names: int = 50) -> DataFrame:

@@ -75,7 +75,11 @@ def _celled(chunks: DataFrame, group: str, vector: str, over: float, block_rows:
     scratch = Scratch(chunks.sparkSession, "similar")
     cut = chunks.where(F.col(vector).isNotNull()).select(F.col(group).cast("string").alias("g"), scope.alias("s"), F.col(vector).alias("v"), F.size(vector).alias("size"))
     cut = scratch.table(cut.where("size > 0 AND s IS NOT NULL"), "vectors")
-    cut = cut.join(block_counts(cut, ["s", "size"], "cells", block_rows), ["s", "size"])
+    keys = ["s", "size", "cell"]
+    cells = block_counts(cut, ["s", "size"], "cells", block_rows)
+    if (cells.agg(F.max("cells")).first()[0] or 1) == 1:  # every scope is one block
+        return cut.select("s", "size", *[F.lit(0).alias(c) for c in ("cell", "i", "j", "b")], "g", "v")
+    cut = cut.join(cells, ["s", "size"])
     pivots = cut.sparkSession.sparkContext.broadcast(_pivots(cut, block_rows, most_floats))
     reach = float(np.arccos(over)) if 0 < over < 1 else np.pi
 
@@ -96,7 +100,6 @@ def _celled(chunks: DataFrame, group: str, vector: str, over: float, block_rows:
 
     kind = chunks.schema[vector].dataType.simpleString()
     placed = scratch.table(cut.mapInPandas(place, f"s string, size int, g string, v {kind}, cell int, home int, angle double"), "cells")
-    keys = ["s", "size", "cell"]
     own = placed.where("cell = home")
     radius = own.groupBy(*keys).agg(F.max("angle").alias("radius"))
     lent = scratch.table(placed.where("cell <> home").join(radius, keys).where(F.col("angle") <= F.col("radius") + reach + SLACK).drop("radius"), "lent")

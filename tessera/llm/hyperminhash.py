@@ -20,6 +20,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -44,6 +46,8 @@ SIGMAS = 6
 SLACK = 0.01  # of an estimate, for the rounding of the correction
 TRIES = 4  # partners that a class tries in each round but the last
 ROUNDS, NEIGHBOURS = 2, 3  # rounds and neighbours in a band that are tried before all pairs are
+SPARSE = 16  # registers in use up to which the walks of the empty ones are looked up
+LEAST = 4  # shingles of a set that can be similar to another one: n / (n + 1) is below 0.8 for fewer
 SMALL = 32  # bands of more classes are compared in blocks
 BLOCK = 512
 
@@ -77,17 +81,40 @@ def registers(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _walk(turn: int) -> np.ndarray:
+    """The bucket that each register's walk visits at a turn."""
+    return (mix(np.arange(REGISTERS, dtype=np.uint64) + (turn << 32)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+@cache
+def _first_turns() -> np.ndarray:
+    """The first turn at which the walk of each register visits each bucket."""
+    out, at, turn = np.full((REGISTERS, REGISTERS), 0xFFFF, np.uint16), np.arange(REGISTERS), 0
+    while (out == 0xFFFF).any():
+        for _ in range(500):
+            turn += 1
+            to = _walk(turn)
+            out[at, to] = np.minimum(out[at, to], turn)
+    return out
+
+
 def filled(regs: np.ndarray) -> np.ndarray:
     """Registers with each empty one replaced by the first that a walk of its own finds filled."""
     out = regs.copy()
+    many = (regs != EMPTY).sum(1)
+    for few in np.unique(many[(many > 0) & (many <= SPARSE)]).tolist():  # a walk would take long; look up which bucket it meets first
+        rows = np.flatnonzero(many == few)
+        for lo in range(0, len(rows), 256):
+            some = rows[lo : lo + 256]
+            held = np.nonzero(regs[some] != EMPTY)[1].reshape(len(some), few)
+            met = np.take_along_axis(held[:, None, :], _first_turns()[:, held].transpose(1, 0, 2).argmin(2)[:, :, None], 2)[:, :, 0]
+            out[some] = np.where(regs[some] != EMPTY, regs[some], np.take_along_axis(regs[some], met, 1))
     row, at = np.nonzero(regs == EMPTY)
-    some = (regs != EMPTY).any(1)
-    row, at = row[some[row]], at[some[row]]
-    turn = 0
+    open_ = many[row] > SPARSE
+    row, at, turn = row[open_], at[open_], 0
     while len(row):
         turn += 1
-        to = (mix(np.arange(REGISTERS, dtype=np.uint64) + (turn << 32)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        found = regs[row, to[at]]
+        found = regs[row, _walk(turn)[at]]
         hit = found != EMPTY
         out[row[hit], at[hit]] = found[hit]
         row, at = row[~hit], at[~hit]
@@ -148,17 +175,17 @@ def may_link(found: np.ndarray, used: np.ndarray, na: np.ndarray, nb: np.ndarray
 
 
 def _sketches(texts: DataFrame, k: int) -> DataFrame:
-    """(class, n, registers, bands) of the sets of ``texts``, where they are not empty."""
+    """(class, n, registers, bands) of the sets of ``texts`` that can be similar to others; smaller ones have equals only."""
 
     def sketch(batches):
         for batch in batches:
             for _, data, offs in blocks(batch.column(0)):
                 sets, bounds = sorted_sets(data, offs, k)
                 n = np.diff(bounds)
-                rows = np.flatnonzero(n)
+                rows = np.flatnonzero(n >= LEAST)
                 if not len(rows):
                     continue
-                bounds = np.concatenate([[0], np.cumsum(n[rows])])
+                sets, bounds = sets[np.repeat(n >= LEAST, n)], np.concatenate([[0], np.cumsum(n[rows])])
                 regs = registers(sets, bounds)
                 keys = as_long(band_keys(regs)).reshape(-1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(keys))

@@ -308,3 +308,13 @@ def test_hyperminhash_blocks_of_borderline_copies(docs_of, monkeypatch):
     got = sorted(map(tuple, hyperminhash.near_duplicates(docs_of(rows)).select("doc_id", "n_shingles", "component_id").collect()))
     want = sorted(brute_components(rows))
     assert got == want and 20 < len({c for _, _, c in want}) < 200
+
+
+def test_sparse_registers_are_filled_as_by_the_walk(monkeypatch):
+    rng = np.random.default_rng(9)
+    sizes = [0, 1, 2, 5, 5, 9, 16, 17, 30, 400]
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in sizes]
+    regs = hyperminhash.registers(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+    looked_up = hyperminhash.filled(regs)
+    monkeypatch.setattr(hyperminhash, "SPARSE", 0)
+    assert (looked_up == hyperminhash.filled(regs)).all() and (looked_up[1:] != hyperminhash.EMPTY).all() and (looked_up[0] == hyperminhash.EMPTY).all()

@@ -44,6 +44,15 @@ def similarity_edges(entities: DataFrame, vector: str, at_least: float = MERGE_A
     return pairs.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"))
 
 
+def similarity_links(entities: DataFrame, vector: str, at_least: float = MERGE_AT, within: str | None = None) -> DataFrame:
+    """(src, dst) links with the components of ``similarity_edges``, of which there may be quadratically many."""
+    from tessera.operators.similarity import similar_classes
+
+    links = similar_classes(entities, "id", vector, over=at_least - 1e-12, within=within)
+    kind = entities.schema["id"].dataType.simpleString()
+    return links.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"))
+
+
 def canonicalise(entities: DataFrame, component: DataFrame) -> DataFrame:
     """One vertex a component: shortest name, most frequent type (smallest on ties), longest description.
 

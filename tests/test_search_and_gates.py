@@ -56,6 +56,32 @@ def test_cells_compare_fewer_pairs_than_blocks(spark):
     assert shut < blocks * 0.6
 
 
+def test_copies_of_a_row_do_not_grow_with_its_scope(spark):
+    """Random vectors at a low threshold: all meet all, in products whose rows are a bounded number of copies."""
+    rng = np.random.default_rng(5)
+    copies = []
+    for n in (600, 2400):
+        df = spark.createDataFrame([(i % 7, list(map(float, v))) for i, v in enumerate(rng.normal(size=(n, 8)))], "g long, v array<double>")
+        copies.append(similarity._celled(df, "g", "v", 0.3, 10, None, 1 << 22).count() / n)
+    assert max(copies) <= 2 * similarity.SPLIT and copies[1] < 1.5 * copies[0]
+
+
+@pytest.mark.parametrize("over, block_rows", [(0.85, 32), (0.5, 16), (0.3, 8)])
+def test_classes_have_the_components_of_all_pairs(spark, over, block_rows):
+    rng = np.random.default_rng(6)
+    vectors = np.concatenate([clustered(rng, 200, 9), rng.normal(size=(60, 16)), np.repeat(rng.normal(size=(1, 16)), 40, 0), np.zeros((2, 16))])
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vectors)], "id long, v array<double>")
+    links = similarity.similar_classes(df, "id", "v", over, block_rows=block_rows)
+    assert links.count() <= 2 * similarity.SPLIT * len(vectors)
+    frame = links.select(*[F.col(c).cast("long").alias(c) for c in ("src", "dst")])
+    got = {r.id: r.component for r in resolve.components(df, frame).collect()}
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    near, want = unit @ unit.T > over, np.arange(len(vectors))
+    while ((low := np.minimum(want, np.where(near, want[None], len(want)).min(1))) != want).any():
+        want = low
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_indexed_search_is_exact_or_measured(spark, tmp_path):
     rng = np.random.default_rng(4)
     vectors = np.concatenate([clustered(rng, 1400, 30, 24, 0.7), rng.normal(size=(100, 24)), np.zeros((2, 24))])

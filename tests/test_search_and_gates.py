@@ -82,6 +82,15 @@ def test_classes_have_the_components_of_all_pairs(spark, over, block_rows):
     assert got == dict(enumerate(want.tolist()))
 
 
+def test_extractions_are_parsed_once_a_row(spark):
+    from tessera.functions import records
+
+    df = spark.createDataFrame([('```json {"entities": [{"name": "a", "type": "b"}], "relationships": []} ```',), ('{"entities": [{"name": "a"}], "relationships": []}',), ("no",), (None,)], "raw string")
+    out = df.select(records.parse_strict(F.col("raw")).alias("x"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [r.x and r.x.entities[0].name for r in out.collect()] == ["a", None, None, None]
+
+
 def test_indexed_search_is_exact_or_measured(spark, tmp_path):
     rng = np.random.default_rng(4)
     vectors = np.concatenate([clustered(rng, 1400, 30, 24, 0.7), rng.normal(size=(100, 24)), np.zeros((2, 24))])

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MACHINES = 64  # automata that a task keeps
+BROADCAST_CHARS = 1 << 22  # of all sites and their words: up to here they travel to the documents
+SALTS = 32
 
 
 class WordCounter:
@@ -39,14 +41,20 @@ def site_keyword_hits(docs: DataFrame, sites: DataFrame, site: str, text: str, w
 
     ``sites`` has one row a site with its words as an array of strings. Occurrences of one word don't
     overlap; those of different words may. Documents of unknown or null sites, and null
-    texts, have none. Each row travels with its site's words, so a site of many documents
-    is split like any other key; a task builds an automaton for each list it meets and keeps the
-    last 64.
+    texts, have none. Sites of few words in all are broadcast, so documents stay where they are;
+    else documents are dealt over SALTS lanes of their site, to which its words are copied, as one
+    site may have most of them. A task builds an automaton for each list it meets and keeps the last 64.
     """
     if "hits" in (c.lower() for c in docs.columns):
         raise ValueError("docs has a column hits")
     listed = sites.select(F.col(site).alias("__site"), F.transform(F.col(words), lambda w: F.lower(w)).alias("__words"))
-    joined = docs.join(listed, docs[site] == listed["__site"], "left").drop("__site")
+    chars = F.coalesce(F.length(F.col("__site").cast("string")), F.lit(0)) + F.coalesce(F.length(F.array_join("__words", " ")), F.lit(0)) + 1
+    if (listed.agg(F.sum(chars)).first()[0] or 0) <= BROADCAST_CHARS:
+        joined = docs.join(F.broadcast(listed), docs[site] == listed["__site"], "left").drop("__site")
+    else:
+        copied = listed.withColumn("__to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn("__lane", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(copied, (dealt[site] == copied["__site"]) & (dealt["__lane"] == copied["__to"]), "left").drop("__site", "__lane", "__to")
 
     @F.pandas_udf("int")
     def count(texts: pd.Series, lists: pd.Series) -> pd.Series:

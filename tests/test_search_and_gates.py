@@ -82,6 +82,25 @@ def test_classes_have_the_components_of_all_pairs(spark, over, block_rows):
     assert got == dict(enumerate(want.tolist()))
 
 
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_documents_of_one_site_do_not_meet_in_one_task(spark, most, monkeypatch):
+    monkeypatch.setattr(keywords, "BROADCAST_CHARS", most)
+    sites = spark.createDataFrame([("en", ["the", "of the"]), ("de", ["ein"]), ("es", [])], "lang string, words array<string>")
+    docs = [(i, lang, f"The end of the line {i}") for i, lang in enumerate(["en"] * 400 + ["de", "es", "xx", None])]
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = keywords.site_keyword_hits(spark.createDataFrame(docs, "id long, lang string, text string").repartition(4, "id"), sites, "lang", "text", "words")
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {r.id: r.hits for r in got} == {i: 3 if lang == "en" else 0 for i, lang, _ in docs}
+    tasks = [r.task for r in got if r.lang == "en"]
+    assert max(map(tasks.count, tasks)) < 300
+
+
 def test_extractions_are_parsed_once_a_row(spark):
     from tessera.functions import records
 

@@ -184,10 +184,16 @@ def document_vertices(chunks: DataFrame, url: str, title: str, keys: list[str])
 
 
 def mention_edges(raw_entities: DataFrame, raw_links: DataFrame, resolves: DataFrame) -> DataFrame:
-    """(document, entity): provenance of entities and of both ends of relationships."""
+    """(document, entity): provenance of entities and of both ends of relationships.
+
+    Links are dealt over all tasks before their ends are resolved, so that no task holds the pairs of
+    many link partitions, which are small only while they are shuffled.
+    """
     own = raw_entities.where("url IS NOT NULL").select(F.col("url").alias("document"), "raw")
     ends = raw_links.where("url IS NOT NULL").select(F.col("url").alias("document"), F.explode(F.array("src", "dst")).alias("raw"))
-    return own.unionByName(ends).join(resolves, "raw").select("document", F.col("canonical").alias("entity")).distinct()
+    parts = int(raw_links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.unionByName(ends).repartition(parts, "document", "raw")
+    return dealt.join(resolves, "raw").select("document", F.col("canonical").alias("entity")).distinct()
 
 
 def export_nodes(vertices: DataFrame) -> DataFrame:

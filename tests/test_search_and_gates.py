@@ -110,6 +110,19 @@ def test_extractions_are_parsed_once_a_row(spark):
     assert [r.x and r.x.entities[0].name for r in out.collect()] == ["a", None, None, None]
 
 
+def test_mentions_are_dealt_before_they_are_resolved(spark):
+    from tessera.operators import graph
+
+    links = spark.createDataFrame([(f"s{i}", f"p{i % 3}", f"u{i % 50}") for i in range(300)], "src string, dst string, url string").coalesce(1)
+    own = spark.createDataFrame([("u1", "s1"), (None, "s2")], "url string, raw string").coalesce(1)
+    resolves = spark.createDataFrame([(f"s{i}", f"n{i % 2}") for i in range(300)] + [(f"p{i}", f"b{i}") for i in range(3)], "raw string, canonical string")
+    found = graph.mention_edges(own, links, resolves)
+    want = {(f"u{i % 50}", e) for i in range(300) for e in (f"n{i % 2}", f"b{i % 3}")}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_indexed_search_is_exact_or_measured(spark, tmp_path):
     rng = np.random.default_rng(4)
     vectors = np.concatenate([clustered(rng, 1400, 30, 24, 0.7), rng.normal(size=(100, 24)), np.zeros((2, 24))])

@@ -1,21 +1,26 @@
-"""Main text of web pages: page structure first, then a suffix array for each host.
-
-Each page is cut into blocks. Markup settles most of them: blocks of an article (or a
-main or content element) stay, blocks of menus, headers, footers, sidebars, adverts,
-forms, notices and comments go. Blocks that markup leaves open are settled by their
-host: the token streams of its pages are concatenated, a suffix array sorted to
-``DEPTH`` tokens finds every string of that length that stands on two distinct pages,
-and an open block that such strings cover is boilerplate; unique runs stay. Text of an
-article stays even if other pages repeat it, as pages may hold copies of one article.
-
-A host of at most ``PAGES_IN_TASK`` open pages is settled by the suffix array in one
-task. On a larger host the same strings are found by counting: a Spark aggregate over
-the hashes of all its strings of ``DEPTH`` tokens names those of two distinct pages, and
-a join brings them back to the pages.
+"""Main text of web pages: suffix arrays over the pages of each host, and page structure.
+
+Each page is cut into blocks. Blocks of menus, headers, footers, sidebars, adverts,
+forms, notices and comments go by their markup. All pages then meet the other pages of
+their host: the token streams are concatenated, and a suffix array sorted to ``DEPTH``
+tokens finds on how many distinct pages every string of that length stands.
+
+* On a page without an article, main or content element, an open block that strings of
+  two distinct pages cover is boilerplate; unique runs stay.
+* On a page with one, whose markup says what its text is, strings must stand on more
+  than half of the host's distinct texts, and on ``TEMPLATE_PAGES`` of them, to say
+  otherwise of a block: articles share passages, licence lines and whole copies.
+
+A host of many pages is dealt into shards by its texts, so copies meet in one shard; each
+shard has its suffix array in one task. Arrays of one host are merged in Spark: of a
+string on one page of a shard, the page hears whether another shard has it too; a string
+on more than half of all texts is on more than half of those of some shard, and only such
+strings are counted over all shards.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -32,6 +37,13 @@ from tessera.session import Scratch
 DEPTH = 5
 COVERED = 0.8
 PAGES_IN_TASK = 256
+BYTES_IN_TASK = 16 << 20
+TEMPLATE_PAGES = 8
+HOSTS_SENT = 500_000  # of more shards than one, named to all tasks
+SEEN = 1 << 17  # texts that a task remembers, so as to send their copies without text
+ROWS_OUT, BYTES_OUT = 1024, 4 << 20
+COPIES_OUT = 1024  # rows of one text that its shard gives with the text; the others get it later, in all tasks
+COPIED_BYTES, SALTS = 8 << 20, 32  # texts of so many copies that are sent to all tasks; beyond, each is joined in so many places
 _P, _END = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
@@ -213,55 +225,55 @@ def page_blocks(page: str) -> list[tuple[str, str, int]]:
     return blocks
 
 
-def covered_blocks(pages: list[list[str]], depth: int = DEPTH) -> list[np.ndarray]:
-    """Share of each block's tokens inside strings of ``depth`` tokens that stand on two distinct pages.
+class SuffixArray:
+    """Suffixes of the token streams of pages, sorted to ``depth`` tokens.
 
     A block's end is a token, so short blocks count with their neighbours; a page's end
     is a token of its own and no string crosses it.
     """
-    code: dict[str, int] = {"\n": 0}
-    stream, page_of, block_of = [], [], []
-    number = 0
-    for p, one in enumerate(pages):
-        for block in one:
-            tokens = [code.setdefault(t, len(code)) for t in block.split()]
-            stream += [*tokens, 0]
-            page_of += [p] * (len(tokens) + 1)
-            block_of += [number] * len(tokens) + [-1]
-            number += 1
-        stream.append(-1 - p)
-        page_of.append(p)
-        block_of.append(-1)
-    counts = [len(one) for one in pages]
-    if not number:
-        return [np.zeros(c) for c in counts]
-    rank = np.unique(np.array(stream, np.int64), return_inverse=True)[1].astype(np.int64)
-    page_of, block_of = np.array(page_of), np.array(block_of)
-    n, sorted_to = len(rank), 1
-    while sorted_to < depth:  # prefix doubling; the last step overlaps so as to end at `depth`
-        step = min(sorted_to, depth - sorted_to)
-        later = np.full(n, -1, np.int64)
-        later[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 1) + later + 1, return_inverse=True)[1].astype(np.int64)
-        sorted_to += step
-    order = np.lexsort((page_of, rank))  # the suffix array, to `depth` tokens
-    r, p = rank[order], page_of[order]
-    first = np.concatenate([[True], r[1:] != r[:-1]])
-    group = np.cumsum(first) - 1
-    low, high = p[first], p[np.concatenate([np.flatnonzero(first)[1:] - 1, [n - 1]])]
-    repeated = np.zeros(n, bool)
-    repeated[order] = (low != high)[group]
-    ends = np.flatnonzero(np.array(stream) < 0)
-    until = ends[np.searchsorted(ends, np.arange(n))]
-    at = np.flatnonzero(repeated & (np.arange(n) + depth <= until))
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + depth, -1)
-    inside = np.cumsum(edge[:-1]) > 0
-    has = block_of >= 0
-    total = np.bincount(block_of[has], minlength=number)
-    share = np.bincount(block_of[has], inside[has], minlength=number) / np.maximum(total, 1)
-    return np.split(share, np.cumsum(counts)[:-1])
+
+    def __init__(self, pages: list[list[str]], depth: int = DEPTH):
+        tokens = [b.split() for one in pages for b in one]
+        self.depth, self.blocks, self.words = depth, np.array([len(one) for one in pages], np.int64), np.array([len(b) for b in tokens], np.int64)
+        page = np.repeat(np.arange(len(pages)), self.blocks)
+        self.first = np.cumsum(self.words + 1) - self.words - 1 + page
+        size = np.bincount(page, self.words + 1, len(pages)).astype(np.int64) + 1
+        ends, n = np.cumsum(size) - 1, int(size.sum())
+        self.page_of = np.repeat(np.arange(len(pages)), size)
+        rank = np.full(n, len(pages), np.int64)
+        rank[ends] = np.arange(len(pages))
+        code = pd.factorize(np.array([t for b in tokens for t in b], object))[0]
+        rank[np.arange(len(code)) + np.repeat(self.first - np.cumsum(self.words) + self.words, self.words)] = code + len(pages) + 1
+        sorted_to = 1
+        while sorted_to < depth:  # prefix doubling; the last step overlaps so as to end at `depth`
+            step = min(sorted_to, depth - sorted_to)
+            later = np.full(n, -1, np.int64)
+            later[: n - step] = rank[step:]
+            rank = np.unique(rank * (rank.max() + 2) + later + 1, return_inverse=True)[1].astype(np.int64)
+            sorted_to += step
+        self.rank, self.order = rank, np.argsort(rank * len(pages) + self.page_of)
+        self.whole = np.arange(n) + depth <= np.repeat(ends, size)
+
+    def on_pages(self, weight: np.ndarray) -> np.ndarray:
+        """For each place, the summed weights of the distinct pages that have its string; 0 where it crosses a page's end."""
+        r, p = self.rank[self.order], self.page_of[self.order]
+        new = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])])
+        return np.where(self.whole, np.bincount(r[new], weight[p[new]])[self.rank], 0)
+
+    def shares(self, at: np.ndarray) -> list[np.ndarray]:
+        """Share of each block's tokens inside the strings that begin at the places ``at``, by page."""
+        edge = np.zeros(len(at) + self.depth, np.int64)
+        np.add.at(edge, np.flatnonzero(at), 1)
+        np.add.at(edge, np.flatnonzero(at) + self.depth, -1)
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
+        share = (inside[self.first + self.words] - inside[self.first]) / np.maximum(self.words, 1)
+        return np.split(share, np.cumsum(self.blocks)[:-1])
+
+
+def covered_blocks(pages: list[list[str]], depth: int = DEPTH) -> list[np.ndarray]:
+    """Share of each block's tokens inside strings of ``depth`` tokens that stand on two distinct pages."""
+    array = SuffixArray(pages, depth)
+    return array.shares(array.on_pages(np.ones(len(pages))) > 1)
 
 
 def page_strings(pages: pa.ListArray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -329,52 +341,216 @@ def cover_by_keys(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:6], covered], names=["host", "row", "page_id", "url", "open", "linked", "covered"])
 
 
+def parse(batches):
+    """Texts of pages, from (host, hash, shards, row, page_id, url, html); a text the task has sent before goes without it."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        marks, contents, packed, links = [], [], [], []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(6)):
+            found = page_blocks(page.as_py() or "")
+            sure = [t for t, kind, _ in found if kind == "main"]
+            marks.append(bool(sure))
+            text = "\n".join(sure or [t for t, _, _ in found]).encode()
+            linked = None if sure else [2 * n > len(t) for t, _, n in found]
+            content = hashlib.blake2b(b"\n".join([host.encode(), repr(linked).encode(), text]), digest_size=16).digest()
+            again = content in seen
+            if not again:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(content)
+            contents.append(content)
+            packed.append(None if again else len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True))
+            links.append(None if again else linked)
+        columns = [pa.array(marks, pa.bool_()), pa.array(contents, pa.binary()), pa.array(packed, pa.binary()), pa.array(links, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], batch.column(5).cast(pa.string()), *columns], names=["host", "hash", "shards", "row", "page_id", "url", "marked", "content", "packed", "linked"])
+
+
+class Shard:
+    """Pages of one shard of a host: its distinct texts, and the rows that have them."""
+
+    def __init__(self, host: str, hashed: int, large: bool):
+        self.host, self.hash, self.large = host, np.uint64(hashed % 2**64), large
+        self.content: list[bytes] = []
+        self.marked: list[bool] = []
+        self.text: list[str] = []
+        self.linked: list[list[bool]] = []
+        self.rows: list[tuple[int, int, int | None, str | None]] = []  # text, row, page_id, url
+
+    def add(self, row: int, page_id: int | None, url: str | None, marked: bool, content: bytes, packed: bytes | None, linked: list[bool] | None) -> None:
+        if not self.content or self.content[-1] != content:  # a text's first row has it
+            self.content.append(content)
+            self.marked.append(marked)
+            self.text.append(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True).decode())
+            self.linked.append(linked or [])
+        self.rows.append((len(self.content) - 1, row, page_id, url))
+
+    def settle(self):
+        """Rows of ``KINDS``: pages with their text, open pages of a large host with what is known, copies, and strings to merge."""
+        pages = [t.split("\n") if t else [] for t in self.text]
+        array = SuffixArray(pages)
+        marked, copies = np.array(self.marked), np.bincount([r[0] for r in self.rows])
+        open_on = array.on_pages(np.where(marked, 0, np.minimum(copies, 2)))
+        marked_on = array.on_pages(marked.astype(np.float64))
+        template = 2 * marked_on > marked.sum()
+        enough = template & (marked_on >= TEMPLATE_PAGES) & (not self.large)
+        covered = [s >= COVERED for s in array.shares(np.where(marked[array.page_of], enough, open_on > 1))]
+        boilerplate = {b for one, cover, m in zip(pages, covered, self.marked) if not m for b, c in zip(one, cover) if c}
+        texts = []
+        for one, cover, m, linked in zip(pages, covered, self.marked, self.linked):
+            if m:
+                texts.append("\n".join(own_blocks(one, cover)))
+            else:
+                texts.append("\n".join([b for b, link in zip(one, linked) if not link and b not in boilerplate] or one))
+        known: dict[int, np.ndarray] = {}
+        if self.large:
+            strings = page_strings(pa.array(pages, pa.list_(pa.string())))[0]
+            key = np.zeros(len(array.rank), np.int64)
+            ends = np.append(array.page_of[1:] != array.page_of[:-1], True)
+            key[~ends] = _keys_of(strings, self.hash)
+            at = np.flatnonzero(open_on > 1)
+            known = {p: np.unique(some) for p, some in enumerate(np.split(key[at], np.searchsorted(array.page_of[at], np.arange(1, len(pages)))))}
+            row_of = {r[0]: r[1] for r in self.rows}
+            at = np.flatnonzero(open_on)
+            at = at[np.unique(array.rank[at], return_index=True)[1]]
+            yield from self._strings(key[at], [row_of[p] for p in array.page_of[at].tolist()], (open_on[at] > 1).tolist())
+            likely = np.unique(key[template & (marked_on > 0)])
+            yield from self._strings(likely, [None] * len(likely), [None] * len(likely))
+        near, far, first, times = [], [], {}, Counter()
+        for r in self.rows:
+            times[r[0]] += 1
+            first.setdefault(r[0], r[1])
+            (near if times[r[0]] <= COPIES_OUT else far).append(r)
+        for part in _pieces(far, len):
+            yield _kinds({"row": [first[r[0]] for r in part], "page_id": [r[2] for r in part], "url": [r[3] for r in part]}, len(part))
+        for part in _pieces(near, lambda r: len(self.text[r[0]])):
+            p = [r[0] for r in part]
+            later = [self.large and not self.marked[i] and bool(pages[i]) for i in p]
+            yield _kinds({
+                "host": [self.host] * len(p), "hash": [int(self.hash.astype(np.int64))] * len(p), "marked": [self.marked[i] for i in p], "content": [self.content[i] for i in p],
+                "row": [r[1] for r in part], "page_id": [r[2] for r in part], "url": [r[3] for r in part], "text": [None if wait else texts[i] for i, wait in zip(p, later)],
+                "open": [pages[i] if wait else None for i, wait in zip(p, later)], "linked": [self.linked[i] if wait else None for i, wait in zip(p, later)],
+                "known": [known.get(i, []) if wait else None for i, wait in zip(p, later)],
+            }, len(p))
+
+    def _strings(self, key: np.ndarray, row: list, many: list):
+        for lo in range(0, len(key), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            n = len(key[part])
+            yield _kinds({"host": [self.host] * n, "key": key[part], "row": row[part], "many": many[part]}, n)
+
+
+#: What a shard gives: pages (with text or open blocks), copies (page_id, url and the row that has their text), open strings (``many``: on two pages of the shard; else on that of ``row``) and likely templates (``many`` is null).
+KINDS = pa.schema(
+    [("host", pa.string()), ("hash", pa.int64()), ("marked", pa.bool_()), ("content", pa.binary()), ("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())]
+    + [("open", pa.list_(pa.string())), ("linked", pa.list_(pa.bool_())), ("known", pa.list_(pa.int64())), ("key", pa.int64()), ("many", pa.bool_())]
+)
+
+
+def _kinds(columns: dict, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in KINDS], schema=KINDS)
+
+
+def own_blocks(blocks: list[str], covered: np.ndarray) -> list[str]:
+    """Blocks that aren't covered; all of them if most of the page's words are."""
+    own = [b for b, c in zip(blocks, covered) if not c]
+    words = [sum(b.count(" ") + 1 for b in some) for some in (own, blocks)]
+    return own if 2 * words[0] >= words[1] else blocks
+
+
+def _pieces(rows: list, size):
+    part, held = [], 0
+    for r in rows:
+        part.append(r)
+        held += size(r)
+        if len(part) == ROWS_OUT or held > BYTES_OUT:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def settle_shards(batches):
+    """Rows of all shards of a task, whose pages come sorted by (host, shard, content), texts first."""
+    at, shard = None, None
+    for batch in batches:
+        for host, hashed, shards, number, *row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            if (host, number) != at:
+                if shard:
+                    yield from shard.settle()
+                at, shard = (host, number), Shard(host, hashed, shards > 1)
+            shard.add(*row)
+    if shard:
+        yield from shard.settle()
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``.
 
     Null and empty html give an empty text. A page with an article, main or content
-    element has that element's blocks; any other page has its open blocks that neither
-    consist of links for the greater part nor are covered by strings of other pages of
-    the host, or all its open blocks if none would be left. Pages without a url share
-    the host ''. Repeated rows are kept and are distinct pages. Other columns are ignored.
+    element has that element's blocks but those covered by strings of more than half of
+    the host's distinct texts (all, if these make up most of it); any other page has its
+    open blocks that neither consist of links for the greater part nor are covered by
+    strings of other open pages of the host, or all its open blocks if none would be left.
+    Pages without a url share the host ''. Repeated rows are kept; they are distinct open
+    pages, but one text where templates are counted. Other columns are ignored.
     """
-    scratch = Scratch(pages.sparkSession, "pages")
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("open", pa.list_(pa.string())), ("linked", pa.list_(pa.bool_()))])
-
-    def parse(batches):
-        for batch in batches:
-            texts, opens, links = [], [], []
-            for page in batch.column(2):
-                blocks = page_blocks(page.as_py() or "")
-                sure = [t for t, kind, _ in blocks if kind == "main"]
-                loose = [] if sure else blocks
-                texts.append("\n".join(sure) if sure or not loose else None)
-                opens.append([t for t, _, _ in loose] or None)
-                links.append([2 * n > len(t) for t, _, n in loose] or None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *(pa.array(c, f.type) for c, f in zip((texts, opens, links), list(schema)[2:]))], schema=schema)
-
-    chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    parsed = chosen.mapInArrow(tidy(parse), "page_id long, url string, text string, open array<string>, linked array<boolean>")
-    parsed = scratch.table(parsed.withColumn("row", F.monotonically_increasing_id()), "blocks")
-    settled = parsed.where(F.col("open").isNull()).select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "pages")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
-    loose = parsed.where(F.col("open").isNotNull()).withColumn("host", host)
-    sizes = loose.groupBy("host").agg((F.count("*") > PAGES_IN_TASK).alias("large"))
-    loose = loose.join(sizes, "host").select("host", "row", "page_id", "url", "open", "linked", "large")
-    shape = "host string, row long, page_id long, url string, open array<string>, linked array<boolean>, covered array<boolean>"
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        shares = covered_blocks([list(b) for b in pdf["open"]])
-        return pdf[["host", "row", "page_id", "url", "open", "linked"]].assign(covered=[(s >= COVERED).tolist() for s in shares])
-
-    small = loose.where("NOT large").groupBy("host").applyInPandas(settle, shape)
-    large = loose.where("large").drop("large").withColumn("__host", F.xxhash64("host"))
-    keys = large.select("__host", "row", "open").mapInArrow(tidy(string_keys), "key long, row long")
-    twice = keys.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("key")
-    repeated = keys.join(twice, "key").groupBy("row").agg(F.collect_list("key").alias("repeated"))
-    large = large.join(repeated, "row", "left").select("host", "row", "page_id", "url", "open", "linked", "__host", "repeated")
-    found = scratch.table(small.unionByName(large.mapInArrow(tidy(cover_by_keys), shape)), "covered")
-    block = found.select("host", "row", "page_id", "url", F.posexplode(F.arrays_zip("open", "linked", "covered")).alias("at", "b"))
+    chosen = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    shards = F.greatest(F.ceil(F.count("*") / PAGES_IN_TASK), F.ceil(F.sum(F.octet_length("html")) / BYTES_IN_TASK))
+    large = scratch.table(chosen.groupBy("host").agg(shards.alias("shards")).where("shards > 1"), "large")
+    n_large = large.count()
+    chosen = chosen.join(F.broadcast(large) if n_large <= HOSTS_SENT else large, "host", "left").withColumn("row", F.monotonically_increasing_id())
+    chosen = chosen.select("host", F.xxhash64("host").alias("hash"), F.coalesce("shards", F.lit(1)).alias("shards"), "row", "page_id", "url", "html")
+    parsed = chosen.mapInArrow(tidy(parse), "host string, hash long, shards long, row long, page_id long, url string, marked boolean, content binary, packed binary, linked array<boolean>")
+    parsed = parsed.select("host", "hash", "shards", F.pmod(F.xxhash64("content"), "shards").alias("shard"), "row", "page_id", "url", "marked", "content", "packed", "linked")
+    dealt = parsed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "shard").sortWithinPartitions("host", "shard", "content", F.col("packed").isNull())
+    kinds = "host string, hash long, marked boolean, content binary, row long, page_id long, url string, text string, open array<string>, linked array<boolean>, known array<long>, key long, many boolean"
+    found = scratch.table(dealt.mapInArrow(tidy(settle_shards), kinds), "arrays", "zstd")
+    out = found.where("text IS NOT NULL")
+    if n_large:
+        kind = {"likely": "key IS NOT NULL AND many IS NULL", "open": "open IS NOT NULL", "copies": _COPIES}
+        waits = found.where("text IS NULL").agg(*(F.max(F.expr(e)).alias(k) for k, e in kind.items())).first()
+        out = _without_templates(scratch, found, out) if waits.likely else out.select("row", "page_id", "url", "text")
+        out = out.unionByName(_open_pages(scratch, found)) if waits.open else out
+        out = out.unionByName(_copies(scratch, found, out)) if waits.copies else out
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_COPIES = "text IS NULL AND open IS NULL AND key IS NULL"
+_COVER = "host string, row long, page_id long, url string, open array<string>, linked array<boolean>, covered array<boolean>"
+
+
+def _without_templates(scratch: Scratch, found: DataFrame, settled: DataFrame) -> DataFrame:
+    """(row, page_id, url, text) of settled pages; likely templates are counted over all shards of their host."""
+    likely = scratch.table(found.where("key IS NOT NULL AND many IS NULL").select("host", "key").distinct(), "likely")
+    hosts = likely.select("host").distinct()
+    marked = settled.where("marked").join(hosts, "host", "left_semi")
+    split = F.split("text", "\n")
+    held = scratch.table(marked.select("hash", "row", split.alias("open")).mapInArrow(tidy(string_keys), "key long, row long").join(likely.select("key"), "key"), "held")
+    texts = marked.groupBy("host", "content").agg(F.min("row").alias("row"))
+    number = texts.groupBy("host").agg(F.count("*").alias("of"))
+    count = held.join(texts.select("row"), "row").groupBy("key").agg(F.count("*").alias("n"))
+    template = likely.join(count, "key").join(number, "host").where(f"2 * n > of AND n >= {TEMPLATE_PAGES}").select("key")
+    repeated = held.join(template, "key").groupBy("row").agg(F.collect_list("key").alias("repeated"))
+    named = marked.join(repeated, "row", "left").select("host", "row", "page_id", "url", split.alias("open"), F.col("linked"), "hash", "repeated")
+    block = named.mapInArrow(tidy(cover_by_keys), _COVER).withColumn("own", F.expr("filter(open, (b, i) -> NOT covered[i])"))
+    words = lambda c: F.coalesce(F.aggregate(c, F.lit(0), lambda n, b: n + F.size(F.split(b, " "))), F.lit(0))
+    text = F.array_join(F.when(2 * words("own") >= words("open"), F.col("own")).otherwise(F.col("open")), "\n")
+    rest = settled.where("NOT marked").unionByName(settled.where("marked").join(hosts, "host", "left_anti").select(settled.columns))
+    return rest.select("row", "page_id", "url", "text").unionByName(block.select("row", "page_id", "url", text.alias("text")))
+
+
+def _open_pages(scratch: Scratch, found: DataFrame) -> DataFrame:
+    """(row, page_id, url, text) of open pages of hosts of several shards, whose strings are merged."""
+    strings = found.where("many IS NOT NULL").select("key", "row", "many")
+    twice = strings.groupBy("key").agg(F.max("many").alias("many"), F.count("*").alias("shards")).where("many OR shards > 1").select("key")
+    heard = strings.where("NOT many").join(twice, "key").groupBy("row").agg(F.collect_list("key").alias("heard"))
+    repeated = F.concat("known", F.coalesce("heard", F.array().cast("array<bigint>"))).alias("repeated")
+    named = found.where("open IS NOT NULL").join(heard, "row", "left").select("host", "row", "page_id", "url", "open", "linked", "hash", repeated)
+    covered = scratch.table(named.mapInArrow(tidy(cover_by_keys), _COVER), "covered", "zstd")
+    block = covered.select("host", "row", "page_id", "url", F.posexplode(F.arrays_zip("open", "linked", "covered")).alias("at", "b"))
     block = block.select("host", "row", "page_id", "url", "at", F.col("b.open").alias("block"), F.col("b.linked").alias("linked"), F.col("b.covered").alias("covered"))
     known = block.where("covered").select("host", "block", F.lit(True).alias("elsewhere")).distinct()
     block = block.join(known, ["host", "block"], "left").withColumn("drop", F.col("linked") | F.col("covered") | F.coalesce("elsewhere", F.lit(False)))
@@ -382,8 +558,22 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(~F.col("drop"), F.struct("at", "block")))).alias("kept"), F.array_sort(F.collect_list(F.struct("at", "block"))).alias("all")
     )
     joined = F.array_join(F.transform(F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("all")), lambda b: b["block"]), "\n")
-    out = settled.unionByName(kept.select("page_id", "url", joined.alias("text")))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select("row", "page_id", "url", joined.alias("text"))
+
+
+def _copies(scratch: Scratch, found: DataFrame, out: DataFrame) -> DataFrame:
+    """(row, page_id, url, text) of the further copies of texts of very many, dealt over all tasks."""
+    spark = scratch.spark
+    copies = found.where(_COPIES).select("row", "page_id", "url")
+    rows = scratch.table(copies.select("row").distinct(), "copied-rows")
+    texts = scratch.table(out.join(F.broadcast(rows) if rows.count() <= HOSTS_SENT else rows, "row", "left_semi").select("row", "text"), "copied", "zstd")
+    copies = copies.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if texts.agg(F.sum(F.octet_length("text"))).first()[0] <= COPIED_BYTES:
+        joined = copies.join(F.broadcast(texts), "row")
+    else:
+        salted = copies.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        joined = salted.join(texts.crossJoin(spark.range(SALTS).withColumnRenamed("id", "salt")), ["row", "salt"])
+    return joined.select("row", "page_id", "url", "text")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
